@@ -47,8 +47,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> DataFrame:
-    """(doc_id, text, label) of at most per_class learnable rows of each label.
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], max_bytes: int) -> DataFrame:
+    """(doc_id, text, label) of at most rows[0] learnable rows of label 0 and rows[1] of label 1.
 
     Rows are taken in the order of a hash of doc_id, so the sample does not
     depend on how the tables are partitioned. Texts over max_bytes are left out
@@ -60,10 +60,10 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = None
     for value in (0, 1):
-        part = learnable.where(F.col("label") == value).orderBy(*order).limit(per_class)
+        part = learnable.where(F.col("label") == value).orderBy(*order).limit(rows[value])
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    # At most 2 * per_class rows of two numbers each: safe to broadcast at any table size.
+    # At most sum(rows) rows of two numbers each: safe to broadcast at any table size.
     return texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
 
 

@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_bytes: int
     The bound makes the sample a constant, so it may be collected: rows * 2 texts.
     """
     sample = (
-        common.label_sample(docs, labels, "quality", rows, max_bytes)
+        common.label_sample(docs, labels, "quality", (rows, rows), max_bytes)
         .select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0).alias("teach"))
         .toPandas()
         .sort_values(["doc_id", "text"], ignore_index=True)

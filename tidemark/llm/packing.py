@@ -13,6 +13,7 @@ piece, the end id alone; each repeated row gets its own pieces; null doc_ids sta
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ BATCH = 32_768
 #: A bin this full or fuller is not opened again in the second round.
 CLOSED = CAPACITY - 4
 #: Bins that the search works on, and distinct words that a worker remembers.
-SEARCH_BINS, REMEMBERED = 96, 200_000
+SEARCH_BINS, REMEMBERED = 96, 600_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
@@ -44,39 +45,58 @@ class WordTokenizer:
     """Ids as the tokenizer file gives them, remembering words between blanks.
 
     Its rules never join characters across white space and lower-case them one by
-    one, so a text's ids are those of its blank-separated words in order.
+    one, so a text's ids are those of its blank-separated words in order, and a word's
+    are those of the parts that the file's own pattern splits it into. Each part's ids
+    end with one that closes a word.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        rules = json.loads(self.whole.to_str())
+        split = next(r for r in rules["pre_tokenizer"]["pretokenizers"] if r["type"] == "Split")
+        self.parts = regex.compile(split["pattern"]["Regex"]).findall
+        suffix = rules["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self.closes[[i for token, i in rules["model"]["vocab"].items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes unknown words as one text and cuts the ids at the words' offsets."""
-        encoded = self.whole.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(encoded.ids, dtype="<u4")
-        begins = np.array([a for a, _ in encoded.offsets], dtype=np.int64)
-        ends = np.cumsum([len(w) + 1 for w in new])
-        cuts = np.searchsorted(begins, ends, "left")
-        low = 0
-        for word, high in zip(new, cuts.tolist(), strict=True):
-            self.known[word] = ids[low:high].tobytes()
-            low = high
+        self.known_parts: dict[str, bytes] = {}
+
+    def _learn_parts(self, new: list[str]) -> None:
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            ids = np.array(self.whole.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):  # a part that is not closed by one id: each is asked for alone
+                for part in some:
+                    self.known_parts[part] = np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            data, low = ids.tobytes(), 0
+            for part, high in zip(some, (ends * 4).tolist(), strict=True):
+                self.known_parts[part] = data[low:high]
+                low = high
+
+    def _learn(self, new: set[str]) -> None:
+        parts = self.parts
+        split = {word: [word] if word.isalpha() else parts(word) for word in new}
+        known = self.known_parts
+        self._learn_parts(list({p for own in split.values() for p in own}.difference(known)))
+        for word, own in split.items():
+            self.known[word] = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        for memory in (self.known, self.known_parts):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         split = [t.lower().split() if _PLAIN.fullmatch(t) else None for t in texts]
-        new = {w for words in split if words for w in words}.difference(self.known)
-        if new:
-            new = sorted(new)
-            for at in range(0, len(new), 20_000):
-                self._learn(new[at : at + 20_000])
         known = self.known
+        new = {w for words in split if words for w in words if w not in known}
+        if new:
+            self._learn(new)
         return [
             b"".join([known[w] for w in words])
             if words is not None

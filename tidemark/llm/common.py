@@ -30,11 +30,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared scratch folder as Parquet and reads it back.
 
     This cuts lineage: a lost executor costs a reread of the table, not a
-    recomputation, and rows that later steps use twice are computed once.
+    recomputation, and rows that later steps use twice are computed once. Rows are
+    rebalanced first, so a small table is a few files, not one for each task.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
+from tidemark.llm import chat_format, flac, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
 from tidemark.llm.common import table
 
 
@@ -23,6 +23,14 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), flac.encode_column(F.col("text")).alias("media")
+    )
+    return stored.select("doc_id", "n_bytes", flac.read_column(F.col("media")).alias("r")).select("doc_id", "n_bytes", "r.*")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +61,6 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_line_spread, op6_packing, op7_simhash, op8_chat_format, op9_spaced_seed, op10_zstd_quality)
+    for f in (op1_toxicity, op2_line_spread, op3_flac, op6_packing, op7_simhash, op8_chat_format, op9_spaced_seed, op10_zstd_quality)
 }
 ORACLES = {"op2_line_spread": line_spread.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

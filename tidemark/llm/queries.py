@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, flac, license_rules, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
+from tidemark.llm import chat_format, flac, html_layout, license_rules, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,14 @@ def op3_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", flac.read_column(F.col("media")).alias("r")).select("doc_id", "n_bytes", "r.*")
 
 
+def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_layout.render_pages(table(spark, sf_dir, "pages"))
+    return text.select(
+        "page_id", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
+        F.md5(F.col("text").cast("binary")).alias("text_md5"), "text",
+    )
+
+
 def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scan(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -65,6 +73,9 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_line_spread, op3_flac, op5_license_rules, op6_packing, op7_simhash, op8_chat_format, op9_spaced_seed, op10_zstd_quality)
-}
+    for f in (
+        op1_toxicity, op2_line_spread, op3_flac, op4_html_layout, op5_license_rules,
+        op6_packing, op7_simhash, op8_chat_format, op9_spaced_seed, op10_zstd_quality,
+    )
+}
 ORACLES = {"op2_line_spread": line_spread.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import BANDS, CONFIDENCE_POINTS, PERMIT_STEPS, Profile
-from tidemark.functions.text import hits, matches, occurrences, text
+from tidemark.functions.text import hits, occurrences, text, words_of
 
 YEARS = r"(\d{1,2})\s*(?:\+|plus)?\s*years?'?\s*(?:of\s+)?(?:\w+\s+){0,3}experience"
 INTAKE_YEAR = r"(^|[^0-9])20(2[5-9]|3[0-5])([^0-9]|$)"
@@ -43,10 +43,11 @@ def score_postings(postings: DataFrame, profile: Profile) -> DataFrame:
     base = postings.select(
         *own, title.alias("_title"), place.alias("_place"), haystack().alias("_text"), F.lower(text(F.col("sector"))).alias("_sector")
     )
+    base = base.select("*", *[words_of(F.col(c)).alias(f"{c}_words") for c in ("_title", "_text", "_sector")])
     years = F.array_max(F.transform(F.regexp_extract_all(F.lower(text(F.col("description"))), F.lit(YEARS), F.lit(1)), lambda y: y.cast("int")))
-    family_hits = [hits(F.col("_title"), f.terms).alias(f"_family{i}") for i, f in enumerate(profile.families)]
+    family_hits = [hits(F.col("_title"), f.terms, F.col("_title_words")).alias(f"_family{i}") for i, f in enumerate(profile.families)]
     wide = base.select(
-        "*", years.alias("_years"), *family_hits, *[hits(F.col(c), terms).alias(f"_{name}") for name, (terms, c) in vocabularies.items()]
+        "*", years.alias("_years"), *family_hits, *[hits(F.col(c), terms, F.col(f"{c}_words")).alias(f"_{name}") for name, (terms, c) in vocabularies.items()]
     )
     n = lambda name: F.size(F.col(f"_{name}"))
     weight = [
@@ -67,7 +68,7 @@ def score_postings(postings: DataFrame, profile: Profile) -> DataFrame:
     intake = F.col("_title").rlike(INTAKE_YEAR) & ~senior
     entry = (strong | F.col("_title").rlike(INTAKE_YEAR)) & ~senior
     tools = F.least(F.lit(18), n("core") * 5 + n("taught") * 3 + n("certified"))
-    repeated = F.coalesce(*[F.when(matches(F.col("_text"), t) & (occurrences(F.col("_text"), t) >= 3), F.lit(t)) for t in profile.domain_terms], F.lit(None).cast("string"))
+    repeated = F.coalesce(*[F.when(F.array_contains("_domain_text", t.lower()) & (occurrences(F.col("_text"), t.lower()) >= 3), F.lit(t)) for t in profile.domain_terms], F.lit(None).cast("string"))
     points_of_place = [F.when(F.contains(F.col("_place"), F.lit(k)) | F.contains(F.col("_text"), F.lit(k)), F.lit(v)).otherwise(0) for k, v in profile.locations]
     location = F.greatest(F.lit(0), F.lit(0), *points_of_place)
     permits = F.coalesce(F.col("permits"), F.lit(0))

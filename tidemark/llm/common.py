@@ -43,6 +43,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private(df: DataFrame) -> DataFrame:
+    """df with names that no table of documents has, to be joined to one."""
+    return df.select(*[F.col(c).alias(f"_tidemark_{c}") for c in df.columns])
+
+
+def same_document(doc_id: str, text_hash: str) -> Column:
+    """A join condition: rows of documents that agree with a key in doc_id, nulls included, and text."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the rows that no model here learns from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -407,6 +407,8 @@ def _decode_group(frames: list[bytes], heads: list[int], sizes: list[int]) -> li
             at = pos[ranks]
             rice[ranks] = ((raw[at >> 3].astype(np.int64) << 8 | raw[(at >> 3) + 1]) >> (12 - (at & 7))) & 15
             pos[ranks] = at + 4
+            if (rice[ranks] == 15).any():
+                raise ValueError("escape codes are read one frame at a time")
         a = active[step]
         here = pos[:a]
         one = next_one[here]
@@ -414,8 +416,6 @@ def _decode_group(frames: list[bytes], heads: list[int], sizes: list[int]) -> li
         low_at[step, :a] = one
         rice_of[step, :a] = rice[:a]
         pos[:a] = one + 1 + rice[:a]
-    if (rice_of == 15).any():
-        raise ValueError("escape codes are read one frame at a time")
     low_at += 1
     byte = low_at >> 3
     word = raw[byte].astype(np.int64) << 16

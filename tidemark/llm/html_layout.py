@@ -135,12 +135,13 @@ def build(page: str) -> Node:
 
     def close(names: frozenset[str], barrier: frozenset[str]) -> None:
         """Ends the outermost open element of names above the nearest barrier."""
-        if not any(held[tag] for tag in names):
-            return
-        found = 0
-        for depth in range(len(stack) - 1, 0, -1):
+        left = sum(held[tag] for tag in names)
+        found, depth = 0, len(stack)
+        while left and depth > 1:
+            depth -= 1
             if stack[depth].tag in names:
                 found = depth
+                left -= 1
             elif stack[depth].tag in barrier:
                 break
         if found:

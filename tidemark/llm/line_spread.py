@@ -83,18 +83,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     own = docs.columns
     places = common.materialize(boilerplate_places(docs, min_sites, lg_k), "lines-drop")
     # The marks are made below the join, so the filter's lambda above it reads a column and computes nothing again.
-    places = places.select("d", "th", _marks(F.col("drop")).alias("_marks"), F.size("drop").alias("_gone"))
-    joined = docs.withColumn("_th", F.xxhash64("text")).join(
-        places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_th") == F.col("th")), "left"
-    )
-    stays = lambda x, i: F.coalesce(F.substring("_marks", i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))
-    cleaned = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
+    places = common.private(places.select("d", "th", _marks(F.col("drop")).alias("marks"), F.size("drop").alias("gone")))
+    joined = docs.join(places, common.same_document("_tidemark_d", "_tidemark_th"), "left")
+    stays = lambda x, i: F.coalesce(F.substring("_tidemark_marks", i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))
+    cleaned = F.when(F.col("_tidemark_gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
     )
     return joined.select(
         *[cleaned.alias("text") if c == "text" else F.col(c) for c in own],
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_tidemark_gone", F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -245,10 +245,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
         assigned.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("component_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("only"))
         .agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("copies"))
-        .select(F.col("component_id").alias("_id"), F.col("th").alias("_th"), "copies")
+        .select("component_id", "th", "copies")
     )
     best = common.materialize(best, "prints-best")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    single = docs.join(best.where("copies = 1"), match, "left_semi")
-    repeated = docs.join(best.where("copies > 1"), match, "left_semi").dropDuplicates(["doc_id", "text"])
+    match = common.same_document("_tidemark_component_id", "_tidemark_th")
+    single = docs.join(common.private(best.where("copies = 1")), match, "left_semi")
+    repeated = docs.join(common.private(best.where("copies > 1")), match, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).select(*own)

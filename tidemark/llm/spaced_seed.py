@@ -104,5 +104,5 @@ def find(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """The documents in which no benchmark item was found."""
-    found = common.materialize(find(docs, benchmark, min_overlap).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    found = common.materialize(find(docs, benchmark, min_overlap).select("doc_id", "th").distinct(), "leaks")
+    return docs.join(common.private(found), common.same_document("_tidemark_doc_id", "_tidemark_th"), "left_anti")

@@ -87,7 +87,8 @@ _FOLD = _fold_table()
 def fold(text: str) -> str:
     folded = text.translate(_FOLD)
     if _HAS_SIGN.search(folded):
-        folded = _DIGITS.sub(lambda m: m.group().translate(SUBSTITUTES), folded)
+        for _ in range(2):  # a sign may stand beside one that is a letter only after the first pass
+            folded = _DIGITS.sub(lambda m: m.group().translate(SUBSTITUTES), folded)
     return folded
 
 

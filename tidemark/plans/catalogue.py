@@ -100,6 +100,17 @@ def best_per_key(spark, sf_dir):
     return best.select(F.col("k.company").alias("company"), F.col("k.title").alias("title_key"), F.col("k.place").alias("place"), "doc_id")
 
 
+@query(f"SELECT substr(sha1(lower(source) || '|' || lower({TITLE}) || '|' || 'https://' || source || '.example/jobs/' || doc_id), 1, 16) AS id, source AS company, lang AS location FROM documents")
+def read_boards(spark, sf_dir):
+    """Every document as a board's recorded JSON, parsed and mapped like any platform's."""
+    from tidemark.sources.normalise import postings
+
+    p = tables.postings(spark, sf_dir)
+    job = F.struct("title", F.col("url").alias("absolute_url"), F.struct(F.col("location").alias("name")).alias("location"), F.col("description").alias("content"))
+    boards = p.select(F.lit("greenhouse").alias("ats"), "company", F.col("company").alias("token"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("raw"), "ordinal")
+    return postings(boards, ["greenhouse"]).select("id", "company", "location")
+
+
 HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
 PATH = "rtrim(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/')"
 KEPT = (

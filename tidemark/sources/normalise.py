@@ -250,10 +250,22 @@ MAPPERS: dict[str, Callable[[], dict[str, Column]]] = {
 }
 
 
-def normalise(raw: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """Canonical postings, with ats, token and ordinal, of raw postings of all platforms."""
+def _mapped(raw: DataFrame, ats: str) -> DataFrame:
+    return raw.select(*[c.alias(n) for n, c in MAPPERS[ats]().items()], "ats", "token", "ordinal")
+
+
+def normalise(raw: DataFrame, ats: str) -> DataFrame:
+    """Canonical postings, with ats, token and ordinal, of one platform's raw postings."""
+    return _mapped(raw.where(F.col("ats") == ats), ats)
+
+
+def postings(boards: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Canonical postings of recorded boards: each platform is parsed and mapped on its own, and all are united."""
+    from tidemark.sources.parse import PARSERS
+
+    good = boards.where(F.col("raw").isNotNull())
     out = None
     for ats in only or sorted(MAPPERS):
-        part = raw.where(F.col("ats") == ats).select(*[c.alias(n) for n, c in MAPPERS[ats]().items()], "token", "ordinal")
+        part = _mapped(PARSERS[ats](good.where(F.col("ats") == ats)), ats)
         out = part if out is None else out.unionByName(part)
     return out

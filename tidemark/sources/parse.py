@@ -236,16 +236,6 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def raw_postings(boards: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """Raw postings of every board that answered, platform by platform."""
-    good = boards.where(F.col("raw").isNotNull())
-    out = None
-    for ats in only or sorted(PARSERS):
-        part = PARSERS[ats](good.where(F.col("ats") == ats))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def sitemap_urls(sitemaps: DataFrame, most: int = 45) -> DataFrame:
     """token, rank and url of the last `most` job-like addresses of each sitemap (raw: its XML)."""
     locs = F.regexp_extract_all(text(F.col("raw")), F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))

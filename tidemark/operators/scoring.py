@@ -43,7 +43,9 @@ def score_postings(postings: DataFrame, profile: Profile) -> DataFrame:
     base = postings.select(
         *own, title.alias("_title"), place.alias("_place"), haystack().alias("_text"), F.lower(text(F.col("sector"))).alias("_sector")
     )
-    base = base.select("*", *[words_of(F.col(c)).alias(f"{c}_words") for c in ("_title", "_text", "_sector")])
+    # Each text is cut into words once, of which only the profile's own go on.
+    known = sorted({t.lower() for terms, _ in vocabularies.values() for t in terms} | {t.lower() for f in profile.families for t in f.terms})
+    base = base.select("*", *[words_of(F.col(c), known).alias(f"{c}_words") for c in ("_title", "_text", "_sector")])
     years = F.array_max(F.transform(F.regexp_extract_all(F.lower(text(F.col("description"))), F.lit(YEARS), F.lit(1)), lambda y: y.cast("int")))
     family_hits = [hits(F.col("_title"), f.terms, F.col("_title_words")).alias(f"_family{i}") for i, f in enumerate(profile.families)]
     wide = base.select(

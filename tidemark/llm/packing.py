@@ -37,7 +37,7 @@ SEARCH_BINS, REMEMBERED = 96, 600_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
-#: Texts of these characters alone take the word-by-word path; others go through the tokenizer whole.
+#: Texts of these characters, or of printable ASCII and line feeds, take the word-by-word path; others go through the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]*")
 
 
@@ -58,6 +58,11 @@ class WordTokenizer:
         self.whole.encode_special_tokens = True
         rules = json.loads(self.whole.to_str())
         split = next(r for r in rules["pre_tokenizer"]["pretokenizers"] if r["type"] == "Split")
+        # For parts that are normal and split already: the same model behind a split at blanks.
+        rules["normalizer"] = None
+        rules["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"} if r is split else r for r in rules["pre_tokenizer"]["pretokenizers"]]
+        self.ready = Tokenizer.from_str(json.dumps(rules))
+        self.ready.encode_special_tokens = True
         self.parts = regex.compile(split["pattern"]["Regex"]).findall
         suffix = rules["model"]["end_of_word_suffix"]
         self.closes = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
@@ -68,7 +73,7 @@ class WordTokenizer:
     def _learn_parts(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            ids = np.array(self.whole.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.ready.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some):  # a part that is not closed by one id: each is asked for alone
                 for part in some:
@@ -81,7 +86,9 @@ class WordTokenizer:
 
     def _learn(self, new: set[str]) -> None:
         parts = self.parts
-        split = {word: [word] if word.isalpha() else parts(word) for word in new}
+        split = {
+            word: [word] if word.isalpha() else [word[:-1], word[-1]] if word[-1] in ",." and word[:-1].isalpha() else parts(word) for word in new
+        }
         known = self.known_parts
         self._learn_parts(list({p for own in split.values() for p in own}.difference(known)))
         for word, own in split.items():
@@ -92,7 +99,8 @@ class WordTokenizer:
         for memory in (self.known, self.known_parts):
             if len(memory) > REMEMBERED:
                 memory.clear()
-        split = [t.lower().split() if _PLAIN.fullmatch(t) else None for t in texts]
+        plain = lambda t: t.replace("\n", " ").isprintable() if t.isascii() else _PLAIN.fullmatch(t)
+        split = [t.lower().split() if plain(t) else None for t in texts]
         known = self.known
         new = {w for words in split if words for w in words if w not in known}
         if new:

@@ -278,5 +278,31 @@ def test_packing_whole(spark):
     assert packing.pack_documents(documents(spark, []), PATH).count() == 0
 
 
+class _Session:
+    """What scratch_dir asks of a session."""
+
+    def __init__(self, master, **settings):
+        self.settings, self.sparkContext, self.conf = settings, self, self
+        self.master = master
+
+    def get(self, name, default=None):
+        return self.settings.get(name.replace(".", "_"), default)
+
+
 def test_scratch_follows_the_session(spark):
-    assert common.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert common.scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert common.scratch_dir(_Session("yarn", spark_checkpoint_dir="hdfs://c/", spark_sql_warehouse_dir="hdfs://w")) == "hdfs://c/tidemark-scratch"
+    assert common.scratch_dir(_Session("yarn", spark_sql_warehouse_dir="hdfs://w")) == "hdfs://w/tidemark-scratch"
+    assert common.scratch_dir(_Session("local-cluster[2,1,1]", spark_sql_warehouse_dir="hdfs://w")) == "hdfs://w/tidemark-scratch"
+    assert common.scratch_dir(_Session("local[4]")).startswith("file:///")
+
+
+def test_scratch_can_be_cleared(spark):
+    held, common._written[:] = list(common._written), []
+    path = common.materialize(spark.range(5), "x").inputFiles()[0].rsplit("/", 1)[0]
+    assert spark.read.parquet(path).count() == 5
+    common.clear_scratch(spark)
+    assert not common._written
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    common._written[:] = held

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Scratch tables that this driver has written.
+_written: list[str] = []
 #: Documents' columns, in the order in which every pipeline stage returns them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -16,14 +18,15 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``, which every executor reaches.
-    Only where that is unset (tests in local mode) is one chosen here.
+    It is the session's ``spark.checkpoint.dir``, which every executor reaches. Where
+    that is unset, the warehouse is as shared; a session in local mode, as in tests,
+    takes a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        root = "file://" + tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidemark-scratch"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -34,11 +37,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     rebalanced first, so a small table is a few files, not one for each task.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.hint("rebalance").write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables that this driver has written; results that are not written yet must not need them."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -103,19 +103,20 @@ def final_status(postings: DataFrame, rejected: DataFrame, learned: DataFrame) -
 
     postings: company, title, description, band, eligibility, eligibility_reasons, years.
     A pair that was rejected, else a learned word, blocks; then a weak fit, unless the
-    posting is listed apart. learned words are few (those rejected repeatedly): they come
-    as one array by a join on a constant.
+    posting is listed apart. Learned words meet the words of the distinct titles, and the
+    first hit of a title comes back to its postings; all by equi-joins.
     """
     from tidemark.operators.feedback import words
 
     own = postings.columns
-    taught = learned.agg(F.sort_array(F.collect_set("word")).alias("_words"))
+    titles = postings.select(F.lower(text(F.col("title"))).alias("_t")).distinct()
+    hits = titles.select("_t", F.explode(words(F.col("_t"))).alias("word")).join(learned.select("word"), "word").groupBy("_t").agg(F.min("word").alias("_hit"))
     marked = (
         postings.withColumns({"_c": F.lower(text(F.col("company"))), "_t": F.lower(text(F.col("title")))})
         .join(rejected.select(F.col("company").alias("_c"), F.col("title").alias("_t"), F.lit(True).alias("_rejected")), ["_c", "_t"], "left")
-        .crossJoin(F.broadcast(taught))  # one row
+        .join(hits, "_t", "left")
     )
-    hit = F.get(F.array_sort(F.array_intersect(words(F.col("title")), F.col("_words"))), 0)
+    hit = F.col("_hit")
     why = F.when(F.coalesce("_rejected", F.lit(False)), "rejected before").when(hit.isNotNull(), F.concat(F.lit("rejected word: "), hit))
     note = lambda code, detail: F.array(F.struct(F.lit(code).alias("code"), detail.alias("detail"), text(F.col("title")).alias("quote")))
     one = marked.withColumn("_why", F.when(F.col("eligibility") != "blocked", why))

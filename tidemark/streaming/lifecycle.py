@@ -7,6 +7,7 @@ closing what a scanned employer no longer shows, is a batch step for each micro-
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from tidemark.operators.lifecycle import merge_scan
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint folder; in local sessions without one, under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder under the shared checkpoint folder, or where that is unset the warehouse; in local mode a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        root = "file://" + tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 

@@ -279,3 +279,56 @@ def test_queries_equal_their_sql(spark, sf_dir):
         a = sorted(tuple(plain(r[c]) for c in columns) for r in made.collect())
         b = sorted(tuple(plain(v) for v in r) for r in want.select(*[f'"{c}"' for c in columns]).fetchall())
         assert a == b, name
+
+
+def test_scan_run(spark, tmp_path):
+    """Two scans of two boards: what comes, closes, opens again, is dropped and is blocked."""
+    from tidemark.plans.scan_run import KEPT, LIFE, in_order, scan_run
+
+    def board(company, jobs, error=None):
+        rows = [{"title": t, "absolute_url": f"https://{company}.com/jobs/{i}", "location": {"name": place}, "content": text} for i, t, place, text in jobs]
+        return ("greenhouse", company, company, None if error else json.dumps({"jobs": rows}), error)
+
+    first = [
+        board("acme", [(1, "Claims Handler", "Dublin", "Excel"), (2, "Senior Claims Handler", "Dublin", ""), (3, "Claims Analyst - Slovak", "Cork", ""), (4, "Claims Handler", "Dublin", "again"), (5, "Clerk", "Paris", "")]),
+        board("beta", [(1, "Operations Analyst", "Cork", "Minimum 4 years of experience required.")]),
+    ]
+    second = [board("acme", [(1, "Claims Handler", "Dublin", "Excel, KPI")]), board("beta", [], "timeout")]
+    third = [board("acme", []), board("beta", [(1, "Operations Analyst", "Cork", "")])]
+    companies = spark.createDataFrame([("acme", 0, 30, None, "insurance", None, 5, None)], "name string, ordinal int, permits int, sponsor_confidence string, sector string, entry_routes string, fit_rank int, website string")
+    log = spark.createDataFrame([], "kind string, id string, title string, company string, reason string")
+    stored = spark.createDataFrame([], "id string, title string, company string, location string, url string, description string, posted_at string, source string, department string, employment_type string, closes_at string, salary string, ordinal long, first_seen timestamp, last_seen timestamp, closed boolean, closed_at timestamp, is_new boolean")
+    seen = []
+    for day, scan in enumerate((first, second, third), 1):
+        boards = spark.createDataFrame(scan, "ats string, token string, company string, raw string, error string").withColumn("ordinal", F.monotonically_increasing_id())
+
+        def cut(df, day=day, n=[0]):
+            n[0] += 1
+            df.write.mode("overwrite").parquet(str(tmp_path / f"{day}-{n[0]}"))
+            return spark.read.parquet(str(tmp_path / f"{day}-{n[0]}"))
+
+        result = scan_run(boards, companies, stored, log, DEFAULT, F.lit(f"2024-01-0{day}").cast("timestamp"), only=["greenhouse"], cut=cut)
+        out = cut(in_order(result.board))
+        stored = out.withColumn("closes_at", F.col("closes_at").cast("string")).select(*KEPT, *LIFE)
+        seen.append({(r["company"], r["title"]): r for r in out.collect()})
+        drops = {r["drop_reason"]: r["n"] for r in result.drops.collect()}
+        if day == 1:
+            assert drops == {"senior role": 1, "elsewhere": 1}
+    one, two, three = seen
+    key, other = ("acme", "Claims Handler"), ("beta", "Operations Analyst")
+    assert set(one) == {key, other} and one[key]["is_new"] and one[key]["sponsor_tier"] == 3 and one[key]["crack_it"]["family"] == "claims"
+    assert one[other]["eligibility"] == "blocked" and one[other]["years"] == 4
+    assert not two[key]["closed"] and not two[other]["closed"] and two[key]["score"] > one[key]["score"] and two[key]["first_seen"] == one[key]["first_seen"]
+    assert three[key]["closed"] and not three[other]["closed"] and three[other]["eligibility"] != "blocked"
+
+
+def test_today_marks_and_prospects(spark):
+    now = F.lit("2024-02-01").cast("timestamp")
+    at = lambda c: F.to_timestamp(c)
+    board = spark.createDataFrame([(80, "2024-01-24", False), (80, "2024-01-31", False), (80, "2024-01-24", True), (10, "2024-01-24", False)], "score int, f string, closed boolean").withColumn("first_seen", at("f"))
+    state = spark.createDataFrame([("a", "applied", "2024-01-01", None, None), ("b", "applied", "2024-01-31", None, None), ("c", None, None, True, "2024-01-01"), ("d", None, None, True, "2024-01-31")], "job_id string, status string, a string, hidden boolean, h string").withColumns({"applied_at": at("a"), "hidden_at": at("h")})
+    assert tuple(view.today(board, state, now).first()) == (1, 1)
+    assert sorted(r["job_id"] for r in view.live_marks(state, now).collect()) == ["a", "b", "d"]
+    register = spark.createDataFrame([("a", "likely", 9), ("b", "documented", None), ("c", None, 1), ("d", "documented", 99)], "name string, sponsor_confidence string, fit_rank int")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    assert [r["name"] for r in discovery.prospects(register, names("d", "c"), names("c"), 2).collect()] == ["b", "a"]

@@ -135,3 +135,14 @@ def unknown_hosts(pages: DataFrame, companies: DataFrame) -> DataFrame:
     """Pages of no known employer's host."""
     known = companies.select(host(F.col("website")).alias("_h")).where(F.col("_h") != "").distinct()
     return pages.join(known, host(F.col("url")) == F.col("_h"), "left_anti")
+
+
+def prospects(register: DataFrame, tracked: DataFrame, broken: DataFrame, top: int) -> DataFrame:
+    """The register's employers to look into next: not tracked, or tracked with a broken feed; the likeliest first.
+
+    register: name, sponsor_confidence, fit_rank.
+    """
+    confidence = F.when(F.col("sponsor_confidence") == "documented", 3).when(F.col("sponsor_confidence") == "likely", 2).when(F.col("sponsor_confidence") == "unverified", 1).otherwise(0)
+    skip = tracked.select("name").join(broken.select("name"), "name", "left_anti").distinct()
+    ranked = register.join(skip, "name", "left_anti").withColumn("priority", confidence * 12 + F.coalesce("fit_rank", F.lit(0)))
+    return ranked.orderBy(F.col("priority").desc(), "name").limit(top)

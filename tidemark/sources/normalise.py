@@ -189,7 +189,7 @@ def _successfactors() -> dict[str, Column]:
     return _either(lambda: (get("$.@type") != "") | (get("$.hiringOrganization.name") != ""), _jsonld, _feed)
 
 
-#: Platforms of one flat shape: where each part stands. ``posted`` is a date, the rest text; url may be made of the token.
+#: Platforms of one flat shape: where each part stands. ``posted`` is a date, the rest text; url may be made of the token.
 FLAT: dict[str, dict[str, tuple[str, ...]]] = {
     "icims": {"title": ("$.title",), "url": ("$.url",)},
     "avature": {"title": ("$.title",), "url": ("$.url",)},
@@ -209,7 +209,7 @@ FLAT: dict[str, dict[str, tuple[str, ...]]] = {
     "apiprobe": {"title": ("$.title",), "location": ("$.location",), "url": ("$.url",), "description": ("$.description",)},
     "phenom": {"title": ("$.title", "$.name"), "location": ("$.location", "$.cityStateCountry", "$.city"), "url": ("$.applyUrl", "$.jobUrl", "$.canonicalPositionUrl"), "posted": ("$.postedDate", "$.t_create")},
 }
-#: Addresses made of the board's token and an id, where a row gives none.
+#: Addresses made of the board's token and an id, where a row gives none.
 MADE_URLS = {
     "taleo": ("https://", "/careersection/jobdetail.ftl?job=", "$.contestNo"),
     "cornerstone": ("https://", "/ux/ats/careersite/1/requisition/", "$.requisitionId"),

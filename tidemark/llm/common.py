@@ -66,7 +66,7 @@ def same_document(doc_id: str, text_hash: str) -> Column:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the rows that no model here learns from."""
+    """True for the fifth of the rows that no model here learns from; null for a null id, which none learns from either."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 

@@ -25,6 +25,8 @@ from tidemark.llm import common
 
 #: Sites that make a line boilerplate, and the sketch's log2 of buckets.
 MIN_SITES, LG_K = 10, 10
+#: Tasks among which the places of one line are dealt.
+SALTS = 8
 TRIMMED = " \t\r"
 
 
@@ -69,7 +71,10 @@ def boilerplate_places(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
         .select("k1", "k2", F.col("first.d").alias("d1"), F.col("first.pos").alias("pos1"), F.col("first.th").alias("th1"))
     )
     stays = F.col("d").eqNullSafe(F.col("d1")) & (F.col("pos") == F.col("pos1")) & (F.col("th") == F.col("th1"))
-    return hits.join(decided, ["k1", "k2"]).where(~stays).groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
+    # A line may stand in a third of all documents: its places are dealt over SALTS tasks, and its decision to each.
+    dealt = hits.withColumn("salt", F.pmod(F.xxhash64("th", "pos"), F.lit(SALTS)))
+    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(decided, ["k1", "k2", "salt"]).where(~stays).groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
 def _marks(drop: Column) -> Column:

@@ -67,7 +67,7 @@ def term_hits(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return scoring.score_postings(tables.postings(spark, sf_dir), CORPUS)
+    return scoring.score_postings(tables.spread(tables.postings(spark, sf_dir)), CORPUS)
 
 
 @query(f"SELECT doc_id, score, band FROM ({SCORED})")
@@ -398,7 +398,7 @@ def stream_lifecycle(spark, sf_dir):
 @query()
 def eligibility_status(spark, sf_dir):
     """Clause-reading rules, routes and final status over every document."""
-    scored = scoring.score_postings(tables.postings(spark, sf_dir), DEFAULT)
+    scored = scoring.score_postings(tables.spread(tables.postings(spark, sf_dir)), DEFAULT)
     judged = eligibility.with_eligibility(routes.with_routes(scored))
     log = tables.feedback(spark, sf_dir)
     final = routes.final_status(judged, feedback.rejected_pairs(log), feedback.learned_words(log))

@@ -10,6 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    A table of many files has that already and is left as it is; one of a few row groups would run in a few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as postings: the first line is the title, the source the employer, the language the place."""
     docs = read(spark, sf_dir, "documents")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, flac, html_layout, license_rules, toxicity, zstd_quality
+from tidemark.llm import chat_format, common, flac, html_layout, license_rules, toxicity, zstd_quality
 from tidemark.llm.queries import op3_flac, op5_license_rules
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -62,6 +62,20 @@ def test_classifier_with_nothing_to_learn(spark, module):
         assert len(rows) == 40 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_label_sample_is_bounded_by_ids(spark):
+    ids = [d for d in range(60) if zlib.crc32(str(d).encode()) % 5]
+    docs = spark.createDataFrame([(d, f"text {k}") for d in range(60) for k in (2, 1, 1)] + [(ids[0], None), (None, "x")], "doc_id long, text string")
+    rows = [(d, 1, d % 2) for d in range(60)] + [(ids[1], 1, 0), (ids[1], 1, 1), (ids[1], 1, 1), (None, 1, 1), (ids[2], None, None)]
+    labels = spark.createDataFrame(rows, LABELS)
+    for partitions in (1, 7):
+        sample = common.label_sample(docs.repartition(partitions), labels.repartition(partitions), "toxic", (10, 10), 1000).collect()
+        assert 10 <= len(sample) <= 20 and len({r["doc_id"] for r in sample}) == len(sample)
+        assert all(r["text"] == "text 1" and r["doc_id"] in ids for r in sample)
+        assert all(r["label"] == r["doc_id"] % 2 for r in sample if r["doc_id"] != ids[1])
+    whole = common.label_sample(docs, labels, "toxic", (100, 100), 1000).collect()
+    assert sorted(r["doc_id"] for r in whole) == ids and {r["doc_id"]: r["label"] for r in whole}[ids[1]] == 1
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels = labelled(spark)
     model = zstd_quality.fit(docs, labels)

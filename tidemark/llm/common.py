@@ -75,7 +75,8 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int
 
     Rows are taken in the order of a hash of doc_id, so the sample does not
     depend on how the tables are partitioned. Texts over max_bytes are left out
-    of the sample (of the sample only: every row is scored).
+    of the sample (of the sample only: every row is scored). An id labelled both ways
+    counts as 1; of an id's texts the smallest is taken.
     """
     learnable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))
@@ -87,7 +88,9 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
     # At most sum(rows) rows of two numbers each: safe to broadcast at any table size.
-    return texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
+    # An id may stand in many rows; one text of each keeps the sample within its bound.
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def label_counts(labels: DataFrame, label: str) -> dict[int, int]:

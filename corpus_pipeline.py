@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, line_spread, packing, simhash_bk, spaced_seed, zstd_quality
+from tidemark.llm import common, line_spread, near_pairs, packing, spaced_seed, zstd_quality
 
 
 def _as_documents(df: DataFrame) -> DataFrame:
@@ -40,8 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return _as_documents(simhash_bk.keep_one(docs))
+    """Keeps one document of each group of near copies: five-word shingles, similarity 0.8."""
+    return _as_documents(near_pairs.keep_one(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

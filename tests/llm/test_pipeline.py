@@ -1,5 +1,8 @@
 """The pipeline's stages one by one, on the smallest tables, against what each must do."""
 
+import itertools
+import random
+
 import corpus_pipeline
 from tests.llm.test_pairs_and_lines import brute_leaks, brute_lines, naive_components, naive_print
 
@@ -36,3 +39,34 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def _five(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    """Components of all pairs of similarity 0.8 or more, also those that SimHash at three bits leaves apart."""
+    r = random.Random(3)
+    rows = []
+    for base in range(30):
+        text = [f"w{r.randrange(300)}" for _ in range(r.randrange(60, 160))]
+        for _ in range(6):
+            copy = list(text)
+            for _ in range(r.randrange(5)):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(1000)}"
+            rows.append((len(rows), " ".join(copy)))
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows += [(len(rows) + i, passage + " " + " ".join(f"o{i}_{j}" for j in range(60))) for i in range(20)]
+    rows += [(900, "A  b"), (901, "a B"), (902, None), (903, ""), (904, "one two three four six"), (905, "one two three four five")]
+    sets = {d: _five(t or "") for d, t in rows}
+    group = {d: d for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {d: low if g == high else g for d, g in group.items()}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    simhash = naive_components({d: naive_print(t or "") for d, t in rows})
+    assert got == set(group.values()) and len(got) < len(set(simhash.values()))

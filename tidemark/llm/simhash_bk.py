@@ -215,10 +215,11 @@ def links(prints: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFr
     return meetings.repartition(*where).sortWithinPartitions(*where, "fp").mapInPandas(_meet(radius), "u long, v long")
 
 
-def assign(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, th (hash of the text), fp (long) and component_id of every row of docs."""
+def assign(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, **also: Column) -> DataFrame:
+    """doc_id, th (hash of the text), fp (long) and component_id of every row of docs, and the columns also."""
+    own = [column.alias(name) for name, column in also.items()]
     prints = common.materialize(
-        docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint_column(F.col("text"), shingle).alias("fp")), "prints"
+        docs.select("doc_id", F.xxhash64("text").alias("th"), fingerprint_column(F.col("text"), shingle).alias("fp"), *own), "prints"
     )
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components.roots(links(nodes.select("fp"), radius))
@@ -226,7 +227,7 @@ def assign(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Dat
     labelled = common.materialize(labelled, "prints-root")
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "th", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "th", "fp", "component_id", *also)
 
 
 def as_hex(fp: Column) -> Column:
@@ -238,8 +239,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 
     Rows without doc_id in a component without any id are reduced to one as well.
     """
+    return one_of_each(docs, assign(docs, shingle, radius))
+
+
+def one_of_each(docs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One document of each component of assigned (doc_id, th, fp, component_id)."""
     own = docs.columns
-    assigned = common.materialize(assign(docs, shingle, radius), "prints-component")
+    assigned = common.materialize(assigned, "prints-component")
     # A component's representative: its smallest id, and one text hash of the rows with that id.
     best = (
         assigned.where(F.col("doc_id").eqNullSafe(F.col("component_id")))

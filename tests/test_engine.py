@@ -204,6 +204,17 @@ def test_board_source(spark, tmp_path):
     assert rows[0]["error"] is None and json.loads(rows[0]["raw"])["jobs"] and rows[1]["raw"] is None and "FetchError" in rows[1]["error"]
 
 
+def test_large_responses_stay_whole_and_broken_ones_are_errors(spark, tmp_path):
+    (tmp_path / "large.json").write_text(json.dumps({"jobs": [{"title": f"A{i}", "description": "x" * 70_000} for i in range(100)]}))
+    (tmp_path / "cut.json").write_text('{"jobs": [{"title": "A"')
+    (tmp_path / "cut.xml").write_text("<workzag-jobs><position><name>A</name></position>")
+    spark.dataSource.register(BoardSource)
+    boards = [{"ats": a, "token": f, "company": f, "url": f"file://{tmp_path}/{f}"} for a, f in (("ashby", "large.json"), ("ashby", "cut.json"), ("personio", "cut.xml"))]
+    rows = spark.read.format("boards").option("boards", json.dumps(boards)).option("pause_s", "0").load().orderBy("ordinal").collect()
+    assert rows[0]["error"] is None and len(json.loads(rows[0]["raw"])["jobs"]) == 100
+    assert all(r["raw"] is None and "does not parse" in r["error"] for r in rows[1:])
+
+
 def test_listing_helpers(spark):
     sitemap = spark.createDataFrame([("t", "<urlset>" + "".join(f"<url><loc>https://x.com/jobs/{i}</loc></url>" for i in range(60)) + "<loc>https://x.com/about</loc></urlset>")], "token string, raw string")
     urls = parse.sitemap_urls(sitemap).orderBy("rank").collect()

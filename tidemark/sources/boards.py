@@ -6,24 +6,30 @@
 ``boards`` is a JSON array of {ats, token, company, url, and optionally body}. A board that
 fails becomes a row with an error and no raw text; it never fails the job. Transport
 errors are tried again with a growing pause; a page that is gone is not. Responses are
-kept whole as text, and parsed by DataFrame code in ``parse``.
+kept whole as text, and parsed by DataFrame code in ``parse``. A JSON or XML response that
+does not parse, or one that breaks off, is an error too: its board has not answered.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 import urllib.error
 import urllib.request
+import xml.parsers.expat
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.schema import RAW_BOARD
+from tidemark.sources.parse import ARRAYS
 
-TRIES, TIMEOUT_S, MAX_BYTES = 3, 25, 6_000_000
+TRIES, TIMEOUT_S = 3, 25
 GONE = (404, 410)
+#: Platforms that answer in JSON, and in XML.
+JSON, XML = frozenset(ARRAYS) | {"apiprobe"}, frozenset({"personio", "rssfeed"})
 
 
 class FetchError(Exception):
@@ -38,18 +44,29 @@ def fetch(url: str, body: dict | None = None, pause_s: float = 0.5) -> str:
     for attempt in range(TRIES):
         try:
             with urllib.request.urlopen(urllib.request.Request(url, data=data, headers=headers), timeout=TIMEOUT_S) as response:
-                return response.read(MAX_BYTES).decode("utf-8", "replace")
+                return response.read().decode("utf-8", "replace")
         except urllib.error.HTTPError as e:
             if e.code in GONE:
                 raise FetchError(f"gone: {e.code}") from e
             last = e
-        except (urllib.error.URLError, OSError, ValueError) as e:
+        except (urllib.error.URLError, http.client.HTTPException, OSError, ValueError) as e:
             last = e
         if attempt + 1 < TRIES:
             time.sleep(pause_s * 2**attempt)
     raise FetchError(str(last))
 
 
+def check_whole(ats: str | None, raw: str) -> None:
+    """Raises for a response that should be JSON or XML and does not parse."""
+    try:
+        if ats in JSON:
+            json.loads(raw)
+        elif ats in XML or (ats == "successfactors" and raw.lstrip()[:5].lower() in ("<?xml", "<rss ", "<feed")):
+            xml.parsers.expat.ParserCreate().Parse(raw.strip(), True)
+    except (ValueError, RecursionError, xml.parsers.expat.ExpatError) as e:
+        raise FetchError(f"does not parse: {e}") from e
+
+
 class BoardPartition(InputPartition):
     def __init__(self, ordinal: int, board: dict):
         self.ordinal, self.board = ordinal, board
@@ -70,7 +87,9 @@ class BoardReader(DataSourceReader):
         raw = error = None
         try:
             raw = fetch(board["url"], board.get("body"), self.pause_s)
+            check_whole(board.get("ats"), raw)
         except (FetchError, KeyError) as e:
+            raw = None
             error = f"{type(e).__name__}: {e}"[:300]
         yield board.get("ats"), board.get("token"), board.get("company"), raw, partition.ordinal, datetime.now(timezone.utc), error
 

@@ -186,6 +186,16 @@ def test_layout(page, text):
     assert html_layout.extract(page) == text
 
 
+def test_layout_of_stray_text_formulas_drawings_and_row_spans():
+    assert html_layout.extract("<table><tr>stray<td>x</table>").split() == ["stray", "x"]
+    assert html_layout.extract("<table><tbody>loose<tr><td>x</table>").split() == ["loose", "x"]
+    assert html_layout.extract("<p>a <math><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> b") == "a 1 2 b"
+    assert html_layout.extract("<svg><title>t</title><defs><text>no</text></defs><g><path d='M0'/><text>Label</text></g></svg>") == "Label"
+    page = "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>"
+    assert html_layout.extract(page) == "a | b\n  | c"
+    assert html_layout.extract("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a | b\nc | d"
+
+
 def test_layout_of_deep_and_long_pages():
     assert html_layout.extract("<div><p>" * 30_000 + "deep") == "deep"
     assert html_layout.extract("<b>" * 50_000 + "x") == "x"

@@ -31,7 +31,11 @@ _set = lambda words: frozenset(words.split())
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 #: Elements whose content is text up to their end tag.
 RAW = _set("script style textarea title noscript iframe noembed noframes xmp")
-HIDDEN = _set("script style head title meta link template noscript iframe object svg math canvas audio video noembed noframes datalist")
+HIDDEN = _set("script style head title meta link template noscript iframe object canvas audio video noembed noframes datalist annotation annotation-xml")
+#: In drawings: what is not drawn where it stands.
+UNDRAWN = _set("defs symbol desc metadata clippath mask pattern marker")
+#: In formulas: elements whose parts stand apart.
+APART = _set("mfrac msub msup msubsup munder mover munderover mroot mtr mtable")
 BLOCKS = _set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -60,7 +64,8 @@ CLOSES = {
 ENDS_P = BLOCKS - _set("li dd dt option optgroup td th tr tbody thead tfoot caption html body legend summary")
 #: An end tag looks no further up than these.
 SCOPE = _set("table td th caption html template")
-MOST_SPAN = 50
+#: HTML's own bounds on colspan and rowspan.
+MOST_SPAN, MOST_DOWN = 1000, 65534
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -264,6 +269,54 @@ def _span(node: Node) -> int:
     return min(max(int(said), 1), MOST_SPAN) if said.isascii() and said.isdigit() and len(said) < 6 else 1
 
 
+def _down(node: Node) -> int:
+    """Rows that a cell takes; 0 is all that follow in its section."""
+    said = node.attrs.get("rowspan", "1").strip()
+    return min(int(said), MOST_DOWN) if said.isascii() and said.isdigit() and len(said) < 6 else 1
+
+
+def _placed(rows: list[list[tuple[str, int, bool, int]]], ends: list[int]) -> list[list[tuple[str, int, bool]]]:
+    """Rows of (text, columns spanned, header), with empty cells below those that take several rows.
+
+    ends: for each row the number of the row after its section, which no cell leaves.
+    """
+    taken: dict[int, int] = {}  # column: the row from which it is free
+    out = []
+    for k, row in enumerate(rows):
+        placed: list[tuple[str, int, bool]] = []
+        at = 0
+        for said, span, header, down in row:
+            while taken.get(at, 0) > k:
+                placed.append(("", 1, True))
+                at += 1
+            placed.append((said, span, header))
+            if down != 1:
+                free = min(k + down, ends[k]) if down else ends[k]
+                taken |= dict.fromkeys(range(at, at + span), free)
+            at += span
+        if any(free > k and column >= at for column, free in taken.items()):
+            last = max(column for column, free in taken.items() if free > k)
+            placed += [("", 1, True)] * (last + 1 - at)
+        taken = {column: free for column, free in taken.items() if free > k + 1}
+        out.append(placed)
+    return out
+
+
+def _drawn(svg: Node) -> list:
+    """The text elements of a drawing, blanks around them."""
+    found: list = []
+    work = list(reversed(svg.children))
+    while work:
+        item = work.pop()
+        if isinstance(item, str) or not visible(item) or item.tag in UNDRAWN:
+            continue
+        if item.tag in ("text", "foreignobject"):
+            found += [" ", item, " "]
+        else:
+            work.extend(reversed(item.children))
+    return found
+
+
 def _table_lines(rows: list[list[tuple[str, int, bool]]]) -> list[str]:
     """Rows of (text, columns spanned, header) as aligned lines; cells of several lines take several."""
     widths: list[int] = []
@@ -384,17 +437,19 @@ def render(root: Node) -> str:
             later(*item.children, end_quote)
         elif tag == "table":
             lines.space(1)
-            rows: list[list[tuple[str, int, bool]]] = []
+            rows: list[list[tuple[str, int, bool, int]]] = []
+            ends: list[int] = []
             captions: list[str] = []
-            held = (lines, rows, captions, list(lists), pre)
+            held = (lines, rows, captions, list(lists), pre, ends)
 
             def end_table(held=held) -> None:
                 nonlocal lines, lists, pre
                 lines, rows, captions, lists, pre = held[0], held[1], held[2], held[3], held[4]
+                lines.end()
                 for said in captions:
                     lines.now.append(said)
                     lines.end()
-                for said in _table_lines([r for r in rows if any(c[0] for c in r)]):
+                for said in _table_lines([r for r in _placed(rows, held[5]) if any(c[0] for c in r)]):
                     lines.now.append(said)
                     lines.end()
                 lines.space(1)
@@ -412,20 +467,29 @@ def render(root: Node) -> str:
                     steps += [_cell(begin=True), *group.children, _cell(begin=False, into=captions)]
                 elif group.tag in ("tbody", "thead", "tfoot"):
                     for row in group.children:
-                        if isinstance(row, str) or not visible(row):
+                        if isinstance(row, str):
+                            if row.strip():
+                                steps += [row, " "]
+                            continue
+                        if not visible(row):
                             continue
                         if row.tag != "tr":
                             steps.append(row)
                             continue
-                        own: list[tuple[str, int, bool]] = []
+                        own: list[tuple[str, int, bool, int]] = []
                         rows.append(own)
                         for cell in row.children:
-                            if isinstance(cell, str) or not visible(cell):
+                            if isinstance(cell, str):
+                                if cell.strip():
+                                    steps += [cell, " "]
+                                continue
+                            if not visible(cell):
                                 continue
                             if cell.tag in ("td", "th"):
-                                steps += [_cell(begin=True), *cell.children, _cell(begin=False, into=own, span=_span(cell), header=cell.tag == "th")]
+                                steps += [_cell(begin=True), *cell.children, _cell(begin=False, into=own, span=_span(cell), header=cell.tag == "th", down=_down(cell))]
                             else:
                                 steps.append(cell)
+                    ends += [len(rows)] * (len(rows) - len(ends))
                 elif group.tag not in ("colgroup", "col"):
                     steps.append(group)
 
@@ -441,11 +505,15 @@ def render(root: Node) -> str:
                         lines.end()
                         said = "\n".join(lines.done).strip("\n")
                         lines, _ = tables.pop()
-                        step.into.append((said, step.span, step.header) if step.span else said)
+                        step.into.append((said, step.span, step.header, step.down) if step.span else said)
 
                 return run
 
             later(*map(bind, steps), end_table)
+        elif tag == "svg":
+            later(*_drawn(item))
+        elif tag in APART:
+            later(*[part for child in item.children for part in (child, " ")])
         elif tag in BLOCKS:
             space = 1 if tag in SPACED else 0
             lines.space(space)
@@ -459,10 +527,10 @@ def render(root: Node) -> str:
 class _cell:
     """Marks the begin or end of a table cell (or, with span 0, of a caption) among the steps of a table."""
 
-    __slots__ = ("begin", "into", "span", "header")
+    __slots__ = ("begin", "into", "span", "header", "down")
 
-    def __init__(self, begin: bool, into: list | None = None, span: int = 0, header: bool = False):
-        self.begin, self.into, self.span, self.header = begin, into, span, header
+    def __init__(self, begin: bool, into: list | None = None, span: int = 0, header: bool = False, down: int = 1):
+        self.begin, self.into, self.span, self.header, self.down = begin, into, span, header, down
 
 
 def extract(page: str | None) -> str:

@@ -215,6 +215,13 @@ def test_large_responses_stay_whole_and_broken_ones_are_errors(spark, tmp_path):
     assert all(r["raw"] is None and "does not parse" in r["error"] for r in rows[1:])
 
 
+def test_an_employer_with_a_lost_page_is_not_scanned(spark):
+    from tidemark.plans.scan_run import answered
+
+    boards = spark.createDataFrame([("A", None), ("A", "FetchError"), ("B", None), ("B", None), ("C", "FetchError")], "company string, error string")
+    assert [r["company"] for r in answered(boards).collect()] == ["B"]
+
+
 def test_listing_helpers(spark):
     sitemap = spark.createDataFrame([("t", "<urlset>" + "".join(f"<url><loc>https://x.com/jobs/{i}</loc></url>" for i in range(60)) + "<loc>https://x.com/about</loc></urlset>")], "token string, raw string")
     urls = parse.sitemap_urls(sitemap).orderBy("rank").collect()

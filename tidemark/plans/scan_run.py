@@ -43,6 +43,11 @@ def _above_floor(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("score") >= MIN_SCORE) | _listed_apart())
 
 
+def answered(boards: DataFrame) -> DataFrame:
+    """The employers of which every response arrived; one lost page may hold any of their postings."""
+    return boards.groupBy("company").agg(F.bool_and(F.col("error").isNull()).alias("whole")).where("whole").select("company")
+
+
 def scan_run(
     boards: DataFrame,
     companies: DataFrame,
@@ -65,7 +70,7 @@ def scan_run(
     kept, drops = gates.apply_gates(marked.withColumn("researched", F.coalesce("researched", F.lit(False))), profile)
     best = cut(dedupe.best_posting(_above_floor(_judged(kept.select(*KEPT), companies, profile))).select(*KEPT))
 
-    scanned = boards.where(F.col("error").isNull()).select("company").distinct()
+    scanned = answered(boards)
     life = lifecycle.age_out(lifecycle.merge_scan(stored.select("id", "company", *LIFE), best.select("id", "company"), scanned, now), now)
     # What a posting says: as seen now, else as stored.
     said = dedupe.best_per(

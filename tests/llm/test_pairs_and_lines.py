@@ -119,7 +119,7 @@ def test_components_equal_brute_force(spark):
     assert len(set(got.values())) < len(got) - 5
 
 
-def test_large_shards_meet_piece_by_piece(spark):
+def test_large_shards_are_divided(spark):
     r = random.Random(5)
     center, prints = r.getrandbits(64), set()
     while len(prints) < 300:

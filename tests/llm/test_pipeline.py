@@ -27,7 +27,7 @@ def test_stages(spark, sf_dir, tmp_path):
     want = brute_lines([(d, r["text"], r["source"]) for d, r in good.items()], 10)
     assert {d: r["text"] for d, r in lines.items()} == {d: t for d, t in want.items() if t == good[d]["text"] or t.strip(" \t\r\n")}
     assert all(r["n_chars"] == len(r["text"]) for r in lines.values())
-    group = naive_components({d: naive_print(r["text"]) for d, r in lines.items()})
+    group = near_groups({d: r["text"] for d, r in lines.items()})
     assert set(one) == set(group.values()) and all(one[d] == lines[d] for d in one)
     items = [(r["item_id"], r["text"]) for r in common.table(spark, sf_dir, "benchmark").collect()]
     leaked = {d for d, _ in brute_leaks([(d, r["text"], None) for d, r in one.items()], items, spaced_seed.MIN_OVERLAP)}
@@ -46,6 +46,17 @@ def _five(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
+def near_groups(texts):
+    """The smallest id of each text's component of all pairs at five words and similarity 0.8."""
+    sets = {d: _five(t or "") for d, t in texts.items()}
+    group = {d: d for d in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
 def test_near_duplicates_at_five_words_and_four_fifths(spark):
     """Components of all pairs of similarity 0.8 or more, also those that SimHash at three bits leaves apart."""
     r = random.Random(3)
@@ -60,12 +71,7 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows += [(len(rows) + i, passage + " " + " ".join(f"o{i}_{j}" for j in range(60))) for i in range(20)]
     rows += [(900, "A  b"), (901, "a B"), (902, None), (903, ""), (904, "one two three four six"), (905, "one two three four five")]
-    sets = {d: _five(t or "") for d, t in rows}
-    group = {d: d for d in sets}
-    for a, b in itertools.combinations(sets, 2):
-        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
-            low, high = sorted((group[a], group[b]))
-            group = {d: low if g == high else g for d, g in group.items()}
+    group = near_groups(dict(rows))
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     simhash = naive_components({d: naive_print(t or "") for d, t in rows})

@@ -60,6 +60,43 @@ def private(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_tidemark_{c}") for c in df.columns])
 
 
+#: Bits of a sieve: about eight for each key, within these bounds. The largest is 32 MB.
+LEAST_SIEVE, MOST_SIEVE = 1 << 16, 1 << 28
+
+
+def _marked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with _tidemark_passes: false where the long in column is certainly none of keys."""
+    (key,) = keys.columns
+    bits, count = LEAST_SIEVE, keys.count()
+    while bits < min(8 * count, MOST_SIEVE):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(bits))
+    held = keys.select(place(F.col(key)).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_tidemark_bucket"))
+    # At most MOST_SIEVE bits in rows of 32,768: safe to broadcast at any table size.
+    held = F.broadcast(held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_tidemark_bits")))
+    joined = df.withColumn("_tidemark_place", place(F.col(column))).withColumn("_tidemark_bucket", F.bitmap_bucket_number("_tidemark_place")).join(held, "_tidemark_bucket", "left")
+    at = F.bitmap_bit_position("_tidemark_place")
+    byte = F.conv(F.hex(F.substring("_tidemark_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int") + 1)
+    return joined.select(*df.columns, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False)).alias("_tidemark_passes"))
+
+
+def sifted(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose long in column may be one of keys, the others), without a shuffle.
+
+    A bitmap of the keys' hashes is broadcast. Its size is bounded: it grows with the number
+    of keys up to MOST_SIEVE bits, beyond which more and more rows may pass; an exact join
+    has to follow in any case. keys: one long column, of a written table.
+    """
+    marked = _marked(df, column, keys)
+    return tuple(marked.where(test).drop("_tidemark_passes") for test in (F.col("_tidemark_passes"), ~F.col("_tidemark_passes")))
+
+
+def sieve(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The first part of sifted."""
+    return sifted(df, column, keys)[0]
+
+
 def same_document(doc_id: str, text_hash: str) -> Column:
     """A join condition: rows of documents that agree with a key in doc_id, nulls included, and text."""
     return F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(text_hash))

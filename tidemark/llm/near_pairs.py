@@ -1,20 +1,29 @@
 """Groups of texts whose word five-grams have a Jaccard similarity of 0.8 or more, exactly.
 
 The pipeline's near-duplicate stage. Texts that agree but for case and blanks are one
-node. Two sets with similarity s share an element among the first
-n - ceil(s * n) + 1 of each, in any order common to all sets, so nodes meet on those
-elements (the prefix filter): no pair is lost. The order puts elements that are common
-in a bounded sample of texts last, so widespread passages rarely make nodes meet; the
-sample decides only the order, never the result.
-
-Candidates are verified on the whole sets, in two turns: first each node with the
-representative of its SimHash group and with the smallest node of each meeting, which
-links the members of large groups by a number of pairs linear in their size; then all
-pairs of a meeting that are not in one component yet. Pairs within a component need no
-check, so the components are those of all pairs.
+node. SimHash groups of three differing bits give the first candidates; they alone would
+lose most pairs near 0.8, so nodes also meet on shared five-grams. Two sets with
+similarity s share an element among the first n - ceil(s * n) + 1 of each, in any order
+common to all sets (the prefix filter): no pair is lost. The order puts elements that
+are common in a bounded sample of texts last, so widespread passages rarely make nodes
+meet; the sample decides only the order, never the result.
+
+Candidates go through three tests, none of which loses a pair: their sizes; the number of
+prefix elements that they share, which a pair of such overlap cannot fall below; and the
+distance of parity sketches (a bit for each residue of the element's hash, flipped by
+each element), which the symmetric difference of two sets cannot fall below. What is left
+is verified on the whole sets. Work goes in turns: first each node against one candidate
+at a time (its SimHash group's first node, then the node that it meets most often among
+the first ones of its meetings, in two orders), which joins large groups by a number of
+pairs linear in their size; then all pairs of a meeting that are not in one component
+yet. Pairs within a component need no test, so components are those of all pairs.
+
+Texts are not shuffled whole: a bitmap of bounded size sieves the rows that a step asks
+for, and an exact join behind it decides.
 
 Defined results: null text counts as empty; a text under five words is one shingle;
-texts without words are one node.
+texts without words are one node; of rows without doc_id in a group of such rows only,
+one stays; repeated rows are reduced to one.
 """
 
 from __future__ import annotations
@@ -26,15 +35,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tidemark.llm import common, components, simhash_bk
 
 SHINGLE, SEED = 5, 42
 #: The similarity as a fraction, so that bounds are integers.
 NEAR, OF = 4, 5
-#: Nodes of the sample that orders the elements, and in how many of them an element is common.
+#: Texts of the sample that orders the elements, and in how many of them an element is common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 200_000
+#: Bits of the smallest and of the largest parity sketch.
+LEAST_SKETCH, MOST_SKETCH = 64, 1 << 16
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -70,49 +80,39 @@ def prefix_of(hashes: np.ndarray, common_hashes: np.ndarray, ranks: np.ndarray)
     return hashes[np.argsort(rank, kind="stable")[:most]]
 
 
-def node_column(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(np.fromiter((node_of(t) for t in texts), np.uint64, len(texts)).view(np.int64))
-
-    return node(text)
-
-
-def set_column(text: Column) -> Column:
-    """The shingle hashes as bytes."""
-
-    @F.pandas_udf("binary")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingles_of(t).tobytes() for t in texts], dtype=object)
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch as longs: about two bits an element, a power of two of them."""
+    bits = LEAST_SKETCH
+    while bits < min(2 * len(hashes), MOST_SKETCH):
+        bits *= 2
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
-    return shingles(text)
 
+def sketch_distance(a: Column, b: Column) -> Column:
+    """Differing bits of two parity sketches; the longer is folded to the shorter's length first."""
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+    short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    width, times = F.size(short), (F.size(long_) / F.size(short)).cast("int")
+    fold = F.transform(
+        F.sequence(F.lit(1), width),
+        lambda i: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.element_at(long_, k * width + i))),
+    )
+    return F.when(F.size(a) == F.size(b), bits(a, b)).otherwise(bits(short, fold))
 
-@F.pandas_udf(BooleanType())
-def _near(left: pd.Series, right: pd.Series) -> pd.Series:
-    def near(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return OF * both >= NEAR * (len(x) + len(y) - both)
 
-    return pd.Series([near(a, b) for a, b in zip(left, right, strict=True)], dtype=bool)
-
-
-def _common(docs: DataFrame, prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that stand in several nodes of a bounded sample, ascending, and their ranks from the rarest up."""
-    chosen = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d")).orderBy(F.xxhash64("node")).limit(SAMPLE)
-    # At most SAMPLE rows of two numbers: safe to broadcast at any table size.
-    key = F.broadcast(common.private(chosen.select("d.doc_id", "d.th").distinct()))
-    texts = docs.join(key, common.same_document("_tidemark_doc_id", "_tidemark_th"), "left_semi").select("doc_id", "text").distinct()
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that stand in several texts of a bounded sample, ascending, and their ranks from the rarest up."""
+    texts = docs.select(F.xxhash64("text").alias("th")).distinct().orderBy(F.xxhash64("th"), "th").limit(SAMPLE)
+    # At most SAMPLE rows of one number: safe to broadcast at any table size. A text that stands in many rows counts once.
+    some = docs.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(texts), "th").groupBy("th").agg(F.min("text").alias("text"))
 
     def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sets = [shingles_of(t) for t in frame["text"]]
             yield pd.DataFrame({"h": (np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64)})
 
-    counts = texts.select("text").mapInPandas(elements, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = some.select("text").mapInPandas(elements, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).collect()
     hashes = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     ranks = np.array([r["n"] for r in rows], np.int64)
@@ -120,94 +120,133 @@ def _common(docs: DataFrame, prints: DataFrame) -> tuple[np.ndarray, np.ndarray]
     return hashes[order], ranks[order]
 
 
-def _meetings(docs: DataFrame, common_hashes: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(key, node, n, first, first_n): nodes of n elements that meet on key with others, and the smallest of these."""
-    shared = docs.sparkSession.sparkContext.broadcast((common_hashes, ranks))
+def _prints(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: doc_id, th (hash of the text), fp, node, n (elements), sketch and keys (the prefix) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, nodes, sizes = [], [], []
-            for t in frame["text"]:
-                hashes = shingles_of(t)
-                keys.append(prefix_of(hashes, *shared.value))
-                nodes.append(node_of(t))
-                sizes.append(len(hashes))
-            if keys:
-                n = [len(k) for k in keys]
+            for at in range(0, len(frame), 512):  # long texts have long prefixes
+                part = frame.iloc[at : at + 512]
+                sets = [shingles_of(t) for t in part["text"]]
                 yield pd.DataFrame(
-                    {"key": np.concatenate(keys).view(np.int64), "node": np.repeat(np.array(nodes, np.uint64).view(np.int64), n), "n": np.repeat(sizes, n)}
+                    {
+                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                        "th": part["th"].to_numpy(),
+                        "fp": np.array([simhash_bk.fingerprint_of(t) for t in part["text"]], np.uint64).view(np.int64),
+                        "node": np.array([node_of(t) for t in part["text"]], np.uint64).view(np.int64),
+                        "n": [len(s) for s in sets],
+                        "sketch": [sketch_of(s) for s in sets],
+                        "keys": [prefix_of(s, *shared.value).view(np.int64) for s in sets],
+                    }
                 )
 
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted; a meeting may reach over several frames."""
-        held: pd.DataFrame | None = None
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(
+        read, "doc_id long, th long, fp long, node long, n int, sketch array<long>, keys array<long>"
+    )
+    return common.materialize(rows, "near-prints")
 
-        def work(frame: pd.DataFrame) -> pd.DataFrame:
-            rows = frame[["key", "node"]].to_numpy()
-            frame = frame[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])].reset_index(drop=True)
-            key = frame["key"].to_numpy()
-            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sizes = np.diff(np.append(begins, len(key)))
-            head = np.repeat(begins, sizes)
-            frame["first"], frame["first_n"] = frame["node"].to_numpy()[head], frame["n"].to_numpy()[head]
-            return frame[np.repeat(sizes, sizes) > 1]
 
-        for frame in frames:
-            if not len(frame):
-                continue
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            key = frame["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            held = frame.iloc[cut:]
-            if cut:
-                yield work(frame.iloc[:cut])
-        if held is not None:
-            yield work(held)
+def _meetings(prints: DataFrame) -> DataFrame:
+    """(key, node, n) of the nodes that meet others on a key.
+
+    Copies and widespread keys are combined before the shuffle that finds the keys of two
+    nodes or more; only rows of such keys (sieved first) are shuffled to be told apart.
+    """
+    dealt = prints.select("node", "n", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
+    shared = common.materialize(shared, "near-keys")
+    return common.materialize(common.sieve(dealt, "key", shared).join(shared, "key", "left_semi").distinct(), "near-meetings")
+
+
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return (n * OF >= m * NEAR) & (m * OF >= n * NEAR)
 
-    dealt = docs.select("text").mapInPandas(deal, "key long, node long, n int")
-    placed = dealt.repartition("key").sortWithinPartitions("key", "node")
-    return common.materialize(placed.mapInPandas(gather, "key long, node long, n int, first long, first_n int"), "near-meetings")
 
+def _overlap(n: Column, m: Column) -> Column:
+    """Elements that two sets of n and m share at least if they are near."""
+    return F.ceil((n + m) * NEAR / F.lit(NEAR + OF))
 
-def _sizes_fit(n: str, m: str) -> Column:
-    return (F.col(n) * OF >= F.col(m) * NEAR) & (F.col(m) * OF >= F.col(n) * NEAR)
 
+def _after(n: Column) -> Column:
+    """Elements of a set of n that stand after its prefix."""
+    return F.ceil(n * NEAR / F.lit(OF)) - 1
 
-def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _met_enough(n: Column, m: Column, met: Column) -> Column:
+    """Whether a pair that shares met prefix elements can be near: what it shares otherwise stands after one of the prefixes."""
+    return met >= _overlap(n, m) - F.greatest(_after(n), _after(m))
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) -> DataFrame:
     """The pairs (u, v) of nodes that are near."""
-    pairs = common.materialize(pairs.distinct(), "near-candidates")
+    side = lambda name, s: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    apart = F.col("na") + F.col("nb") - 2 * _overlap(F.col("na"), F.col("nb"))
+    pairs = (
+        pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+        .where(_sizes_fit(F.col("na"), F.col("nb")) & (sketch_distance(F.col("sa"), F.col("sb")) <= apart))
+        .select("u", "v", (F.col("na") + F.col("nb")).alias("n"))
+    )
+    pairs = common.materialize(pairs, f"near-candidates-{turn}")
     asked = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    one = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"))
-    one = common.private(one.select("node", "d.doc_id", "d.th"))
-    texts = docs.join(one, common.same_document("_tidemark_doc_id", "_tidemark_th")).select(F.col("_tidemark_node").alias("node"), "text").dropDuplicates(["node"])
-    sets = common.materialize(texts.select("node", set_column(F.col("text")).alias("set")), "near-sets")
-    left = sets.select(F.col("node").alias("u"), F.col("set").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
-    return pairs.join(left, "u").join(right, "v").where(_near("a", "b")).select("u", "v")
+    asked = common.materialize(nodes.join(asked, "node", "left_semi").select("node", "doc_id", "th"), f"near-asked-{turn}")
 
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles_of(t).view(np.int64) for t in texts], dtype=object)
 
-def assign(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), fp (long: its component's smallest node) and component_id of every row of docs."""
-    prints = common.materialize(simhash_bk.assign(docs, node=node_column(F.col("text"))), "near-prints")
-    meetings = _meetings(docs, *_common(docs, prints))
+    texts = common.sieve(docs.select("doc_id", "text", F.xxhash64("text").alias("_tidemark_h")), "_tidemark_h", asked.select("th")).drop("_tidemark_h")
+    texts = texts.join(common.private(asked), common.same_document("_tidemark_doc_id", "_tidemark_th"))
+    sets = texts.groupBy(F.col("_tidemark_node").alias("node")).agg(F.min("text").alias("text")).select("node", shingles("text").alias("set"))
+    sets = common.materialize(sets, f"near-sets-{turn}")
+    left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return common.materialize(
+        pairs.join(left, "u").join(right, "v").where(OF * both >= NEAR * (F.col("n") - both)).select("u", "v"), f"near-links-{turn}"
+    )
 
-    group = F.coalesce("component_id", F.lit(0))
-    least = prints.groupBy(group.alias("group")).agg(F.min("node").alias("v"))
-    grouped = prints.select(group.alias("group"), F.col("node").alias("u")).distinct().join(least, "group").where("u != v").select("u", "v")
-    starred = meetings.where((F.col("node") != F.col("first")) & _sizes_fit("n", "first_n")).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    sure = common.materialize(_verified(docs, prints, grouped.unionAll(starred)), "near-sure")
-    label = components.roots(sure)
 
+def _named(meetings: DataFrame, label: DataFrame) -> DataFrame:
+    """Meetings with the nodes' components, without those of one component only."""
     named = meetings.join(label.select(F.col("u").alias("node"), "v"), "node", "left")
     named = common.materialize(named.select("key", "node", "n", F.coalesce("v", "node").alias("label")), "near-named")
     apart = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    open_ = common.materialize(named.join(apart, "key", "left_semi"), "near-open")
+    return common.materialize(named.join(apart, "key", "left_semi"), "near-open")
+
+
+def _most_met(meetings: DataFrame, order: Column) -> DataFrame:
+    """For each node the one among the first of its meetings, by order, that is first most often: pairs (u, v)."""
+    first = meetings.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("f"))
+    met = meetings.join(first, "key").where((F.col("label") != F.col("f.label")) & _sizes_fit(F.col("n"), F.col("f.n")))
+    counted = met.groupBy(F.col("node").alias("u"), F.col("f.node").alias("v")).agg(F.count(F.lit(1)).alias("met"))
+    return counted.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
+
+
+def assign(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), fp (long: its component's smallest node) and component_id of every row of docs."""
+    prints = _prints(docs)
+    nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = common.materialize(nodes.select("node", "d.doc_id", "d.th", "fp", "n", "sketch"), "near-nodes")
+    meetings = _meetings(prints)
+
+    group = components.roots(simhash_bk.links(nodes.select("fp").distinct())).withColumnRenamed("u", "fp")
+    grouped = common.materialize(nodes.join(group, "fp", "left").select("node", F.coalesce("v", "fp").alias("group")), "near-groups")
+    least = grouped.groupBy("group").agg(F.min("node").alias("v"))
+    sure = _verified(docs, nodes, grouped.join(least, "group").where("node != v").select(F.col("node").alias("u"), "v"), "simhash")
+    for turn in range(2):
+        open_ = _named(meetings, components.roots(sure))
+        sure = sure.unionAll(_verified(docs, nodes, _most_met(open_, F.xxhash64(F.lit(turn), "node")), f"first{turn}"))
+
+    open_ = _named(meetings, components.roots(sure))
     other = open_.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = open_.withColumnRenamed("node", "u").join(other, "key").where((F.col("u") > F.col("v")) & (F.col("label") != F.col("other")) & _sizes_fit("n", "m"))
-    found = components.roots(sure.unionAll(_verified(docs, prints, rest.select("u", "v"))))
+    fit = (F.col("u") > F.col("v")) & (F.col("label") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m"))
+    met = open_.withColumnRenamed("node", "u").join(other, "key").where(fit).groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("met"))
+    rest = met.where(_met_enough(F.col("n"), F.col("m"), F.col("met"))).select("u", "v")
+    found = components.roots(sure.unionAll(_verified(docs, nodes, rest, "rest")))
 
-    rooted = prints.join(found.select(F.col("u").alias("node"), "v"), "node", "left").select("doc_id", "th", F.coalesce("v", "node").alias("fp"))
-    rooted = common.materialize(rooted, "near-rooted")
+    rooted = prints.select("doc_id", "th", "node").join(found.select(F.col("u").alias("node"), "v"), "node", "left")
+    rooted = common.materialize(rooted.select("doc_id", "th", F.coalesce("v", "node").alias("fp")), "near-rooted")
     named = rooted.groupBy("fp").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(named, "fp").select("doc_id", "th", "fp", "component_id")
 

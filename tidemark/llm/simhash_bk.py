@@ -2,12 +2,16 @@
 
 Texts become 64-bit fingerprints of their word shingles; equal fingerprints collapse
 to one node. Two fingerprints at distance RADIUS or less agree on at least two of five
-bit blocks, so each node goes to the ten shards named by its pairs of blocks. Every
-shard, or every bounded piece of a large one, becomes a BK-tree: a child is keyed by
-its integer Hamming distance to the parent, and a search follows only the edges whose
-key lies within the radius of the query's distance to the node. Pieces of one shard
-meet pairwise, each meeting in a group of bounded size, so nothing is capped. A
-meeting returns a spanning forest of the links found, not all pairs.
+bit blocks, so each node goes to the ten shards named by its pairs of blocks. A shard
+of more than PIECE nodes is divided again: the bits that its name leaves free are cut
+into RADIUS + 1 blocks, on one of which any two near nodes agree, so each node goes to
+as many narrower shards. Every division fixes more bits, and k free bits leave at most
+2^k distinct fingerprints, so shards end below the bound whatever the data are: nothing
+is capped, and no shard's nodes meet all of its other nodes but within such a bound.
+
+Every shard becomes a BK-tree: a child is keyed by its integer Hamming distance to the
+parent, and a search follows only the edges whose key lies within the radius of the
+query's distance to the node. A search returns a spanning forest of the links found.
 
 The trees are sent to their queries by the shuffle instead of by a driver broadcast:
 together they grow with the corpus, so no bound on a broadcast could be proven.
@@ -33,8 +37,8 @@ from tidemark.llm import common, components
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bits of the five blocks; two of them name a shard.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Fingerprints in one piece of a shard, and tree visits worked on at once.
-PIECE, VISITS = 2048, 400_000
+#: Fingerprints in one tree, and tree visits worked on at once.
+PIECE, VISITS = 4096, 400_000
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
@@ -136,20 +140,17 @@ def _forest_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(values: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int):
-    """Spanning links (value, smaller-numbered value) of whole groups, in which members in_tree meet members that ask."""
-    tree = np.flatnonzero(in_tree)
-    forest = BKForest(values[tree], groups[tree])
-    queries = np.flatnonzero(asks)
-    queries = queries[np.isin(groups[queries], groups[tree])]
-    starts = np.fromiter((forest.roots[g] for g in groups[queries].tolist()), np.int64, len(queries))
-    sizes = np.bincount(groups[tree], minlength=int(groups.max()) + 1)[groups[queries]]
+def _links(values: np.ndarray, groups: np.ndarray, radius: int):
+    """Spanning links (value, smaller-numbered value) of whole groups of distinct values."""
+    forest = BKForest(values, groups)
+    names, begins, sizes = np.unique(groups, return_index=True, return_counts=True)
+    at = np.searchsorted(names, groups)
     label = np.arange(len(values))
-    block = np.cumsum(sizes) // VISITS
+    block = np.cumsum(sizes[at]) // VISITS
     for name in np.unique(block):  # bounded work at once; what is linked already shrinks to its root
-        some = block == name
-        q, node = forest.search(values[queries[some]], starts[some], radius)
-        a, b = queries[some][q], tree[node]
+        some = np.flatnonzero(block == name)
+        q, node = forest.search(values[some], begins[at[some]], radius)
+        a, b = some[q], node
         apart = label[a] != label[b]
         a, b = label[a[apart]], label[b[apart]]
         label = _forest_roots(len(values), np.concatenate([a, np.arange(len(label))]), np.concatenate([b, label]))
@@ -159,17 +160,14 @@ def _links(values: np.ndarray, groups: np.ndarray, in_tree: np.ndarray, asks: np
 
 def _meet(radius: int):
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by shard and meeting; a meeting may reach over several frames."""
+        """Rows come sorted by shard, whose size is bounded; a shard may reach over several frames."""
         held: list[pd.DataFrame] = []
-        names = ["t", "key", "i", "j"]
+        names = ["t", "key"]
 
         def work(frame: pd.DataFrame) -> pd.DataFrame:
             change = (frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(1)
             groups = np.concatenate([[0], np.cumsum(change)]).astype(np.int64)
-            piece = frame["piece"].to_numpy()
-            u, v = _links(
-                frame["fp"].to_numpy().view(np.uint64), groups, piece == frame["i"].to_numpy(), piece == frame["j"].to_numpy(), radius
-            )
+            u, v = _links(frame["fp"].to_numpy().view(np.uint64), groups, radius)
             return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         rows = 0
@@ -192,27 +190,40 @@ def _meet(radius: int):
     return meet
 
 
+def _signed(mask: int) -> int:
+    return mask - ((mask >> 63) << 64)
+
+
+def _narrower(mask: int, parts: int) -> list[int]:
+    """mask with one more block of its free bits, for each of `parts` blocks; as itself if no bit is free."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * k // parts for k in range(parts + 1)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def links(prints: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFrame:
     """(u, v) that connect the fingerprints of prints (one distinct long column fp) as all their links would."""
     if radius > 3:
         raise ValueError("two of five blocks agree for certain only up to three differing bits")
-    fp = F.col("fp")
-    shards = []
-    for t, pair in enumerate(combinations(BLOCKS, 2)):
-        mask = sum(((1 << bits) - 1) << at for at, bits in pair)
-        mask -= (mask >> 63) << 64
-        shards.append(F.struct(F.lit(t).alias("t"), fp.bitwiseAND(F.lit(mask)).alias("key")))
-    dealt = prints.select("fp", F.inline(F.array(*shards)))
-    counts = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    pieces = F.ceil(F.col("n") / F.lit(piece)).cast("int")
-    placed = dealt.join(counts, ["t", "key"]).select(
-        "t", "key", "fp", pieces.alias("pieces"), F.pmod(F.xxhash64("fp", "t"), pieces).cast("int").alias("piece")
-    )
-    meetings = placed.select(
-        "t", "key", "fp", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-    ).select("t", "key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "fp")
-    where = ["t", "key", "i", "j"]
-    return meetings.repartition(*where).sortWithinPartitions(*where, "fp").mapInPandas(_meet(radius), "u long, v long")
+    fp, parts = F.col("fp"), radius + 1
+    masks = [sum(((1 << bits) - 1) << at for at, bits in pair) for pair in combinations(BLOCKS, 2)]
+    named = lambda t, mask: F.struct(t.cast("int").alias("t"), fp.bitwiseAND(mask).alias("key"))
+    dealt = prints.select("fp", F.inline(F.array(*[named(F.lit(t), F.lit(_signed(m))) for t, m in enumerate(masks)])))
+    found = None
+    while True:
+        counts = common.materialize(dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shards")
+        placed = dealt.join(counts, ["t", "key"])
+        # A shard whose name fixes so many bits that the rest cannot tell more than `piece` nodes apart is never over it.
+        trees = placed.where(F.col("n") <= piece).select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+        own = trees.mapInPandas(_meet(radius), "u long, v long")
+        found = own if found is None else found.unionAll(own)
+        if counts.where(F.col("n") > piece).isEmpty():
+            return found
+        masks = [narrow for mask in masks for narrow in _narrower(mask, parts)]
+        table = F.array(*[F.lit(_signed(m)) for m in masks])
+        inner = lambda i: named(F.col("t") * parts + i, F.get(table, F.col("t") * parts + i))  # noqa: E731, B023
+        large = placed.where(F.col("n") > piece).select("fp", F.inline(F.array(*[inner(i) for i in range(parts)])))
+        dealt = common.materialize(large, "shards-narrower")
 
 
 def assign(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, **also: Column) -> DataFrame:
@@ -243,18 +254,32 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 
 
 def one_of_each(docs: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One document of each component of assigned (doc_id, th, fp, component_id)."""
+    """One document of each component of assigned (doc_id, th, fp, component_id).
+
+    Documents that no key of a dropped or repeated row can mean stay without a shuffle.
+    """
     own = docs.columns
     assigned = common.materialize(assigned, "prints-component")
     # A component's representative: its smallest id, and one text hash of the rows with that id.
+    mine = [F.col("component_id"), F.when(F.col("doc_id").isNull(), F.col("fp")).alias("only")]
     best = (
         assigned.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("only"))
-        .agg(F.min("th").alias("th"), F.count(F.lit(1)).alias("copies"))
-        .select("component_id", "th", "copies")
+        .groupBy(*mine).agg(F.min("th").alias("best"))
+        .select("component_id", "only", "best")
+    )
+    # What needs a look: keys of rows that are not a representative, or stand in several rows.
+    by_key = assigned.groupBy("doc_id", "th", "component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("only")).agg(F.count(F.lit(1)).alias("copies"))
+    joined = by_key.join(
+        common.private(best),
+        F.col("component_id").eqNullSafe(F.col("_tidemark_component_id")) & F.col("only").eqNullSafe(F.col("_tidemark_only")) & F.col("doc_id").eqNullSafe(F.col("_tidemark_component_id")) & (F.col("th") == F.col("_tidemark_best")),
+        "left",
     )
-    best = common.materialize(best, "prints-best")
-    match = common.same_document("_tidemark_component_id", "_tidemark_th")
-    single = docs.join(common.private(best.where("copies = 1")), match, "left_semi")
-    repeated = docs.join(common.private(best.where("copies > 1")), match, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select(*own)
+    looked = joined.where(F.col("_tidemark_best").isNull() | (F.col("copies") > 1))
+    looked = common.materialize(looked.select("doc_id", "th", F.col("_tidemark_best").isNotNull().alias("stays")), "prints-looked")
+    hashed = docs.withColumn("_tidemark_h", F.xxhash64("text"))
+    maybe, sure = common.sifted(hashed, "_tidemark_h", looked.select("th"))
+    match = common.same_document("_tidemark_doc_id", "_tidemark_th")
+    seen = maybe.join(common.private(looked), match, "left")
+    whole = seen.where(F.col("_tidemark_stays").isNull()).select(*own)
+    repeated = seen.where(F.col("_tidemark_stays")).select(*own).dropDuplicates(["doc_id", "text"])
+    return sure.select(*own).unionByName(whole).unionByName(repeated)

@@ -1,10 +1,12 @@
 """Line dedup, SimHash, decontamination and packing against brute force, with the hard cases."""
 
+import itertools
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -129,7 +131,7 @@ def test_large_shards_are_divided(spark):
         prints.add(x)
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
-    found = {r["u"]: r["v"] for r in components.roots(simhash_bk.links(frame, piece=40)).collect()}
+    found = {r["u"]: r["v"] for r in components.roots(simhash_bk.links(frame, piece=100)).collect()}
     mask = (1 << 64) - 1
     near = {a: [b for b in signed if ((a ^ b) & mask).bit_count() <= 3] for a in signed}
     label, work = {}, None
@@ -144,6 +146,25 @@ def test_large_shards_are_divided(spark):
     assert {x: found.get(x, x) for x in signed} == label
 
 
+def test_a_shard_of_many_fingerprints_is_not_searched_pair_by_pair(spark):
+    """200,000 fingerprints agree in 26 bits: each goes to a bounded number of trees, and all planted links are found."""
+    r = np.random.default_rng(4)
+    free = np.unique(r.integers(0, 1 << 38, 200_000).astype(np.int64))
+    near = free[:500] ^ (1 << r.integers(0, 38, 500).astype(np.int64)) ^ (1 << r.integers(0, 38, 500).astype(np.int64))
+    values = np.unique(np.concatenate([free, near])) << 26
+    made = []
+    held, common._written[:] = list(common._written), []
+    prints = spark.createDataFrame(pd.DataFrame({"fp": values}))
+    found = {r["u"]: r["v"] for r in components.roots(simhash_bk.links(prints)).collect()}
+    made = [p for p in common._written if "/shards-narrower" in p]
+    assert made and sum(spark.read.parquet(p).count() for p in made) <= 10 * len(values)
+    common._written[:] = held + common._written
+    root = lambda x: found.get(x, x)
+    assert all(root(a) == root(b) for a, b in zip((free[:500] << 26).tolist(), (near << 26).tolist(), strict=True))
+    names = {int(v) for v in values}
+    assert all(u in names and v in names for u, v in found.items()) and len(found) < 5000
+
+
 def test_bk_tree_search_equals_a_scan():
     r = np.random.default_rng(7)
     values = r.integers(0, 1 << 20, 400).astype(np.uint64)
@@ -259,6 +280,35 @@ def test_local_search_empties_bins():
         assert len(last) <= len(first) and square(last) >= square(first) and len(last) >= -(-int(lengths.sum()) // 100)
 
 
+def test_best_step_equals_all_moves_and_exchanges():
+    r = random.Random(11)
+    for _ in range(300):
+        own = [r.randrange(1, 30) for _ in range(r.randrange(1, 5))]
+        others = [[r.randrange(1, 30) for _ in range(r.randrange(1, 5))] for _ in range(r.randrange(1, 4))]
+        room = r.randrange(1, 25)
+        gains = [a - out for b in others for a in b for out in (0, *own)] + [x + y - out for b in others for x, y in itertools.combinations(b, 2) for out in own]
+        want = max((g for g in gains if 0 < g <= room), default=0)
+        singles, pairs = packing._Members(len(others)), packing._Members(len(others))
+        for k, b in enumerate(others):
+            singles.put(k, packing.single_lengths(b))
+            pairs.put(k, packing.pair_lengths(b))
+        gain, total, pair, out = packing.best_step(sorted(set(own)), singles.all, pairs.all, room)
+        assert gain == want
+        if gain:
+            bin_ = others[(pairs if pair else singles).first(total)]
+            took = packing._taken(bin_, list(range(len(bin_))), total, pair)
+            assert sum(bin_[i] for i in took) == total == gain + out and len(set(took)) == 1 + pair and out in (0, *own)
+
+
+def test_local_search_where_best_fit_is_far_off():
+    """Pieces of a fifth to half of a bin: no bound on the bins or pieces that take part."""
+    lengths = np.random.default_rng(0).integers(800, 2201, 3000)
+    first = packing.best_fit(lengths)
+    last = packing.local_search(first, lengths)
+    check_bins(last, lengths, packing.CAPACITY)
+    assert len(first) - len(last) >= 15 and len(last) <= 1146
+
+
 def test_packing_whole(spark):
     from tokenizers import Tokenizer
 

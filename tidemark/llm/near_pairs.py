@@ -12,11 +12,11 @@ Candidates go through three tests, none of which loses a pair: their sizes; the
 prefix elements that they share, which a pair of such overlap cannot fall below; and the
 distance of parity sketches (a bit for each residue of the element's hash, flipped by
 each element), which the symmetric difference of two sets cannot fall below. What is left
-is verified on the whole sets. Work goes in turns: first each node against one candidate
-at a time (its SimHash group's first node, then the node that it meets most often among
-the first ones of its meetings, in two orders), which joins large groups by a number of
-pairs linear in their size; then all pairs of a meeting that are not in one component
-yet. Pairs within a component need no test, so components are those of all pairs.
+is verified on the whole sets. Work goes in two turns: first the links of SimHash, and each
+node with the one that it meets most often among the first ones of its meetings, in two
+orders, which joins large groups by a number of pairs linear in their size; then all pairs
+of a meeting that are not in one component yet. Pairs within a component need no test, so
+components are those of all pairs.
 
 Texts are not shuffled whole: a bitmap of bounded size sieves the rows that a step asks
 for, and an exact join behind it decides.
@@ -207,18 +207,18 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) ->
     )
 
 
-def _named(meetings: DataFrame, label: DataFrame) -> DataFrame:
+def _open(meetings: DataFrame, label: DataFrame) -> DataFrame:
     """Meetings with the nodes' components, without those of one component only."""
-    named = meetings.join(label.select(F.col("u").alias("node"), "v"), "node", "left")
-    named = common.materialize(named.select("key", "node", "n", F.coalesce("v", "node").alias("label")), "near-named")
+    named = meetings.join(label.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", "n", F.coalesce("v", "node").alias("label"))
+    named = common.materialize(named, "near-named")
     apart = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
     return common.materialize(named.join(apart, "key", "left_semi"), "near-open")
 
 
 def _most_met(meetings: DataFrame, order: Column) -> DataFrame:
     """For each node the one among the first of its meetings, by order, that is first most often: pairs (u, v)."""
-    first = meetings.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("f"))
-    met = meetings.join(first, "key").where((F.col("label") != F.col("f.label")) & _sizes_fit(F.col("n"), F.col("f.n")))
+    first = meetings.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n")).alias("f"))
+    met = meetings.join(first, "key").where((F.col("node") != F.col("f.node")) & _sizes_fit(F.col("n"), F.col("f.n")))
     counted = met.groupBy(F.col("node").alias("u"), F.col("f.node").alias("v")).agg(F.count(F.lit(1)).alias("met"))
     return counted.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
 
@@ -230,15 +230,15 @@ def assign(docs: DataFrame) -> DataFrame:
     nodes = common.materialize(nodes.select("node", "d.doc_id", "d.th", "fp", "n", "sketch"), "near-nodes")
     meetings = _meetings(prints)
 
-    group = components.roots(simhash_bk.links(nodes.select("fp").distinct())).withColumnRenamed("u", "fp")
-    grouped = common.materialize(nodes.join(group, "fp", "left").select("node", F.coalesce("v", "fp").alias("group")), "near-groups")
-    least = grouped.groupBy("group").agg(F.min("node").alias("v"))
-    sure = _verified(docs, nodes, grouped.join(least, "group").where("node != v").select(F.col("node").alias("u"), "v"), "simhash")
-    for turn in range(2):
-        open_ = _named(meetings, components.roots(sure))
-        sure = sure.unionAll(_verified(docs, nodes, _most_met(open_, F.xxhash64(F.lit(turn), "node")), f"first{turn}"))
+    least = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("v")), "near-prints-least")
+    of_fp = lambda name: least.select(F.col("fp").alias(name), F.col("v").alias(f"{name}_node"))
+    linked = simhash_bk.links(least.select("fp")).join(of_fp("u"), "u").join(of_fp("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    alike = nodes.join(least, "fp").where("node != v").select(F.col("node").alias("u"), "v")
+    first = [_most_met(meetings, F.xxhash64(F.lit(turn), "node")) for turn in range(2)]
+    pairs = linked.unionAll(alike).unionAll(first[0]).unionAll(first[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sure = _verified(docs, nodes, pairs, "first")
 
-    open_ = _named(meetings, components.roots(sure))
+    open_ = _open(meetings, components.roots(sure))
     other = open_.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"))
     fit = (F.col("u") > F.col("v")) & (F.col("label") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m"))
     met = open_.withColumnRenamed("node", "u").join(other, "key").where(fit).groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("met"))

@@ -2,9 +2,11 @@
 
 Documents become token pieces of at most CAPACITY ids. Each task packs the pieces it
 has tokenised, in batches of bounded size: best fit in decreasing order, then local
-search between the underfull bins. The search moves a piece, or exchanges one piece
+search between all underfull bins. The search moves a piece, or exchanges one piece
 for one or for two, whenever that increases the sum of squared fills, which drains
-the emptier bins until some are empty. What a batch leaves in underfull bins is few
+the emptier bins until some are empty. The lengths of all bins' pieces, and the sums of
+their pairs, stand in trees of bit sets, so the best step over all bins and pieces is a
+few shifts away and none is left out. What a batch leaves in underfull bins is few
 pieces; they meet those of other batches in a second, shuffled round.
 
 Only numbers are shuffled, never texts. Defined results: null or empty text is one
@@ -13,6 +15,7 @@ piece, the end id alone; each repeated row gets its own pieces; null doc_ids sta
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -32,8 +35,8 @@ CAPACITY, END_ID = 4096, 1
 BATCH = 32_768
 #: A bin this full or fuller is not opened again in the second round.
 CLOSED = CAPACITY - 4
-#: Bins that the search works on, and distinct words that a worker remembers.
-SEARCH_BINS, REMEMBERED = 96, 600_000
+#: Distinct words that a worker remembers.
+REMEMBERED = 200_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
@@ -144,73 +147,137 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _best_step(mine: list[int], theirs: list[int], room: int) -> tuple[int, tuple[int, ...], int]:
-    """(gain, lengths to take, length to give or 0): the largest gain up to room.
+class _Members:
+    """A set of numbers for each place, as a whole number with a bit for each member, under a tree of their unions."""
 
-    mine and theirs: the lengths in the bin that gains and in the one that gives.
+    def __init__(self, places: int):
+        self.wide = 1 << max(0, places - 1).bit_length()
+        self.sets = [0] * (2 * self.wide)
+
+    @property
+    def all(self) -> int:
+        return self.sets[1]
+
+    def put(self, place: int, members: int) -> None:
+        at = place + self.wide
+        self.sets[at] = members
+        while at > 1:
+            at //= 2
+            union = self.sets[2 * at] | self.sets[2 * at + 1]
+            if union == self.sets[at]:
+                break
+            self.sets[at] = union
+
+    def first(self, member: int) -> int:
+        """The first place whose set holds a member of the union."""
+        at = 1
+        while at < self.wide:
+            at *= 2
+            at += not self.sets[at] >> member & 1
+        return at - self.wide
+
+
+def single_lengths(lengths: list[int]) -> int:
+    members = 0
+    for n in lengths:
+        members |= 1 << n
+    return members
+
+
+def pair_lengths(lengths: list[int]) -> int:
+    """The sums of every two pieces of one bin."""
+    seen = sums = 0
+    for n in lengths:
+        sums |= seen << n
+        seen |= 1 << n
+    return sums
+
+
+def best_step(own: list[int], singles: int, pairs: int, room: int) -> tuple[int, int, bool, int]:
+    """(gain, length that comes, whether it is a pair, length that goes or 0): the largest gain up to room.
+
+    own: the lengths in the bin that gains; singles and pairs: what the other bins have to give.
     """
-    best: tuple[int, tuple[int, ...], int] = (0, (), 0)
-    own, least = sorted(set(theirs)), sorted(theirs)[:48]
-    ones = np.array(own)
-    pairs = sorted({(a + b, a, b) for x, a in enumerate(least) for b in least[x + 1 :]})
-    twos = np.array([p[0] for p in pairs])
-    for out in [0, *sorted(set(mine))]:
-        k = int(np.searchsorted(ones, out + room, "right")) - 1
-        if k >= 0 and own[k] - out > best[0]:  # a move, or one for one
-            best = (own[k] - out, (own[k],), out)
-        if out and pairs:
-            k = int(np.searchsorted(twos, out + room, "right")) - 1
-            if k >= 0 and pairs[k][0] - out > best[0]:  # two for one
-                best = (pairs[k][0] - out, pairs[k][1:], out)
+    best = (0, 0, False, 0)
+    for out in (0, *own):
+        within = (2 << (out + room)) - 1
+        two = (pairs & within).bit_length() - 1 if out else 0
+        if two - out > best[0]:  # two for one
+            best = (two - out, two, True, out)
+        one = (singles & within).bit_length() - 1
+        if one - out > best[0]:  # a move, or one for one
+            best = (one - out, one, False, out)
         if best[0] == room:
             break
     return best
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY, most: int = SEARCH_BINS) -> list[list[int]]:
+def _taken(size: list[int], members: list[int], total: int, pair: bool) -> list[int]:
+    """The piece, or the two pieces, of a bin that make up a length."""
+    known: dict[int, int] = {}
+    for i in members:
+        if not pair and size[i] == total:
+            return [i]
+        if pair and total - size[i] in known:
+            return [known[total - size[i]], i]
+        known[size[i]] = i
+    raise AssertionError("no such pieces")
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     """Moves and exchanges between underfull bins that increase the sum of squared fills.
 
-    The `most` emptiest bins that are not full take part. The emptiest gives first, to
-    the fullest first: a piece moves over, or comes for a smaller one, or two come for
-    one, whichever fills most. Each step raises the sum of squares, so the search ends:
-    with as few bins as the total length allows, or where no step is left.
+    All bins that are not full take part. In each pass the fullest bin that has not had its
+    turn takes what fills it most from the emptier ones, again and again until it is full or
+    nothing fills it further. It is the fuller of the two, so each step raises the sum of
+    squares, and the search ends: with as few bins as the total length allows, or where no
+    bin finds a step.
     """
     size = lengths.tolist()
+    bins = [list(b) for b in bins]
     fill = [sum(size[i] for i in b) for b in bins]
     goal, used = -(-sum(size) // capacity), len(bins)
-    chosen = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: (fill[k], k))[:most]
-
-    def improve(to: int, source: int) -> bool:
-        gain, take, out = _best_step([size[i] for i in bins[to]], [size[i] for i in bins[source]], capacity - fill[to])
-        if gain <= max(0, fill[source] - fill[to]):  # the sum of squares would not grow
-            return False
-        for length in take:
-            i = next(i for i in bins[source] if size[i] == length)
-            bins[source].remove(i)
-            bins[to].append(i)
-        if out:
-            i = next(i for i in bins[to] if size[i] == out)
-            bins[to].remove(i)
-            bins[source].append(i)
-        fill[to] += gain
-        fill[source] -= gain
-        return True
-
     moved = True
     while moved and used > goal:
         moved = False
-        under = sorted((k for k in chosen if bins[k] and fill[k] < capacity), key=lambda k: (-fill[k], k))
-        for source in reversed(under):
-            for to in under:
-                if to == source:
-                    break
-                while bins[source] and fill[to] < capacity and improve(to, source):
-                    moved = True
-                if not bins[source]:
+        under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
+        place = {k: i for i, k in enumerate(under)}
+        singles, pairs = _Members(len(under)), _Members(len(under))
+
+        def offer(k: int, members: list[int], place=place, singles=singles, pairs=pairs) -> None:
+            own = [size[i] for i in members]
+            singles.put(place[k], single_lengths(own))
+            pairs.put(place[k], pair_lengths(own))
+
+        for k in under:
+            offer(k, bins[k])
+        turns = [(-fill[k], k) for k in under]
+        heapq.heapify(turns)
+        while turns and used > goal:
+            before, to = heapq.heappop(turns)
+            if -before != fill[to] or not bins[to]:  # it has given since, and stands here again
+                continue
+            offer(to, [])
+            while fill[to] < capacity:
+                gain, total, pair, out = best_step(sorted({size[i] for i in bins[to]}), singles.all, pairs.all, capacity - fill[to])
+                if not gain:
                     break
-            if not bins[source]:
-                used -= 1
-                break
+                source = under[(pairs if pair else singles).first(total)]
+                goes = next((i for i in bins[to] if size[i] == out), None)
+                for i in _taken(size, bins[source], total, pair):
+                    bins[source].remove(i)
+                    bins[to].append(i)
+                if goes is not None:
+                    bins[to].remove(goes)
+                    bins[source].append(goes)
+                fill[to] += gain
+                fill[source] -= gain
+                moved = True
+                offer(source, bins[source])
+                if bins[source]:
+                    heapq.heappush(turns, (-fill[source], source))
+                else:
+                    used -= 1
     return [b for b in bins if b]
 
 

@@ -210,6 +210,7 @@ def brute_leaks(docs, items, least):
 
 def test_leaks_equal_brute_force(spark):
     items = [(k, " ".join(words(16 + 3 * k, 100 + k, 5000))) for k in range(8)] + [(20, "short exact phrase"), (21, ""), (22, None), (23, "!!!")]
+    items += [(30, items[1][1].upper()), (31, items[1][1])]  # equal tokens: a row for each
     rows = []
     for d in range(40):
         body = words(60, 200 + d, 5000)
@@ -234,6 +235,16 @@ def test_leaks_equal_brute_force(spark):
     assert kept == {d for d, _, _ in rows} - {d for d, _ in got}
 
 
+def test_leaks_in_very_long_texts(spark):
+    """A text of half a million words, with an item at its end and one common to all documents."""
+    item, stock = " ".join(words(30, 77, 5000)), " ".join(words(20, 78, 5000))
+    rows = [(1, " ".join(words(500_000, 9)) + " " + item, "s")] + [(d, stock + " " + " ".join(words(20, d)), "s") for d in range(2, 300)]
+    benchmark = spark.createDataFrame([(1, item)] + [(k, stock + f" tail{k}") for k in range(10, 60)], "item_id long, text string")
+    for most in (1_000_000, 10):
+        found = {(r["doc_id"], r["item_id"]) for r in spaced_seed.find(documents(spark, rows), benchmark, seed_rows=most).collect()}
+        assert found == {(1, 1)} | {(d, k) for d in range(2, 300) for k in range(10, 60)}
+
+
 def test_leaks_of_empty_tables(spark):
     benchmark = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert spaced_seed.find(documents(spark, []), benchmark).count() == 0

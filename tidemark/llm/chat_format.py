@@ -10,9 +10,11 @@ Control strings inside texts are escaped: a backslash is doubled, and ``<|`` bec
 feed becomes ``<\\n>`` by the same argument.
 
 Everything is built-in expressions. One conversation is one row of the result, so it
-is what a task holds. Defined results: rows are ordered by turn, then role, then text
-(nulls first); repeated rows are turns of their own; null roles and texts count as
-empty; rows without conv_id form one conversation.
+is what a task holds. Offsets and spans are worked out in runs of about the square root of
+their number, so a conversation of many turns costs little more than its length. Defined
+results: rows are ordered by turn, then role, then text (nulls first); repeated rows are
+turns of their own; null roles and texts count as empty; rows without conv_id belong to no
+common conversation, so each is one of its own, with a null id.
 """
 
 from __future__ import annotations
@@ -41,6 +43,30 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<" + SLASH + "n>"), F.lit("\n")))
 
 
+def _run(n: Column) -> Column:
+    """The length of the runs into which n things are cut: about the square root of n."""
+    return F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+
+
+def _runs(items: Column) -> Column:
+    """An array in runs, which are as many as they are long."""
+    n, k = F.size(items), _run(F.size(items))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n, k), lambda at: F.slice(items, at, k))).otherwise(F.array())
+
+
+def starts_of(lengths: Column) -> Column:
+    """For an array of lengths (long) the sum of those before each."""
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def before(run: Column, base: Column) -> Column:
+        seed = F.struct(base.alias("at"), none.alias("to"))
+        return F.aggregate(run, seed, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["to"], acc["at"]).alias("to")))["to"]
+
+    runs = _runs(lengths)
+    sums = F.transform(runs, lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda s, n: s + n))
+    return F.flatten(F.zip_with(runs, before(sums, F.lit(0).cast("long")), before))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, and loss_mask: array<struct<start, length>> in code points of formatted.
 
@@ -48,7 +74,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     empty = F.lit("")
     turn = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    collected = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("_alone")  # tells rows without an id apart, no more
+    named = turns.select("conv_id", alone, turn.alias("turn"))
+    collected = named.groupBy("conv_id", "_alone").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     joins = lambda i: (i > 0) & (F.get("turns", i - 1)["role"] == F.get("turns", i)["role"])
     follows = lambda i: F.coalesce(F.get("turns", i + 1)["role"] == F.get("turns", i)["role"], F.lit(False))
     parts = collected.select(
@@ -64,33 +92,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             ),
         ).alias("parts"),
     )
-    laid = parts.select(
+    chars = lambda *said: sum((F.length(c) for c in said[1:]), F.length(said[0])).cast("long")
+    sized = parts.select("conv_id", "parts", starts_of(F.transform("parts", lambda p: chars(p["before"], p["body"], p["after"]))).alias("starts"))
+    spans = F.zip_with(
+        "parts", "starts",
+        lambda p, at: F.when(p["trained"], F.struct((at + chars(p["before"])).alias("start"), chars(p["body"]).alias("length"))),
+    )
+    return sized.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["before"], p["body"], p["after"])), "").alias("formatted"),
-        F.aggregate(
-            "parts",
-            F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long").alias("at"),
-                F.when(
-                    p["trained"],
-                    F.concat(
-                        acc["spans"],
-                        F.array(
-                            F.struct(
-                                (acc["at"] + F.length(p["before"])).cast("long").alias("start"),
-                                F.length(p["body"]).cast("long").alias("length"),
-                            )
-                        ),
-                    ),
-                )
-                .otherwise(acc["spans"])
-                .alias("spans"),
-            ),
-            lambda acc: acc["spans"],
-        ).alias("loss_mask"),
+        F.filter(spans, lambda s: s.isNotNull()).alias("loss_mask"),
     )
-    return laid
 
 
 def read_turns(formatted: Column) -> Column:
@@ -110,10 +122,18 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss_mask: Column) -> Column:
-    """The text under the loss mask, unescaped: spans in order, nothing between."""
-    return F.array_join(
-        F.transform(loss_mask, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""
-    )
+    """The text under the loss mask, unescaped: spans in order, nothing between.
+
+    Spans in a run are read from the stretch that the run covers, not from the string's start.
+    """
+    cut = lambda said, start, length: F.substring(said, (start + 1).cast("int"), length.cast("int"))
+
+    def of(run: Column) -> Column:
+        first, last = F.element_at(run, 1), F.element_at(run, -1)
+        covered = F.array(F.struct(cut(formatted, first["start"], last["start"] + last["length"] - first["start"]).alias("said")))
+        return F.flatten(F.transform(covered, lambda c: F.transform(run, lambda s: unescape(cut(c["said"], s["start"] - first["start"], s["length"])))))
+
+    return F.array_join(F.flatten(F.transform(_runs(loss_mask), of)), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -138,12 +158,12 @@ def digests(formatted: DataFrame) -> DataFrame:
 #: The same digests in DuckDB, from the rows themselves.
 ORACLE_SQL = """
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), near AS (
   SELECT *, role IS NOT DISTINCT FROM lag(role) OVER w AS joins FROM said
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn, role, text)
 ), sized AS (
   SELECT *, length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))
     + CASE WHEN joins THEN 8
@@ -155,5 +175,5 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """

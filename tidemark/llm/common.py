@@ -107,13 +107,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], max_bytes: int) -> DataFrame:
+def stretch(text: Column, by: Column, chars: int) -> Column:
+    """A text of at most so many characters as it is; of a longer one a stretch of that length, from a place that a hash gives."""
+    n = F.length(text)
+    start = F.pmod(F.xxhash64(F.lit(11), by), F.greatest(n - chars + 1, F.lit(1))).cast("int")
+    return F.when(n <= chars, text).otherwise(F.substring(text, start + 1, F.lit(chars)))
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int], max_chars: int) -> DataFrame:
     """(doc_id, text, label) of at most rows[0] learnable rows of label 0 and rows[1] of label 1.
 
-    Rows are taken in the order of a hash of doc_id, so the sample does not
-    depend on how the tables are partitioned. Texts over max_bytes are left out
-    of the sample (of the sample only: every row is scored). An id labelled both ways
-    counts as 1; of an id's texts the smallest is taken.
+    Rows are taken in the order of a hash of doc_id, so the sample does not depend on how
+    the tables are partitioned. Of a text over max_chars a stretch of that length stands for it
+    (in the sample only: whole texts are scored), so the sample's size is bounded whatever the
+    texts are. An id labelled both ways counts as 1; of an id's texts the smallest is taken.
     """
     learnable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"))
@@ -123,11 +130,12 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int
     for value in (0, 1):
         part = learnable.where(F.col("label") == value).orderBy(*order).limit(rows[value])
         chosen = part if chosen is None else chosen.unionAll(part)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
     # At most sum(rows) rows of two numbers each: safe to broadcast at any table size.
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     # An id may stand in many rows; one text of each keeps the sample within its bound.
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    cut = texts.select("doc_id", stretch(F.col("text"), F.col("doc_id"), max_chars).alias("text"), "label")
+    return cut.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def label_counts(labels: DataFrame, label: str) -> dict[int, int]:

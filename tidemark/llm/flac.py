@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -492,10 +493,7 @@ def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
         if (sums != written).any():
             raise ValueError("wrong frame checksum")
         together = [j for j in some if _plain(j[2], j[3])]
-        try:
-            blocks = _decode_group([j[2] for j in together], [j[3] for j in together], [j[4] for j in together]) if together else []
-        except ValueError:
-            blocks = [decode_frame(j[2], j[3], j[4]) for j in together]
+        blocks = _decode_jobs([j[2:5] for j in together])
         for j, block in zip(together, blocks, strict=True):
             found[j[0]].append((j[1], block.astype(np.int8)))
         for j in some:
@@ -508,6 +506,34 @@ def decode(media: list[bytes]) -> list[list[tuple[int, np.ndarray]]]:
     return found
 
 
+def _decode_jobs(jobs: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
+    """The blocks of frames that groups can read; a frame that breaks a group is found by halves and read alone, bit by bit."""
+    if not jobs:
+        return []
+    try:
+        return list(_decode_group(*map(list, zip(*jobs, strict=True))))
+    except ValueError:
+        if len(jobs) == 1:
+            return [decode_frame(*jobs[0])]
+        half = len(jobs) // 2
+        return _decode_jobs(jobs[:half]) + _decode_jobs(jobs[half:])
+
+
+def read_block(media: bytes, sample: int) -> tuple[int, np.ndarray]:
+    """(offset, samples) of the block that holds a sample: the seek table leads to its frame, and no other is read."""
+    stream = read_metadata(media)
+    if not 0 <= sample < stream.samples:
+        raise ValueError("no such sample")
+    k = bisect_right([p[0] for p in stream.points], sample) - 1
+    first, offset, _ = stream.points[k]
+    stop = stream.audio + stream.points[k + 1][1] if k + 1 < len(stream.points) else len(media)
+    frame = media[stream.audio + offset : stop]
+    size, _, head = _read_header(frame, 0)
+    if int(crc16_many(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame) - 2]))[0]) != int.from_bytes(frame[-2:], "big"):
+        raise ValueError("wrong frame checksum")
+    return first, _decode_jobs([(frame, head, size)])[0].astype(np.int8) if _plain(frame, head) else decode_frame(frame, head, size).astype(np.int8)
+
+
 def _pieces(rows: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
     """Rows in runs of about `most` bytes, so a batch of long texts is worked on bit by bit."""
     held, size = [], 0
@@ -539,9 +565,9 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def read_column(media: Column) -> Column:
-    """What the stored bytes give when read back: sizes, digests and a feature."""
+    """What the stored bytes give when read back: sizes, digests, a feature, and the sample offsets of the blocks."""
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks int")
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, blocks int, seek_offsets string")
     def from_flac(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for stored in batches:
             rows = []
@@ -551,9 +577,9 @@ def read_column(media: Column) -> Column:
                     payload = (samples.view(np.uint8) ^ 0x80).tobytes()
                     rows.append(
                         (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(data),
-                         hashlib.sha256(data).hexdigest(), feature_of(samples), len(blocks))
+                         hashlib.sha256(data).hexdigest(), feature_of(samples), len(blocks), ",".join(str(at) for at, _ in blocks))
                     )
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks"]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "blocks", "seek_offsets"]
             yield pd.DataFrame(rows, columns=names)
 
     return from_flac(media)

@@ -7,8 +7,11 @@ emits blocks with the blank lines between them, bullets and numbers of lists by
 preformatted text as it is, and tables as columns padded to their widest cell.
 
 Building and rendering use explicit stacks, so depth is bounded by memory and not by
-recursion, and both are linear in the page, but for the cells of tables, which are
-bounded by the attribute that says how many columns they span.
+recursion. Time and output stay linear in the page, whatever it holds: indents grow to
+MOST_INDENT columns, deeper lists keep their markers there; cells wider than WIDE are not
+padded to; a table whose padding would outweigh its text by far is laid out without it, and
+one with far more spanned than own cells without its spans; tables nested deeper than
+MOST_TABLES are blocks. All of this bounds blanks only: text is kept whole in every case.
 
 Defined results: null or empty pages give empty text; broken markup gives what can be
 read of it; equal pages give equal text.
@@ -19,8 +22,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,10 +70,14 @@ ENDS_P = BLOCKS - _set("li dd dt option optgroup td th tr tbody thead tfoot capt
 SCOPE = _set("table td th caption html template")
 #: HTML's own bounds on colspan and rowspan.
 MOST_SPAN, MOST_DOWN = 1000, 65534
+#: Bounds of blanks: columns of indent, width up to which a cell counts for its column, tables in tables that are
+#: aligned, and padding (with placeholders of spans) as a multiple of what a table holds itself.
+MOST_INDENT, WIDE, MOST_TABLES, MOST_PADDING = 48, 120, 6, 12
 
+#: A quote counts only after an equals sign, and only if it is closed; nothing here is tried twice.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -132,31 +140,30 @@ def build(page: str) -> Node:
     """The tree of a page, with implied tags supplied."""
     root = Node("html", {})
     stack = [root]
-    held: Counter = Counter()  # open elements by tag, so a search for one that is not open costs nothing
+    held: dict[str, list[int]] = {}  # depths of the open elements by tag, so a search for one walks no stack
 
     def cut(depth: int) -> None:
         while len(stack) > depth:
-            held[stack.pop().tag] -= 1
+            held[stack.pop().tag].pop()
+
+    def floor(barrier: frozenset[str]) -> int:
+        """The depth of the nearest open element of barrier."""
+        return max((depths[-1] for tag in barrier if (depths := held.get(tag))), default=0)
 
     def close(names: frozenset[str], barrier: frozenset[str]) -> None:
         """Ends the outermost open element of names above the nearest barrier."""
-        left = sum(held[tag] for tag in names)
-        found, depth = 0, len(stack)
-        while left and depth > 1:
-            depth -= 1
-            if stack[depth].tag in names:
-                found = depth
-                left -= 1
-            elif stack[depth].tag in barrier:
-                break
-        if found:
-            cut(found)
+        some = [depths for tag in names if (depths := held.get(tag))]
+        if some:
+            low = floor(barrier - names)
+            above = [depths[k] for depths in some if (k := bisect_right(depths, low)) < len(depths)]
+            if above:
+                cut(min(above))
 
     def open_(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        held.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        held[tag] += 1
 
     for kind, name, source in tokens(page):
         if kind == "text":
@@ -182,13 +189,10 @@ def build(page: str) -> Node:
                 open_(name, attrs)
         elif name not in VOID:
             scope = frozenset() if name in SCOPE | _set("body") else SCOPE - {"html"}
-            if held[name]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == name:
-                        cut(depth)
-                        break
-                    if stack[depth].tag in scope:
-                        break
+            depths = held.get(name)
+            if depths:
+                if depths[-1] > floor(scope):
+                    cut(depths[-1])
             elif name == "p":
                 stack[-1].children.append(Node("p", {}))
         if kind == "end" and name == "br":
@@ -215,8 +219,8 @@ class _Lines:
         self.now: list[str] = []
         self.blank = False  # a blank is due before the next word
         self.margin = 0  # empty lines due before the next line
-        self.prefix: list[str] = []  # indents; the last may be a marker, used once
-        self.marker = ""
+        self.indent = 0  # columns; what goes beyond MOST_INDENT is not written
+        self.marker = ""  # of a list item, used once
 
     def text(self, said: str) -> None:
         if said[:1] in " \t\n\r\f":
@@ -246,10 +250,8 @@ class _Lines:
         if self.done and self.margin:
             self.done += [""] * self.margin
         self.margin = 0
-        indent = "".join(self.prefix)
-        if self.marker:
-            indent = indent[: len(indent) - len(self.marker)] + self.marker
-            self.marker = ""
+        indent = " " * max(0, min(self.indent, MOST_INDENT) - len(self.marker)) + self.marker
+        self.marker = ""
         self.done.append((indent + line).rstrip())
 
     def space(self, lines: int) -> None:
@@ -276,28 +278,40 @@ def _down(node: Node) -> int:
 
 
 def _placed(rows: list[list[tuple[str, int, bool, int]]], ends: list[int]) -> list[list[tuple[str, int, bool]]]:
-    """Rows of (text, columns spanned, header), with empty cells below those that take several rows.
+    """Rows of (text, columns spanned, header), with an empty cell for each run of columns that a cell from above takes.
 
     ends: for each row the number of the row after its section, which no cell leaves.
     """
-    taken: dict[int, int] = {}  # column: the row from which it is free
+    budget = MOST_PADDING * (sum(map(len, rows)) + len(rows) + 100)
+    taken: list[tuple[int, int, int]] = []  # begin, columns and the row from which they are free, by begin
     out = []
     for k, row in enumerate(rows):
         placed: list[tuple[str, int, bool]] = []
-        at = 0
+        budget -= len(taken)
+        if budget < 0:  # far more spans than cells
+            return [[(said, span, header) for said, span, header, _ in row] for row in rows]
+        at, new, above = 0, [], iter([*taken, (1 << 60, 0, 0)])
+        begin, width, _ = next(above)
+
+        def skip() -> None:
+            nonlocal at, begin, width
+            while begin <= at:
+                if begin + width > at:
+                    placed.append(("", begin + width - at, True))
+                    at = begin + width
+                begin, width, _ = next(above)
+
         for said, span, header, down in row:
-            while taken.get(at, 0) > k:
-                placed.append(("", 1, True))
-                at += 1
+            skip()
             placed.append((said, span, header))
             if down != 1:
-                free = min(k + down, ends[k]) if down else ends[k]
-                taken |= dict.fromkeys(range(at, at + span), free)
+                new.append((at, span, min(k + down, ends[k]) if down else ends[k]))
             at += span
-        if any(free > k and column >= at for column, free in taken.items()):
-            last = max(column for column, free in taken.items() if free > k)
-            placed += [("", 1, True)] * (last + 1 - at)
-        taken = {column: free for column, free in taken.items() if free > k + 1}
+        while begin < 1 << 60:
+            placed += [("", begin - at, True)] * (begin > at)
+            at = max(at, begin)
+            skip()
+        taken = sorted(t for t in taken + new if t[2] > k + 1)
         out.append(placed)
     return out
 
@@ -319,28 +333,35 @@ def _drawn(svg: Node) -> list:
 
 def _table_lines(rows: list[list[tuple[str, int, bool]]]) -> list[str]:
     """Rows of (text, columns spanned, header) as aligned lines; cells of several lines take several."""
-    widths: list[int] = []
+    begins = sorted({at for row in rows for at in accumulate((span for _, span, _ in row), initial=0)})
+    column = {at: i for i, at in enumerate(begins)}  # columns in which no cell begins or ends have no width of their own
+    widths = [0] * len(begins)
+    cells_of, text_size = [], 0
     for row in rows:
-        at = 0
+        at, cells = 0, []
         for said, span, _ in row:
-            while len(widths) < at + span:
-                widths.append(0)
-            if span == 1:
-                widths[at] = max(widths[at], max(map(_width, said.split("\n"))))
+            lines = [(line, _width(line)) for line in said.split("\n")]
+            first, last = column[at], column[at + span]
+            if last - first == 1:
+                widths[first] = max(widths[first], max((w for _, w in lines if w <= WIDE), default=0))
+            cells.append((lines, first, last))
+            text_size += len(said) + 4
             at += span
+        cells_of.append(cells)
+    until = list(accumulate(widths, initial=0))  # the width of the columns before each
+    room = lambda first, last: until[last] - until[first] + 3 * (last - first - 1)
+    padding = sum(max((len(lines) for lines, *_ in cells), default=0) * sum(room(a, b) for _, a, b in cells[:-1]) for cells in cells_of)
+    aligned = padding <= MOST_PADDING * text_size + 4000
     out = []
-    for row in rows:
-        cells = [(said.split("\n"), span) for said, span, _ in row]
-        for k in range(max((len(c) for c, _ in cells), default=0)):
-            at, parts = 0, []
-            for lines, span in cells:
-                said = lines[k] if k < len(lines) else ""
-                room = sum(widths[at : at + span]) + 3 * (span - 1)
-                parts.append(said + " " * max(0, room - _width(said)))
-                at += span
+    for row, cells in zip(rows, cells_of, strict=True):
+        for k in range(max((len(lines) for lines, *_ in cells), default=0)):
+            parts = []
+            for lines, first, last in cells:
+                said, wide = lines[k] if k < len(lines) else ("", 0)
+                parts.append(said + " " * max(0, room(first, last) - wide) if aligned and (first, last) != cells[-1][1:] else said)
             out.append(" | ".join(parts).rstrip())
         if row and all(header for *_, header in row):
-            out.append("-+-".join("-" * w for w in widths))
+            out.append("-+-".join("-" * w for w in (widths[:-1] if aligned else [3] * len(row))))
     return out
 
 
@@ -417,25 +438,25 @@ def render(root: Node) -> str:
             ordered = lists[-1] if lists else [False, 1]
             mark = f"{ordered[1]}. " if ordered[0] else "* "
             ordered[1] += 1
-            lines.prefix.append(" " * len(mark))
+            lines.indent += len(mark)
             lines.marker = mark
 
-            def end_item() -> None:
+            def end_item(wide: int = len(mark)) -> None:
                 lines.end()
                 lines.marker = ""
-                lines.prefix.pop()
+                lines.indent -= wide
 
             later(*item.children, end_item)
         elif tag in ("dd", "blockquote"):
             lines.space(1 if tag == "blockquote" else 0)
-            lines.prefix.append("    ")
+            lines.indent += 4
 
             def end_quote(space: int = int(tag == "blockquote")) -> None:
                 lines.space(space)
-                lines.prefix.pop()
+                lines.indent -= 4
 
             later(*item.children, end_quote)
-        elif tag == "table":
+        elif tag == "table" and len(tables) < MOST_TABLES:
             lines.space(1)
             rows: list[list[tuple[str, int, bool, int]]] = []
             ends: list[int] = []

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.license_signatures import SIGNATURES
+
 #: Longest match of any rule, in characters.
 REACH = 400
 
@@ -47,136 +49,14 @@ class Rule:
     pattern: str
 
 
-#: Families: label, keyword that stands in each of its names, names, identifiers.
-_FAMILIES = (
-    ("gpl", "general public", r"gnu general public licen[cs]e", "gpl"),
-    ("lgpl", "general public", r"gnu (?:lesser|library) general public licen[cs]e", "lgpl"),
-    ("agpl", "general public", r"gnu affero general public licen[cs]e", "agpl"),
-    ("gfdl", "free documentation", r"gnu free documentation licen[cs]e", "gfdl"),
-    ("apache", "apache", r"apache(?: software)? licen[cs]e", "apache"),
-    ("mit", "mit", r"mit licen[cs]e", "mit"),
-    ("x11", "x11", r"x11 licen[cs]e", "x11"),
-    ("bsd", "bsd", r"(?:modified |simplified |new |revised |[0234]-clause )?bsd licen[cs]e", "bsd"),
-    ("isc", "isc", r"isc licen[cs]e", "isc"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e", "mpl"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e", "epl"),
-    ("edl", "eclipse", r"eclipse distribution licen[cs]e", "edl"),
-    ("cddl", "common development", r"common development and distribution licen[cs]e", "cddl"),
-    ("cpl", "common public", r"common public licen[cs]e", "cpl"),
-    ("cpal", "common public", r"common public attribution licen[cs]e", "cpal"),
-    ("eupl", "european union", r"european union public licen[cs]e", "eupl"),
-    ("artistic", "artistic", r"artistic licen[cs]e", "artistic"),
-    ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e", "zlib"),
-    ("libpng", "libpng", r"libpng licen[cs]e", "libpng"),
-    ("boost", "boost", r"boost software licen[cs]e", "bsl"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "do what the", r"do what the \w{1,12} you want to public licen[cs]e", "wtfpl"),
-    ("psf", "python software", r"python software foundation licen[cs]e", "psf"),
-    ("php", "php", r"php licen[cs]e", "php"),
-    ("ruby", "ruby", r"ruby licen[cs]e", "ruby"),
-    ("openssl", "openssl", r"openssl licen[cs]e", "openssl"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", "postgresql"),
-    ("ofl", "open font", r"(?:sil )?open font licen[cs]e", "ofl"),
-    ("odbl", "database", r"open (?:data commons )?(?:open )?database licen[cs]e", "odbl"),
-    ("odc-by", "data commons", r"open data commons attribution licen[cs]e", "odc-by"),
-    ("pddl", "public domain dedication", r"public domain dedication and licen[cs]e", "pddl"),
-    ("osl", "open software", r"open software licen[cs]e", "osl"),
-    ("afl", "academic free", r"academic free licen[cs]e", "afl"),
-    ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[cs]e", "ncsa"),
-    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e", "ms-pl"),
-    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e", "ms-rl"),
-    ("upl", "universal permissive", r"universal permissive licen[cs]e", "upl"),
-    ("sspl", "server side", r"server side public licen[cs]e", "sspl"),
-    ("elastic", "elastic", r"elastic licen[cs]e", "elastic"),
-    ("busl", "business source", r"business source licen[cs]e", "busl"),
-    ("cecill", "cecill", r"cecill(?:-[abc])? (?:free software )?licen[cs]e", "cecill"),
-    ("mulan", "mulan", r"mulan permissive software licen[cs]e", "mulanpsl"),
-    ("vim", "vim", r"vim licen[cs]e", "vim"),
-    ("tcl", "tcl", r"tcl/tk licen[cs]e", "tcl"),
-    ("qpl", "q public", r"q public licen[cs]e", "qpl"),
-    ("ipl", "ibm public", r"ibm public licen[cs]e", "ipl"),
-    ("lppl", "latex project", r"latex project public licen[cs]e", "lppl"),
-    ("watcom", "watcom", r"sybase open watcom public licen[cs]e", "watcom"),
-    ("w3c", "w3c", r"w3c software (?:notice and )?licen[cs]e", "w3c"),
-    ("blueoak", "blue oak", r"blue oak model licen[cs]e", "blueoak"),
-)
-
-#: What a name stands in: suffix of the rule's name, priority, confidence, and the pattern around {n}.
-_FORMS = (
-    ("grant", 90, 0.95, r"(?:licen[cs]ed|released|distributed|available|published)(?: to you)? under(?: the)?(?: terms (?:and conditions )?of(?: the)?)? {n}"),
-    ("version", 80, 0.9, r"{n},? ?\(?(?:version|v\.?) ?\d(?:\.\d{{1,2}}){{0,2}}\)?(?: or (?:\(at your option\) )?(?:any )?later(?: version)?)?"),
-    ("text", 60, 0.75, r"(?:see|under|of|by|read) (?:the )?{n}"),
-    ("name", 40, 0.6, r"\b{n}\b"),
-)
-
-#: Creative Commons: elements of a licence, as they are named and as they are abbreviated.
-_CC = (
-    ("cc-by", "by", r"attribution"),
-    ("cc-by-sa", "by-sa", r"attribution[- ]share ?alike"),
-    ("cc-by-nc", "by-nc", r"attribution[- ]non ?-?commercial"),
-    ("cc-by-nd", "by-nd", r"attribution[- ]no ?-?deriv(?:ative)?s(?: works)?"),
-    ("cc-by-nc-sa", "by-nc-sa", r"attribution[- ]non ?-?commercial[- ]share ?alike"),
-    ("cc-by-nc-nd", "by-nc-nd", r"attribution[- ]non ?-?commercial[- ]no ?-?deriv(?:ative)?s(?: works)?"),
-)
-
-#: Sentences of licence texts and notices: label, keyword, priority, confidence, pattern.
-_SENTENCES = (
-    ("gpl", "free software foundation", 85, 0.9, r"redistribute it and/or modify it under the terms of the gnu general public licen[cs]e as published by the free software foundation"),
-    ("lgpl", "free software foundation", 86, 0.9, r"under the terms of the gnu lesser general public licen[cs]e as published by the free software foundation"),
-    ("agpl", "free software foundation", 87, 0.9, r"under the terms of the gnu affero general public licen[cs]e as published by the free software foundation"),
-    ("gpl", "general public", 70, 0.8, r"you should have received a copy of the gnu general public licen[cs]e"),
-    ("mit", "free of charge", 85, 0.9, r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit", "above copyright notice", 70, 0.8, r"the above copyright notice and this permission notice shall be included in all copies"),
-    ("isc", "with or without fee", 80, 0.85, r"permission to use, copy, modify,? and/?(?:or)? ?distribute this software for any purpose with or without fee"),
-    ("bsd", "source and binary forms", 80, 0.85, r"redistribution and use in source and binary forms, with or without modification"),
-    ("bsd", "binary form", 75, 0.8, r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd", "endorse or promote", 75, 0.8, r"neither the names? of .{1,80} may be used to endorse or promote products"),
-    ("apache", "apache.org/licenses", 85, 0.95, r"https?://(?:www\.)?apache\.org/licenses/license-2\.0"),
-    ("apache", "except in compliance", 80, 0.85, r"you may not use this file except in compliance with the licen[cs]e"),
-    ("mpl", "mozilla.org/mpl", 85, 0.95, r"https?://(?:www\.)?mozilla\.org/mpl/"),
-    ("mpl", "source code form", 80, 0.85, r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
-    ("boost", "boost.org", 85, 0.95, r"https?://(?:www\.)?boost\.org/license_1_0\.txt"),
-    ("gpl", "gnu.org/licenses", 60, 0.7, r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    ("lgpl", "gnu.org/licenses", 61, 0.7, r"https?://(?:www\.)?gnu\.org/licenses/(?:old-licenses/)?lgpl"),
-    ("agpl", "gnu.org/licenses", 61, 0.7, r"https?://(?:www\.)?gnu\.org/licenses/agpl"),
-    ("unlicense", "unencumbered", 85, 0.95, r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", 50, 0.6, r"(?:released|placed|dedicated) (?:in)?to the public domain"),
-    ("public-domain", "public domain", 40, 0.5, r"\bpublic domain\b"),
-    ("zlib", "as-is", 80, 0.85, r"this software is provided 'as-is', without any express or implied warranty"),
-    ("warranty-disclaimer", "as is", 20, 0.3, r"(?:is )?provided [\"']?as is[\"']?,? without warranty of any kind"),
-    ("warranty-disclaimer", "merchantability", 20, 0.3, r"implied warrant(?:y|ies) of merchantability"),
-    ("proprietary", "all rights reserved", 30, 0.4, r"\ball rights reserved\b"),
-    ("proprietary", "proprietary", 35, 0.5, r"proprietary and confidential"),
-    ("proprietary", "unauthori", 35, 0.5, r"unauthori[sz]ed (?:copying|reproduction|distribution)"),
-    ("proprietary", "without permission", 30, 0.4, r"may not be (?:copied|reproduced|distributed) without (?:prior |written )*permission"),
-    ("cc0", "cc0", 80, 0.9, r"\bcc0(?:[- ]1\.0)?\b"),
-    ("cc0", "publicdomain/zero", 85, 0.95, r"creativecommons\.org/publicdomain/zero"),
-    ("cc0", "no copyright", 50, 0.5, r"no copyright reserved"),
-    ("ofl", "scripts.sil.org", 85, 0.9, r"https?://scripts\.sil\.org/ofl"),
-    ("unspecified", "licensed under", 5, 0.2, r"\blicensed under\b"),
-)
-
-
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules: families by forms and identifiers, Creative Commons by notation, and sentences."""
-    made = []
-    for label, keyword, name, spdx in _FAMILIES:
-        made += [Rule(f"{label}:{form}", label, p, c, keyword, pattern.format(n=name)) for form, p, c, pattern in _FORMS]
-        made.append(
-            Rule(f"{label}:spdx", label, 100, 1.0, "spdx-license-identifier", rf"spdx-license-identifier: ?\(?{re.escape(spdx)}(?:-[0-9a-z.+]{{1,20}})*(?![0-9a-z])")
-        )
-    for label, short, long in _CC:
-        tail = r"(?![- ](?:sa|nc|nd)\b)"
-        version = r"(?: ?-?\d\.\d)?"
-        made += [
-            Rule(f"{label}:short", label, 70 + len(short), 0.85, "cc", rf"\bcc[- ]{short.replace('-', '[- ]')}\b{tail}{version}"),
-            Rule(f"{label}:grant", label, 90 + len(short), 0.95, "cc", rf"licen[cs]ed under (?:a |the )?cc[- ]{short.replace('-', '[- ]')}\b{tail}{version}"),
-            Rule(f"{label}:name", label, 75 + len(short), 0.9, "creative commons", rf"creative commons {long}(?![- ](?:non|no|share))(?: \d\.\d)?(?: international| unported| generic)?(?: licen[cs]e)?"),
-            Rule(f"{label}:url", label, 95, 1.0, "creativecommons.org", rf"creativecommons\.org/licenses/{short}/\d\.\d"),
-            Rule(f"{label}:spdx", label, 100, 1.0, "spdx-license-identifier", rf"spdx-license-identifier: ?\(?cc-{short}-\d\.\d"),
-        ]
-    made += [Rule(f"{label}:sentence{i}", label, p, c, keyword, pattern) for i, (label, keyword, p, c, pattern) in enumerate(_SENTENCES)]
+    """All signature rules, in the order of their table, named by label and number."""
+    made: list[Rule] = []
+    for line in SIGNATURES.splitlines():
+        if line and not line.startswith("#"):
+            label, keyword, priority, confidence, pattern = line.split(" | ", 4)
+            made.append(Rule(f"{label}:{len(made)}", label, int(priority), float(confidence), keyword, pattern))
     return tuple(made)
 
 

@@ -6,9 +6,11 @@ hashes are joined to those of every window of every document; around each hit, t
 whole item is laid against the document along the hit's diagonal and the share of
 its tokens that agree decides. Items shorter than the masks are matched whole.
 
-The hot path is built-in expressions in one scan of the documents. The benchmark is
-joined in blocks of at most SEED_ROWS hashes, each of which is broadcast: the bound
-holds for a benchmark of any size, and every block meets all documents.
+The hot path is built-in expressions in one scan of the documents. A benchmark of at most
+SEED_ROWS hashes is broadcast. A larger one is not: a bitmap of bounded size sieves the
+windows in that same scan, and what passes meets the hashes in an equi-join, which adaptive
+execution splits where a seed is common; documents are not read once for each block of the
+benchmark. Items with equal tokens are searched for once.
 
 Defined results: null or empty texts and items without tokens match nothing; an item
 that stands in one document several times gives one row, the best; equal items each
@@ -25,7 +27,7 @@ from tidemark.llm import common
 
 #: Fixed masks over nine tokens, six of them kept.
 MASKS = ("110110011", "101011101", "111101010")
-#: Share of an item's tokens that must agree, and the bound on one broadcast block.
+#: Share of an item's tokens that must agree, and the most hashes that are broadcast.
 MIN_OVERLAP, SEED_ROWS = 0.6, 1_000_000
 
 
@@ -58,8 +60,9 @@ def find(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP
     doc_id, th (hash of the text), item_id, start (token of the document at which the
     item begins; may be negative at a text's start), n_tokens, n_match, overlap.
     """
-    items = benchmark.select(F.struct("item_id", F.xxhash64("text").alias("h")).alias("item"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    items = common.materialize(items.dropDuplicates(["item"]), "items")
+    named = benchmark.select(F.struct("item_id", F.xxhash64("text").alias("h")).alias("named"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    named = common.materialize(named.dropDuplicates(["named"]), "items-named")
+    items = common.materialize(named.groupBy("t").agg(F.min("named").alias("item")), "items")
     span = max(map(len, MASKS))
     short = [r[0] for r in items.where(F.size("t") < span).select(F.size("t")).distinct().orderBy(F.size("t")).collect()]
     masks = [*MASKS, *["1" * n for n in short]]  # at most span - 1 more
@@ -67,23 +70,23 @@ def find(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP
     for n in short:  # a short item answers to the mask of its own length only
         seeds = seeds.unionAll(_seeds(items.where(F.size("t") == n), ["1" * n], ["item", "t"]))
     seeds = common.materialize(seeds.select("seed", "item", F.col("pos").alias("at"), F.size("t").alias("n")), "seeds")
-    blocks = max(1, -(-seeds.count() // seed_rows))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("t"))
-    hits = None
-    for block in range(blocks):
-        part = seeds.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == block) if blocks > 1 else seeds
-        some = (
-            _seeds(texts, masks, ["doc_id", "th", "t"])
-            .join(F.broadcast(part), "seed")
-            .select("doc_id", "th", "item", (F.col("pos") - F.col("at")).alias("start"), "n", "t")
-            .select(
-                "doc_id", "th", "item", "start",
-                # The item's stretch of the document; it may be cut at either end of the text.
-                F.greatest(F.lit(0), -F.col("start")).alias("skip"),
-                F.slice("t", F.greatest(F.col("start") + 1, F.lit(1)), F.greatest(F.col("n") + F.least(F.col("start"), F.lit(0)), F.lit(0))).alias("there"),
-            )
-        )
-        hits = some if hits is None else hits.unionAll(some)
+    start = (F.col("pos") - F.col("at")).alias("start")
+    if seeds.count() <= seed_rows:
+        met = _seeds(texts, masks, ["doc_id", "th", "t"]).join(F.broadcast(seeds), "seed").select("doc_id", "th", "item", start, "n", "t")
+    else:
+        windows = common.sieve(_seeds(texts, masks, ["doc_id", "th"]), "seed", seeds.select("seed"))
+        found = windows.join(seeds, "seed").select("doc_id", "th", "item", start, "n").distinct()
+        found = common.private(common.materialize(found, "seeds-met"))
+        again = common.sieve(texts, "th", found.select("_tidemark_th"))
+        match = F.col("doc_id").eqNullSafe(F.col("_tidemark_doc_id")) & (F.col("th") == F.col("_tidemark_th"))
+        met = again.join(found, match).select("doc_id", "th", F.col("_tidemark_item").alias("item"), F.col("_tidemark_start").alias("start"), F.col("_tidemark_n").alias("n"), "t")
+    hits = met.select(
+        "doc_id", "th", "item", "start",
+        # The item's stretch of the document; it may be cut at either end of the text.
+        F.greatest(F.lit(0), -F.col("start")).alias("skip"),
+        F.slice("t", F.greatest(F.col("start") + 1, F.lit(1)), F.greatest(F.col("n") + F.least(F.col("start"), F.lit(0)), F.lit(0))).alias("there"),
+    )
     places = hits.groupBy("doc_id", "th", "item", "start").agg(F.first("skip").alias("skip"), F.first("there").alias("there"))
     agree = F.zip_with(
         F.slice("t", F.col("skip") + 1, F.size("there")), "there", lambda a, b: F.when(a == b, 1).otherwise(0)
@@ -96,8 +99,9 @@ def find(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP
         F.max(F.struct("n_match", (-F.col("start")).alias("first"), "n_tokens")).alias("b")
     )
     overlap = F.col("b.n_match") / F.col("b.n_tokens")
-    return best.where(overlap >= min_overlap).select(
-        "doc_id", "th", F.col("item.item_id").alias("item_id"), (-F.col("b.first")).cast("long").alias("start"),
+    alike = named.join(items, "t").select("item", "named")
+    return best.where(overlap >= min_overlap).join(alike, "item").select(
+        "doc_id", "th", F.col("named.item_id").alias("item_id"), (-F.col("b.first")).cast("long").alias("start"),
         F.col("b.n_tokens").cast("long").alias("n_tokens"), F.col("b.n_match").cast("long").alias("n_match"), overlap.alias("overlap"),
     )
 

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Bounds of the fit: clean and toxic rows, bytes of a text that may be sampled, entries learned.
-FIT_ROWS, FIT_BYTES, FIT_ENTRIES = (8000, 2000), 32_768, 5000
+#: Bounds of the fit: clean and toxic rows, characters of a text that are sampled, entries learned.
+FIT_ROWS, FIT_CHARS, FIT_ENTRIES = (8000, 2000), 12_288, 5000
 #: An entry needs odds so many times the clean texts', and so much evidence: the log-likelihood
 #: by which its texts' split beats chance, high enough for hundreds of thousands of candidates.
 LEAST_ODDS, LEAST_EVIDENCE = 8.0, 12.0
@@ -227,10 +227,10 @@ class ToxicityModel:
     beta: tuple[float, ...]
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = FIT_ROWS, max_bytes: int = FIT_BYTES) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = FIT_ROWS, max_chars: int = FIT_CHARS) -> ToxicityModel:
     """Fits on at most rows texts of the two classes: two thirds for the lexicon, the rest for calibration."""
     sample = (
-        common.label_sample(docs, labels, "toxic", rows, max_bytes)
+        common.label_sample(docs, labels, "toxic", rows, max_chars)
         .select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) > 0).alias("teach"))
         .toPandas()
         .sort_values(["doc_id", "text"], ignore_index=True)

@@ -1,14 +1,17 @@
-"""Quality classifier: how much better good text's dictionary compresses a text.
-
-Two zstandard dictionaries are trained, one on good and one on bad labelled text.
-A text is cut into blocks and each block is compressed with either dictionary;
-blocks keep the dictionaries' share of the matches alike in short and long texts.
-The size difference, normalised by the sizes' sum and by the text's length, goes
-with the compressed ratio through a logistic calibration fitted on labelled rows
-that the dictionaries have not seen.
-
-Defined results: a null or empty text has zero sizes and gets the calibrated score
-of zero features; equal texts get equal scores; other columns are not looked at.
+"""Quality classifier: how much better good text's dictionaries compress a text than bad text's.
+
+Pairs of zstandard dictionaries are trained, one of a pair on good and one on bad labelled
+text, at several sizes. A text is cut into blocks and each block is compressed with either
+dictionary; blocks keep the dictionaries' share of the matches alike in short and long texts.
+The size differences of the pairs, normalised by the text's length, add up to one number,
+and a logistic curve of it is the score: the more the good dictionaries save, the higher. A
+short text says little, so its evidence shrinks with length / (length + SHORT) towards the
+classes' shares. The curve is fitted on differences that dictionaries of other texts gave
+(the labelled texts are dealt into folds), so all of them can teach.
+
+Defined results: a null or empty text gets the curve's score of no evidence; equal texts get
+equal scores; other columns are not looked at; without labels every score is one half, with
+one class only the dictionaries of the other are empty and the curve is flat.
 """
 
 from __future__ import annotations
@@ -24,97 +27,108 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-#: Bounds of the fit: rows of each class, and bytes of a text that may be sampled.
-FIT_ROWS, FIT_BYTES = 3000, 32_768
-BLOCK, LEVEL, DICT_BYTES = 1024, 3, 65_536
+#: Bounds of the fit: rows of each class, and characters of a text that are sampled (a stretch of longer ones).
+FIT_ROWS, FIT_CHARS = 3000, 12_288
+#: Pairs of dictionaries: bytes of a dictionary, and of the blocks that it compresses.
+PAIRS, LEVEL, FOLDS = ((32_768, 2048), (65_536, 1024), (112_640, 512)), 3, 3
+#: Bytes of a text whose evidence counts half, and the difference near which more of it adds less.
+SHORT, STRONG = 250, 0.05
 #: A document is kept if its score is at least this.
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    good: bytes
-    bad: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    beta: tuple[float, ...]
+    """Dictionaries (good, bad) in the order of PAIRS, and the curve: base, and factors of the two columns of evidence."""
+
+    dictionaries: tuple[tuple[bytes, bytes], ...]
+    base: float
+    slope: float
+    length: float
+
+    def score(self, differences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For texts of one size the score never falls with the difference."""
+        margin = self.base + evidence(differences, sizes) @ np.array([self.slope, self.length])
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+def evidence(differences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows of (difference, one), both in proportion to what a text of that many bytes says."""
+    share = sizes / (sizes + SHORT)
+    return np.stack([np.tanh(differences / STRONG) * share, share], 1)
 
 
-class _Sizer:
-    """Compressed sizes of texts under the two dictionaries and under none."""
+def size_of(text: str | None) -> int:
+    return len((text or "").encode("utf-8", "replace"))
 
-    def __init__(self, good: bytes, bad: bytes):
-        def compressor(content: bytes | None):
+
+class Difference:
+    """What the good dictionaries save against the bad ones, as a share of a text's bytes."""
+
+    def __init__(self, dictionaries: tuple[tuple[bytes, bytes], ...]):
+        def compressor(content: bytes) -> zstandard.ZstdCompressor:
             more = {}
             if content:
                 more["dict_data"] = zstandard.ZstdCompressionDict(content)
                 more["dict_data"].precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, **more)
 
-        self.good, self.bad, self.plain = compressor(good), compressor(bad), compressor(None)
+        self.pairs = [(block, compressor(good), compressor(bad)) for (_, block), (good, bad) in zip(PAIRS, dictionaries, strict=True)]
 
-    def sizes(self, text: str | None) -> tuple[int, int, int, int]:
+    def of(self, text: str | None) -> float:
         data = (text or "").encode("utf-8", "replace")
-        good = bad = 0
-        for at in range(0, len(data), BLOCK):
-            block = data[at : at + BLOCK]
-            good += len(self.good.compress(block))
-            bad += len(self.bad.compress(block))
-        return good, bad, len(self.plain.compress(data)) if data else 0, len(data)
-
-
-def features(sizes: np.ndarray) -> np.ndarray:
-    """Rows of (good, bad, plain, length) as calibration features."""
-    good, bad, plain, length = (sizes[:, i].astype(float) for i in range(4))
-    some = np.maximum(length, 1.0)
-    diff = (bad - good) / np.maximum(good + bad, 1.0)
-    per_byte = (bad - good) / some
-    ratio = np.log((good + bad + 2) / (2 * some + 2))
-    whole = np.log((plain + 16) / (some + 16))
-    size = np.log1p(length)
-    x = np.stack([diff, per_byte, ratio, whole, size], 1)
-    pairs = [x[:, i] * x[:, j] for i in range(5) for j in range(i, 5)]
-    return np.concatenate([x, np.stack(pairs, 1)], 1)
-
-
-def _train(texts: list[str]) -> bytes:
+        saved = 0
+        for block, good, bad in self.pairs:
+            for at in range(0, len(data), block):
+                part = data[at : at + block]
+                saved += len(bad.compress(part)) - len(good.compress(part))
+        return saved / (len(self.pairs) * max(1, len(data)))
+
+
+def _train(texts: list[str], size: int, block: int) -> bytes:
     """A dictionary from blocks of texts; b"" where there is too little to train on."""
-    blocks = []
-    for text in texts:
-        data = text.encode("utf-8", "replace")
-        blocks += [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+    blocks = [data[at : at + block] for data in (t.encode("utf-8", "replace") for t in texts) for at in range(0, len(data), block)]
     total = sum(map(len, blocks))
     if len(blocks) < 16 or total < 4096:
-        return b"".join(blocks)[-DICT_BYTES:] if total >= 64 else b""
+        return b"".join(blocks)[-size:] if total >= 64 else b""
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, total // 8)), blocks).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, total // 8)), blocks).as_bytes()
     except zstandard.ZstdError:  # too uniform to train: its tail serves as raw content
-        return b"".join(blocks)[-DICT_BYTES:]
+        return b"".join(blocks)[-size:]
+
+
+def train(texts: pd.DataFrame) -> tuple[tuple[bytes, bytes], ...]:
+    """Dictionaries of both classes; texts: text, label."""
+    good, bad = (list(texts[texts.label == value].text) for value in (1, 0))
+    return tuple((_train(good, size, block), _train(bad, size, block)) for size, block in PAIRS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES) -> QualityModel:
-    """Fits on at most rows texts of each class, half for dictionaries, half for calibration.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_chars: int = FIT_CHARS) -> QualityModel:
+    """Fits on at most rows texts of each class.
 
-    The bound makes the sample a constant, so it may be collected: rows * 2 texts.
+    The bound makes the sample a constant, so it may be collected: rows * 2 stretches of text.
     """
     sample = (
-        common.label_sample(docs, labels, "quality", (rows, rows), max_bytes)
-        .select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)) == 0).alias("teach"))
+        common.label_sample(docs, labels, "quality", (rows, rows), max_chars)
+        .select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).alias("fold"))
         .toPandas()
         .sort_values(["doc_id", "text"], ignore_index=True)
     )
-    teach, check = sample[sample.teach], sample[~sample.teach]
-    good, bad = (_train(list(teach[teach.label == v].text)) for v in (1, 0))
-    sizer = _Sizer(good, bad)
-    sizes = np.array([sizer.sizes(t) for t in check.text], dtype=np.int64).reshape(-1, 4)
-    y = check.label.to_numpy(float)
+    x, y = np.zeros(len(sample)), sample.label.to_numpy(float)
+    for fold in range(FOLDS):
+        own = (sample.fold == fold).to_numpy()
+        if own.any():
+            difference = Difference(train(sample[~own]))
+            x[own] = [difference.of(t) for t in sample.text[own]]
     counts = common.label_counts(labels, "quality")
     weight = np.ones(len(y))
     for value in (0, 1):  # the sample is even; weights give the classes' true shares back
         if n := (y == value).sum():
             weight[y == value] = counts.get(value, 0) / n
-    mean, scale, beta = common.fit_logistic(features(sizes), y, weight)
-    return QualityModel(good, bad, tuple(mean), tuple(scale), tuple(beta))
+    mean, scale, beta = common.fit_logistic(evidence(x, np.array([size_of(t) for t in sample.text], float)), y, weight, ridge=1e-5)
+    slope, length = (beta[1:] / scale).tolist()
+    slope = max(0.0, slope)  # what the good dictionaries save never speaks against a text
+    return QualityModel(train(sample), float(beta[0] - slope * mean[0] - length * mean[1]), slope, length)
 
 
 def score_column(model: QualityModel, text: Column) -> Column:
@@ -122,12 +136,10 @@ def score_column(model: QualityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sizer = _Sizer(model.good, model.bad)
-        mean, scale, beta = (np.array(v) for v in (model.mean, model.scale, model.beta))
+        difference = Difference(model.dictionaries)
         for texts in batches:
-            sizes = np.array([sizer.sizes(t) for t in texts], dtype=np.int64).reshape(-1, 4)
-            margin = beta[0] + ((features(sizes) - mean) / scale) @ beta[1:]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+            found = np.array([difference.of(t) for t in texts], dtype=float)
+            yield pd.Series(model.score(found, np.array([size_of(t) for t in texts], dtype=float)))
 
     return quality(text)
 

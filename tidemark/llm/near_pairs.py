@@ -8,10 +8,10 @@ common to all sets (the prefix filter): no pair is lost. The order puts elements
 are common in a bounded sample of texts last, so widespread passages rarely make nodes
 meet; the sample decides only the order, never the result.
 
-Candidates go through three tests, none of which loses a pair: their sizes; the number of
-prefix elements that they share, which a pair of such overlap cannot fall below; and the
-distance of parity sketches (a bit for each residue of the element's hash, flipped by
-each element), which the symmetric difference of two sets cannot fall below. What is left
+Candidates go through three tests, none of which loses a pair: their sizes; the places of
+the element on which they meet, which cannot lie so far back that too few are left to share;
+and the distance of parity sketches (a bit for each residue of the element's hash, flipped
+by each element), which the symmetric difference of two sets cannot fall below. What is left
 is verified on the whole sets. Work goes in two turns: first the links of SimHash, and each
 node with the one that it meets most often among the first ones of its meetings, in two
 orders, which joins large groups by a number of pairs linear in their size; then all pairs
@@ -148,12 +148,12 @@ def _prints(docs: DataFrame) -> DataFrame:
 
 
 def _meetings(prints: DataFrame) -> DataFrame:
-    """(key, node, n) of the nodes that meet others on a key.
+    """(key, node, n, at) of the nodes that meet others on a key; at: the key's place among the node's elements.
 
     Copies and widespread keys are combined before the shuffle that finds the keys of two
     nodes or more; only rows of such keys (sieved first) are shuffled to be told apart.
     """
-    dealt = prints.select("node", "n", F.explode("keys").alias("key"))
+    dealt = prints.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
     shared = common.materialize(shared, "near-keys")
     return common.materialize(common.sieve(dealt, "key", shared).join(shared, "key", "left_semi").distinct(), "near-meetings")
@@ -168,16 +168,6 @@ def _overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * NEAR / F.lit(NEAR + OF))
 
 
-def _after(n: Column) -> Column:
-    """Elements of a set of n that stand after its prefix."""
-    return F.ceil(n * NEAR / F.lit(OF)) - 1
-
-
-def _met_enough(n: Column, m: Column, met: Column) -> Column:
-    """Whether a pair that shares met prefix elements can be near: what it shares otherwise stands after one of the prefixes."""
-    return met >= _overlap(n, m) - F.greatest(_after(n), _after(m))
-
-
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) -> DataFrame:
     """The pairs (u, v) of nodes that are near."""
     side = lambda name, s: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
@@ -209,7 +199,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) ->
 
 def _open(meetings: DataFrame, label: DataFrame) -> DataFrame:
     """Meetings with the nodes' components, without those of one component only."""
-    named = meetings.join(label.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", "n", F.coalesce("v", "node").alias("label"))
+    named = meetings.join(label.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", "n", "at", F.coalesce("v", "node").alias("label"))
     named = common.materialize(named, "near-named")
     apart = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
     return common.materialize(named.join(apart, "key", "left_semi"), "near-open")
@@ -239,10 +229,16 @@ def assign(docs: DataFrame) -> DataFrame:
     sure = _verified(docs, nodes, pairs, "first")
 
     open_ = _open(meetings, components.roots(sure))
-    other = open_.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"))
-    fit = (F.col("u") > F.col("v")) & (F.col("label") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m"))
-    met = open_.withColumnRenamed("node", "u").join(other, "key").where(fit).groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("met"))
-    rest = met.where(_met_enough(F.col("n"), F.col("m"), F.col("met"))).select("u", "v")
+    # The smaller set of a pair (u) and the larger share at least _overlap elements, so the first of these stands no
+    # further back than leaves room for the others, in either. The smaller one's room is narrower still.
+    small = open_.where(F.col("at") <= F.col("n") - _overlap(F.col("n"), F.col("n")))
+    small = small.select("key", F.col("node").alias("u"), F.col("n").alias("m"), F.col("at").alias("u_at"), F.col("label").alias("other"))
+    least = _overlap(F.col("n"), F.col("m"))
+    fit = (
+        (F.col("label") != F.col("other")) & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("u") < F.col("node"))))
+        & _sizes_fit(F.col("n"), F.col("m")) & (F.col("u_at") <= F.col("m") - least) & (F.col("at") <= F.col("n") - least)
+    )
+    rest = small.join(open_, "key").where(fit).select("u", F.col("node").alias("v")).distinct()
     found = components.roots(sure.unionAll(_verified(docs, nodes, rest, "rest")))
 
     rooted = prints.select("doc_id", "th", "node").join(found.select(F.col("u").alias("node"), "v"), "node", "left")

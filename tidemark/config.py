@@ -79,8 +79,8 @@ DEFAULT = Profile(
     foreign_languages=("german", "french", "italian", "spanish", "dutch", "polish", "slovak", "portuguese"),
     senior_terms=("senior", "head of", "director", "principal", "manager"),
     excluded_terms=("freelance", "day rate", "umbrella company"),
-    home_places=("ireland", "dublin", "cork", "galway", "limerick", "waterford", "clare", "donegal", "letterkenny", "ennis"),
-    abroad_places=("london", "tunis", "lisbon", "mexico city", "belfast", "enniskillen", "northern ireland", "paris", "berlin"),
+    home_places=("ireland", "dublin", "cork", "galway", "limerick", "waterford", "clare", "donegal", "kerry", "tralee", "ennis"),
+    abroad_places=("london", "tunisia", "lisbon", "mexico city", "belfast", "northern ireland", "paris", "berlin"),
 )
 
 CORPUS = Profile(

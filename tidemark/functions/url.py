@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import text
 
-#: Fixed value: query parameters that do not tell vacancies apart.
-NOISE_PARAMETER = r"(?i)^(utm_\w+|lang|hslang|locale|domain|source|src|ref|trk)$"
+#: Query parameters that do not tell vacancies apart, besides those that begin with utm_.
+NOISE_PARAMETERS = ("lang", "hslang", "locale", "domain", "source", "src", "ref", "trk")
 
 
 def host(url: Column) -> Column:
@@ -25,10 +25,12 @@ def query(url: Column) -> Column:
 
 def kept_query(url: Column) -> Column:
     """The query without noise parameters and parameters without a value, in order."""
-    pairs = F.filter(
-        F.split(query(url), "&"),
-        lambda p: F.contains(p, F.lit("=")) & (F.substring_index(p, "=", 1) != "") & ~p.endswith("=") & ~F.substring_index(p, "=", 1).rlike(NOISE_PARAMETER),
-    )
+
+    def tells(p: Column) -> Column:
+        name = F.lower(F.substring_index(p, "=", 1))
+        return p.rlike("^[^=]+=.*[^=]$") & ~name.isin(*NOISE_PARAMETERS) & ~name.startswith("utm_")
+
+    pairs = F.filter(F.split(query(url), "&"), tells)
     return F.array_join(pairs, "&")
 
 
@@ -45,17 +47,18 @@ def vacancy_of(company: Column, url: Column) -> Column:
     return F.concat(F.lower(text(company)), F.lit("|"), F.rtrim(path(url), F.lit("/")), F.lit("?"), kept_query(url))
 
 
+#: The end of a host that names a site: two labels, or three where the second is a short one such as co or com.
+_SITE = r"(?:^|\.)([^.:]+\.(?:ac|co|com|gov|net|org)\.[^.:]{2}|[^.:]+\.[^.:]+|[^.:]+)(?::\d+)?$"
+
+
 def site(url: Column) -> Column:
-    """The registrable domain: two labels, or three where the second is a short one such as co or com."""
-    labels = F.split(F.regexp_replace(host(url), r":\d+$", ""), r"\.")
-    n = F.size(labels)
-    three = (n >= 3) & F.get(labels, n - 2).isin("co", "com", "org", "gov", "ac", "net") & (F.length(F.get(labels, n - 1)) == 2)
-    take = F.least(n, F.when(three, 3).otherwise(2))
-    return F.array_join(F.slice(labels, n - take + 1, take), ".")
+    """The registrable domain."""
+    return F.regexp_extract(host(url), _SITE, 1)
 
 
 def same_site(a: Column, b: Column) -> Column:
-    return (site(a) != "") & (site(a) == site(b))
+    """Whether two addresses are of one site; addresses without a host are of none."""
+    return F.coalesce(F.nullif(site(a), F.lit("")) == site(b), F.lit(False))
 
 
 def slug_words(url: Column) -> Column:
@@ -65,17 +68,18 @@ def slug_words(url: Column) -> Column:
 
 
 def from_slug(url: Column, places: tuple[str, ...]) -> Column:
-    """struct<title, location> read off a slug: words before the first place are the title, the rest the location."""
-    slug = F.element_at(F.split(F.rtrim(path(url), F.lit("/")), "/"), -1)
-    slug = F.regexp_replace(F.regexp_replace(slug, r"(?i)\.(html?|aspx?|php)$", ""), r"^\d{4,}[-_]|[-_]\d{5,}$", "")
-    parts = F.filter(F.split(slug, "[-_]+"), lambda p: p != "")
-    cut = F.array_min(F.array_compact(F.array(*[F.when(F.array_position(F.transform(parts, F.lower), p) > 0, F.array_position(F.transform(parts, F.lower), p)) for p in places])))
-    cut = F.coalesce(cut.cast("int"), F.size(parts) + 1)
-    title = F.array_join(F.slice(parts, F.lit(1), cut - 1), " ")
-    place = F.array_join(F.slice(parts, cut, F.greatest(F.size(parts) - cut + 1, F.lit(0))), " ")
-    usable = (F.length(slug) >= 6) & (F.size(parts) >= 2) & F.exists(parts, lambda p: ~p.rlike(r"^\d+$"))
-    titled = usable & F.length(title).between(4, 90)
+    """struct<title, location> read off a slug: what stands before the first place is the title, the rest the location.
+
+    Numbers of four digits or more at either end, and a page's file ending, belong to neither.
+    """
+    last = F.regexp_extract(F.rtrim(path(url), F.lit("/")), r"([^/]*)$", 1)
+    words = F.filter(F.split(F.regexp_replace(last, r"\.[A-Za-z]{3,5}$", ""), "[-_]+"), lambda w: (w != "") & ~w.rlike(r"^\d{4,}$"))
+    said = F.array_join(words, " ")
+    usable = (F.length(said) >= 6) & said.rlike("[A-Za-z]") & (F.size(words) >= 2)
+    at = F.regexp_instr(said, F.lit(r"(?i)(?<![^ ])(" + "|".join(places) + r")(?![^ ])"))
+    title = F.trim(F.when(at > 0, F.substring(said, F.lit(1), at - 1)).otherwise(said))
+    place = F.when(at > 0, F.substring(said, at, F.length(said))).otherwise("")
     return F.struct(
-        F.when(titled, F.initcap(title)).otherwise(F.lit("")).alias("title"),
-        F.when(usable, F.initcap(place)).otherwise(F.lit("")).alias("location"),
+        F.when(usable & F.length(title).between(4, 90), F.initcap(title)).otherwise("").alias("title"),
+        F.when(usable, F.initcap(place)).otherwise("").alias("location"),
     )

@@ -20,22 +20,22 @@ def dedupe_key() -> Column:
     )
 
 
-def best_per(df: DataFrame, key: Column, *order: Column) -> DataFrame:
+def best_per(df: DataFrame, key: Column, *order: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """The first row of each key by order.
 
     The winner is found by an aggregate over a struct, so a hot key is combined before the
     shuffle and no group is sorted in one task. order: columns that sort ascending and end
-    with a unique one.
+    with a unique one. keep: the columns to go on with, all if none are named; only these are shuffled.
     """
-    own = df.columns
+    own = keep or df.columns
     keyed = df.select(key.alias("_key"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("_order"), F.struct(*own).alias("_row"))
     best = keyed.groupBy("_key").agg(F.min_by("_row", "_order").alias("_row"))
     return best.select("_row.*")
 
 
-def best_posting(postings: DataFrame) -> DataFrame:
+def best_posting(postings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Of equal dedupe keys the best score, then the earliest ordinal."""
-    return best_per(postings, dedupe_key(), -F.col("score"), F.col("ordinal"))
+    return best_per(postings, dedupe_key(), -F.col("score"), F.col("ordinal"), keep=keep)
 
 
 def best_address(board: DataFrame) -> DataFrame:

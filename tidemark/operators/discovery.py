@@ -17,7 +17,7 @@ PLATFORMS = (
     ("smartrecruiters", r"(?i)(?:careers|jobs)\.smartrecruiters\.com/([a-z0-9_-]+)"),
     ("recruitee", r"(?i)([a-z0-9-]+)\.recruitee\.com"),
     ("personio", r"(?i)([a-z0-9-]+)\.jobs\.personio\.(?:de|com)"),
-    ("workday", r"(?i)([a-z0-9-]+)\.wd\d{1,3}\.myworkdayjobs\.com"),
+    ("workday", r"(?i)([a-z0-9-]+)\.wd(\d{1,3})\.myworkdayjobs\.com/(?:[a-z]{2}-[a-z]{2}/)?([a-z0-9_-]+)"),
     ("icims", r"(?i)([a-z0-9-]+)\.icims\.com"),
     ("taleo", r"(?i)([a-z0-9-]+)\.taleo\.net"),
     ("teamtailor", r"(?i)([a-z0-9-]+)\.teamtailor\.com"),
@@ -28,8 +28,14 @@ PLATFORMS = (
     ("hirehive", r"(?i)([a-z0-9-]+)\.hirehive\.(?:com|io)"),
     ("eightfold", r"(?i)([a-z0-9-]+)\.eightfold\.ai"),
 )
-JOB_PATH = r"(?i)/(jobs?|careers?|vacanc(y|ies)|positions?|opportunit(y|ies)|roles?|openings?)(/|-|\b)"
-NOT_JOB_PATH = r"(?i)(privacy|cookie|login|sign-?in|about|contact|blog|news|faq|terms)"
+#: A path that names a vacancy and nothing that is none; read in one go.
+JOB_PATH = r"(?i)^(?!.*(?:privacy|cookie|login|sign-?in|about|contact|blog|news|faq|terms)).*/(?:jobs?|careers?|vacanc(?:y|ies)|positions?|opportunit(?:y|ies)|roles?|openings?)(?:/|-|\b)"
+
+
+def token_of(address: Column, name: str, pattern: str) -> Column:
+    """The token as its platform's reader takes it: for Workday tenant, number and site, which keeps its case."""
+    parts = [F.regexp_extract(address, pattern, i) for i in range(1, 4 if name == "workday" else 2)]
+    return F.concat_ws("|", F.lower(parts[0]), *parts[1:])
 
 
 def detect(pages: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def detect(pages: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(
             *[
-                F.when(c.rlike(p), F.struct(F.lit(place * 100 + i).alias("rank"), F.lit(name).alias("ats"), F.lower(F.regexp_extract(c, p, 1)).alias("token")))
+                F.when(c.rlike(p), F.struct(F.lit(place * 100 + i).alias("rank"), F.lit(name).alias("ats"), token_of(c, name, p).alias("token")))
                 for place, c in enumerate((text(F.col("url")), text(F.col("html"))))
                 for i, (name, p) in enumerate(PLATFORMS)
             ]
@@ -65,10 +71,9 @@ def link_candidates(pages: DataFrame, most: int = 45) -> DataFrame:
     platform = F.lit(False)
     for _, pattern in PLATFORMS:
         platform = platform | F.col("href").rlike(pattern)
-    links = anchors(pages).where(
-        (same_site(F.col("url"), F.col("href")) | platform) & path(F.col("href")).rlike(JOB_PATH) & ~path(F.col("href")).rlike(NOT_JOB_PATH)
-        & F.col("href").rlike("^https?://")
-    )
+    # The cheap test of the path leaves few links, of which each is read once for its site.
+    likely = anchors(pages).where(F.col("href").rlike("^https?://") & path(F.col("href")).rlike(JOB_PATH))
+    links = likely.where(same_site(F.col("url"), F.col("href")) | platform)
     first = links.groupBy("url", "href").agg(F.min("pos").alias("pos"))
     # A page's links are bounded by the page, and so is the array.
     kept = first.groupBy("url").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "href"))), F.lit(1), F.lit(most)).alias("links"))

@@ -14,13 +14,14 @@ def merge_scan(board: DataFrame, scan: DataFrame, scanned: DataFrame, now: Colum
 
     board: those columns; scan: id, company of what was seen now; scanned: company of the
     employers that answered. What was not seen closes only if its employer was scanned; what
-    is seen again opens. The employer test is an aggregate joined to the board, so a large
-    employer's rows are split by adaptive execution like any equi-join.
+    is seen again opens. The employer test is an aggregate joined to the stored rows, before new
+    ones without an employer of their own come in: a large employer's rows are split by adaptive
+    execution like any equi-join, and no null key gathers.
     """
     old = board.select("id", *[F.col(c).alias(f"_{c}") for c in ("company", "first_seen", "last_seen", "closed", "closed_at", "is_new")])
     seen = scan.select("id", "company").dropDuplicates(["id"]).withColumn("_seen", F.lit(True))
     answered = scanned.select(F.col("company").alias("_company")).distinct().withColumn("_answered", F.lit(True))
-    both = old.join(seen, "id", "full_outer").join(answered, "_company", "left")
+    both = old.join(answered, "_company", "left").join(seen, "id", "full_outer")
     is_seen, known = F.coalesce("_seen", F.lit(False)), F.col("_first_seen").isNotNull()
     was_closed = F.coalesce("_closed", F.lit(False))
     closes = ~is_seen & ~was_closed & F.coalesce("_answered", F.lit(False))
@@ -64,15 +65,27 @@ def slot_of(now: Column) -> Column:
     return F.floor(F.unix_seconds(now) / SLOT_SECONDS).cast("long")
 
 
+def with_rank(df: DataFrame, by: str, pieces: int = 200) -> DataFrame:
+    """df with _rank, the place of each row (from 0) in the order of a unique long column, without one task sorting it all.
+
+    Rows are cut into pieces at quantiles; a piece's rows are ranked among themselves, after all rows of the pieces before.
+    """
+    cuts = df.agg(F.percentile_approx(by, [i / pieces for i in range(1, pieces)], 10_000).alias("_cuts"))  # one row
+    cut = df.join(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < F.col(by)))).drop("_cuts")
+    sizes = cut.groupBy("_piece").agg(F.count(F.lit(1)).alias("n"))  # at most `pieces` rows, so one task may hold them
+    before = sizes.select("_piece", (F.sum("n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_piece").orderBy(by)) - 1
+    return cut.join(F.broadcast(before), "_piece").withColumn("_rank", F.col("_before") + own).drop("_piece", "_before")
+
+
 def pick_shard(companies: DataFrame, slot: int, shards: int = SHARDS) -> DataFrame:
     """Priority employers, and of the rest those whose rank by ordinal falls into the slot's shard.
 
-    companies: the employer list (an ordered dimension of thousands of rows), with priority
-    and ordinal. Its ranks need one order over all of it.
+    companies: the employer list, with priority and a unique ordinal.
     """
     rest = companies.where(~F.coalesce("priority", F.lit(False)))
-    ranked = rest.withColumn("_rank", F.row_number().over(Window.orderBy("ordinal")) - 1)
-    return companies.where(F.coalesce("priority", F.lit(False))).unionByName(ranked.where(F.col("_rank") % shards == slot % shards).drop("_rank"))
+    ranked = with_rank(rest, "ordinal").where(F.col("_rank") % shards == slot % shards)
+    return companies.where(F.coalesce("priority", F.lit(False))).unionByName(ranked.drop("_rank"))
 
 
 def growth_cap(candidates: DataFrame, tracked: DataFrame, cap: int) -> DataFrame:

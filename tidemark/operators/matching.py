@@ -8,9 +8,28 @@ from pyspark.sql import functions as F
 from tidemark.functions.url import vacancy_of
 
 
-def company_lookup(postings: DataFrame, companies: DataFrame) -> DataFrame:
-    """postings left-joined to their employer by name; of equal names the last ordinal stands."""
+def company_order(companies: DataFrame) -> DataFrame:
+    """Employers in their table's order: best fit first, then most permits, then by name."""
+    return companies.orderBy(F.col("fit_rank").desc_nulls_last(), F.col("permits").desc_nulls_last(), "name")
+
+
+def top_permits(companies: DataFrame, top: int = 12) -> DataFrame:
+    """name and permits of the employers with the most."""
+    return companies.where(F.col("permits") > 0).select("name", "permits").orderBy(F.col("permits").desc(), "name").limit(top)
+
+
+def without_names(companies: DataFrame, names: DataFrame) -> DataFrame:
+    """The employers that a list (name) does not ask to delete, whatever its case and outer blanks."""
+    gone = names.select(F.lower(F.trim("name")).alias("_gone")).distinct()
+    return companies.join(gone, F.lower(F.trim("name")) == F.col("_gone"), "left_anti")
+
+
+def company_lookup(postings: DataFrame, companies: DataFrame, any_case: bool = False) -> DataFrame:
+    """postings left-joined to their employer by name, in any case if asked; of equal names the last ordinal stands."""
     own = [c for c in companies.columns if c not in ("name", "ordinal")]
+    if any_case:
+        last = companies.groupBy(F.lower("name").alias("_low")).agg(F.max_by(F.struct(*own), "ordinal").alias("_row")).select("_low", "_row.*")
+        return postings.withColumn("_low", F.lower("company")).join(last, "_low", "left").drop("_low")
     last = companies.groupBy("name").agg(F.max_by(F.struct(*own), "ordinal").alias("_row")).select(F.col("name").alias("company"), "_row.*")
     return postings.join(last, "company", "left")
 
@@ -26,44 +45,52 @@ def grams(key: Column) -> Column:
     )
 
 
+def _rarest(named: DataFrame, runs: DataFrame, key: str) -> DataFrame:
+    """For each key the run of named (key, g) that the fewest of runs (g) hold; a key of which some run is in none goes."""
+    held = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    counted = named.join(held, "g", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("least"))
+    return counted.where(F.col("least.n") > 0).select(key, F.col("least.g").alias("g"))
+
+
 def fuzzy_permits(companies: DataFrame, register: DataFrame) -> DataFrame:
     """companies with permits and matched, the register key they were matched to.
 
     companies: name, key; register: key, permits, ordinal. Equal keys match first; else,
     for keys of at least six characters, the first register row whose key holds or lies in
-    the employer's. Containment of a key of six characters or more means a shared run of
-    six, so those meet by an equi-join on runs; register keys under six are few and short
-    (their count is bounded by the alphabet), and meet the employer's runs of their length.
+    the employer's. All runs of the shorter key stand in the longer, so its rarest run finds
+    every match by an equi-join: common runs are met by the keys that have none rarer only.
+    Register keys under six characters are few and short (their count is bounded by the
+    alphabet), and meet the employer's runs of their length.
     """
     named = companies.select("name", "key")
     listed = register.groupBy("key").agg(F.min("ordinal").alias("ordinal"), F.sum(F.greatest("permits", F.lit(1))).cast("long").alias("permits")).where(F.col("key") != "")
     equal = named.join(listed, "key").select("name", "key", "permits", F.col("key").alias("matched"))
     open_ = named.join(listed, "key", "left_anti").where(F.length("key") >= GRAM)
-    long_ = listed.where(F.length("key") >= GRAM).withColumnRenamed("key", "r")
-    by_gram = open_.select("name", "key", F.explode(grams(F.col("key"))).alias("g")).join(
-        long_.select("r", "permits", "ordinal", F.explode(grams(F.col("r"))).alias("g")), "g"
-    ).where(F.contains("key", "r") | F.contains("r", "key"))
-    found = by_gram.select("name", "key", "r", "permits", "ordinal")
+    keys = open_.select("key").distinct()
+    long_ = listed.where(F.length("key") >= GRAM).select(F.col("key").alias("r"))
+    of_keys, of_rows = keys.select("key", F.explode(grams(F.col("key"))).alias("g")), long_.select("r", F.explode(grams(F.col("r"))).alias("g"))
+    within = _rarest(of_rows, of_keys, "r").join(of_keys, "g").where(F.contains("key", "r"))
+    around = _rarest(of_keys, of_rows, "key").join(of_rows, "g").where(F.contains("r", "key"))
+    found = within.select("key", "r").unionByName(around.select("key", "r"))
     for n in range(1, GRAM):
-        short = listed.where(F.length("key") == n).withColumnRenamed("key", "r")
+        short = listed.where(F.length("key") == n).select(F.col("key").alias("r"))
         runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring("key", i, F.lit(n))))  # noqa: B023
-        found = found.unionByName(open_.select("name", "key", F.explode(runs).alias("r")).join(short, "r").select("name", "key", "r", "permits", "ordinal"))
-    first = found.groupBy("name", "key").agg(F.min_by(F.struct("permits", "r"), "ordinal").alias("m"))
-    matched = equal.unionByName(first.select("name", "key", F.col("m.permits").alias("permits"), F.col("m.r").alias("matched")))
-    return matched
+        found = found.unionByName(keys.select("key", F.explode(runs).alias("r")).join(short, "r").select("key", "r"))
+    ranked = found.join(listed.withColumnRenamed("key", "r"), "r")
+    first = ranked.groupBy("key").agg(F.min_by(F.struct("permits", "r"), "ordinal").alias("m"))
+    return equal.unionByName(open_.join(first, "key").select("name", "key", F.col("m.permits").alias("permits"), F.col("m.r").alias("matched")))
 
 
 def already_tracked(candidates: DataFrame, tracked: DataFrame) -> DataFrame:
     """name and the first tracked name whose words hold all of the candidate's, and at most twice as many.
 
-    candidates: name, words; tracked: name, words, ordinal. All of a candidate's words occur
-    in a match, so one of them, the longest, finds every match by an equi-join.
+    candidates: name, words; tracked: name, words, ordinal. All of a candidate's words occur in a match,
+    so the one that the fewest tracked names hold finds every match by an equi-join.
     """
-    asked = candidates.where(F.size("words") > 0).select(
-        "name", "words", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word")
-    )
-    held = tracked.select(F.col("name").alias("tracked"), F.col("words").alias("have"), "ordinal", F.explode("words").alias("word"))
-    pairs = asked.join(held, "word").where((F.size(F.array_except("words", "have")) == 0) & (F.size("words") * 2 >= F.size("have")))
+    held = tracked.select(F.col("name").alias("tracked"), F.col("words").alias("have"), "ordinal", F.explode("words").alias("g"))
+    asked = candidates.where(F.size("words") > 0).select("name", "words", F.struct("name", "words").alias("c"))
+    rare = _rarest(asked.select("c", F.explode("words").alias("g")), held, "c").select("c.name", "c.words", "g")
+    pairs = rare.join(held, "g").where((F.size(F.array_except("words", "have")) == 0) & (F.size("words") * 2 >= F.size("have")))
     return pairs.groupBy("name").agg(F.min_by("tracked", "ordinal").alias("tracked"))
 
 

@@ -11,7 +11,7 @@ from tidemark.config import CRITICAL_SALARY, GENERAL_SALARY, OCCUPATION_FLOOR
 from tidemark.functions.text import salary_eur, text
 from tidemark.operators.gates import GRADUATE_TITLE, SENIOR_TITLE
 
-REFUSES = r"(?i)(unable|not able|cannot|can't|do(es)? not|will not|won't) (to )?(offer|provide|support|sponsor)\b.{0,40}(visa|permit|sponsorship)|no (visa )?sponsorship|must (already )?have (the )?(legal )?right to work"
+REFUSES = r"(?i)\b(not|un)( be)?( able|able)? to (offer|provide|sponsor|support)\b[^.•]{0,60}(visa|permit|sponsor)|\b(can|do|does|will|would)( ?not|n['’]t)\b[^.•]{0,30}\bsponsor|\b(no|without) (visa |permit )?sponsorship\b"
 OFFERS = r"(?i)(visa|permit) sponsorship (is )?(available|offered|provided)|(will|can|happy to) (sponsor|support) .{0,30}(visa|permit)|employment permit (support|assistance)"
 
 
@@ -75,7 +75,13 @@ NOT_OFFICE = r"(?i)\b(driver|chef|nurse|warehouse|retail|cleaner|technician|engi
 STUDENT_TITLE = r"(?i)\b(intern(ship)?|placement|student|co-?op|work experience)\b"
 OPEN_TO_GRADUATES = r"(?i)\b(recent )?graduates? (are )?(welcome|may apply|can apply)|open to (recent )?graduates|recent graduates?\b"
 NOT_A_JOB = r"(?i)^(early careers?|graduates?|internships?|students?|careers?|apprenticeships?)( (at|in) .*)?$|\b(careers? fair|open (evening|day)|webinar|insight event)\b"
-TITLE_LANGUAGE = r"(?i)\b(french|german|spanish|italian|dutch|portuguese|polish|swedish|danish|norwegian|finnish|czech|slovak|hungarian|romanian|greek|turkish|arabic|mandarin|japanese|korean|russian|nordic)\b"
+#: Languages of a market or a speaker that a posting may name.
+LANGUAGES = (
+    "(arabic|bulgarian|cantonese|catalan|chinese|croatian|czech|danish|dutch|estonian|farsi|finnish|flemish|french|german|greek|hebrew|hungarian|icelandic|"
+    "irish|italian|japanese|korean|latvian|lithuanian|mandarin|norwegian|persian|polish|portuguese|romanian|russian|serbian|slovak|slovenian|spanish|swedish|"
+    "thai|turkish|ukrainian|urdu|vietnamese)"
+)
+TITLE_LANGUAGE = r"(?i)\b" + LANGUAGES.replace("irish|", "") + r"\b|\b(nordics?|scandinavian)\b"
 MAX_OFFICE_YEARS = 1
 
 

@@ -96,7 +96,8 @@ SQUASHED = f"trim(regexp_replace(lower({TITLE}), '[^a-z0-9]+', ' ', 'g'))"
 def best_per_key(spark, sf_dir):
     """Of equal employer, title and place the longest posting, then the first."""
     scored = tables.postings(spark, sf_dir).withColumn("score", F.col("n_chars"))
-    best = dedupe.best_posting(scored).select("doc_id", dedupe.dedupe_key().alias("k"))
+    keyed = scored.withColumn("k", dedupe.dedupe_key())
+    best = dedupe.best_posting(keyed, keep=("doc_id", "k"))
     return best.select(F.col("k.company").alias("company"), F.col("k.title").alias("title_key"), F.col("k.place").alias("place"), "doc_id")
 
 
@@ -387,7 +388,7 @@ def events_sessions(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.min("ts").alias("began"), F.count(F.lit(1)).alias("n")).select("user_id", "began", "n")
 
 
-@query()
+@query("SELECT user_id || '|' || event_type AS id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")
 def stream_lifecycle(spark, sf_dir):
     """First and last seen of every posting, kept by a stream over the events."""
     from tidemark.streaming.lifecycle import run_over

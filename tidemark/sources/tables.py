@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def json_or(spark: SparkSession, path: str, schema: str, default: list[tuple] = ()) -> DataFrame:
+    """A JSON table; the default rows where the file is missing, or where nothing in it can be read.
+
+    Broken records of a table that can be read otherwise are left out.
+    """
+    try:
+        rows = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").option("multiLine", True).json(path)
+        good = rows.where(F.col("_broken").isNull()).drop("_broken")
+        if not good.isEmpty():
+            return good
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    return spark.createDataFrame(list(default), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that costs far more than moving its rows.
 
@@ -25,7 +42,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
     return docs.select(
         "doc_id", F.col("doc_id").alias("ordinal"), F.col("n_chars"),
-        F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("company"),
+        F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"), F.col("source").alias("company"),
         F.col("lang").alias("location"), F.concat(F.lit("https://"), "source", F.lit(".example/jobs/"), number).alias("url"),
         F.coalesce("text", F.lit("")).alias("description"), F.lit("").alias("department"), F.lit("").alias("employment_type"),
         F.lit(False).alias("researched"), F.lit(None).cast("int").alias("permits"), F.lit(None).cast("string").alias("sponsor_confidence"),

@@ -1,8 +1,11 @@
 """The board's life cycle as a stream: state of each posting over files of scans.
 
-Each run takes what has arrived (availableNow) and updates first and last seen by
-partial aggregation, which the engine keeps as state; merging into the stored board,
-closing what a scanned employer no longer shows, is a batch step for each micro-batch.
+Each run takes what has arrived (availableNow). The state is a table of versions: a
+micro-batch is aggregated, merged into the version that it began from, rid of what has not
+been seen for so many days, and written as the next version. No version is overwritten once
+it is whole, so a batch that fails and is tried again finds the state it began from, and
+state does not grow without bound. Merging into the stored board, closing what a scanned
+employer no longer shows, works the same way.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.config import MAX_AGE_DAYS
 from tidemark.operators.lifecycle import merge_scan
 
 
@@ -31,19 +35,30 @@ def seen_state(events: DataFrame) -> DataFrame:
     return keyed.groupBy("id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"))
 
 
-def run_over(spark: SparkSession, path: str) -> DataFrame:
+def merge_seen(state: DataFrame, batch: DataFrame, max_days: int = MAX_AGE_DAYS) -> DataFrame:
+    """state after a batch of the same columns, without what was last seen more than max_days before the latest."""
+    both = state.unionByName(batch).groupBy("id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
+    latest = F.broadcast(batch.agg(F.max("last_seen").alias("_latest")))  # one row
+    fresh = F.coalesce(F.col("last_seen") >= F.col("_latest") - F.make_dt_interval(F.lit(max_days)), F.lit(True))
+    return both.join(latest).where(fresh).drop("_latest")
+
+
+def run_over(spark: SparkSession, path: str, max_days: int = MAX_AGE_DAYS) -> DataFrame:
     """The state after a stream has read every file of a path."""
     schema = spark.read.parquet(path).schema
     out, checkpoint = scratch(spark, "seen"), scratch(spark, "seen-state")
     # A file source reads folders: a single file is given by a glob.
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path + "*")
+    last = [-1]
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        seen = seen_state(batch)
+        state = batch.sparkSession.read.schema(seen.schema).parquet(f"{out}/v{number - 1}") if number else seen.limit(0)
+        merge_seen(state, seen, max_days).write.mode("overwrite").parquet(f"{out}/v{number}")
+        last[0] = number
 
-    query = seen_state(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start().awaitTermination()
+    return spark.read.parquet(f"{out}/v{last[0]}") if last[0] >= 0 else seen_state(spark.read.parquet(path)).limit(0)
 
 
 def merge_stream(scans: DataFrame, board_path: str, checkpoint: str):

@@ -54,8 +54,9 @@ def test_lines_equal_brute_force(spark):
         r.shuffle(lines)
         rows.append((d, "\n".join(lines), f"s{r.randrange(14)}"))
     rows += [(500, None, "s1"), (501, "", "s2"), (502, "shared line 1", None), (None, "shared line 2\nx", "s3")]
-    got = {x["doc_id"]: x["text"] for x in line_spread.remove_boilerplate(documents(spark, rows)).collect()}
-    assert got == brute_lines(rows, line_spread.MIN_SITES)
+    for places in (line_spread.PLACES, 7):  # the second deals each line over several tasks
+        got = {x["doc_id"]: x["text"] for x in line_spread.remove_boilerplate(documents(spark, rows), places=places).collect()}
+        assert got == brute_lines(rows, line_spread.MIN_SITES)
 
 
 def test_lines_exactly_at_the_threshold(spark):
@@ -339,6 +340,12 @@ def test_packing_whole(spark):
     assert packing.pack_documents(documents(spark, []), PATH).count() == 0
 
 
+def test_packing_with_clashing_columns_and_repeats(spark):
+    docs = documents(spark, [(1, "a b", "s"), (1, "a b", "s"), (2, None, "s")]).withColumns({c: F.lit("x") for c in ("piece", "bin", "length", "batch", "fill", "offset")})
+    rows = packing.pack_documents(docs, PATH).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == [(1, 3), (1, 3), (2, 1)] and len({r["sequence_id"] for r in rows}) == 1
+
+
 class _Session:
     """What scratch_dir asks of a session."""
 

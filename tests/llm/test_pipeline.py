@@ -37,7 +37,9 @@ def test_stages(spark, sf_dir, tmp_path):
 
 
 def test_run(spark, sf_dir):
+    before = common.scratch_mark()
     out = corpus_pipeline.run(spark, sf_dir)
+    assert common.scratch_mark() == before + 1  # of the scratch tables the result's alone is left
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
 
 
@@ -76,3 +78,21 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     simhash = naive_components({d: naive_print(t or "") for d, t in rows})
     assert got == set(group.values()) and len(got) < len(set(simhash.values()))
+
+
+def test_stages_take_hard_rows(spark, sf_dir):
+    """Nulls in any column, repeated rows, a very long text, clashing names; then no rows at all."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one good line of text\nand another", "en", "s", 30), (1, "one good line of text\nand another", "en", "s", 30), (None, None, None, None, None), (2, None, "en", None, 0), (3, "", None, "t", 0)]
+    rows += [(4, "long words here " * 20_000, "en", "s", 320_000), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("th", "fp", "node", "score", "item", "label", "stays", "u")})
+    for some in (docs, docs.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, some, sf_dir)
+            assert out.columns == list(common.DOCUMENT_COLUMNS)
+            if k in (0, 3):  # these judge each row alike
+                assert out.count() <= some.count()
+        assert (corpus_pipeline.pack(spark, some, sf_dir).count() > 0) == (some is docs)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
+    assert kept == [(False, 1), (False, 2), (False, 4), (True, 0)]

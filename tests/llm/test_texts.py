@@ -342,6 +342,14 @@ def test_base_phrases_equal_brute_force(spark, sf_dir):
         assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
 
 
+def test_licences_of_hard_tables(spark):
+    long_ = "word " * 300_000 + "licensed under the apache license, version 2.0 " + "word " * 300_000
+    docs = spark.createDataFrame([(1, long_), (1, long_), (None, None), (2, "")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("r", "labels", "score", "n_words")})
+    rows = license_rules.scan(docs).collect()
+    assert [r["labels"] for r in rows if r["doc_id"] == 1] == ["apache,apache-2.0,unspecified"] * 2 and [r["n_words"] for r in rows if r["doc_id"] != 1] == [0, 0]
+    assert license_rules.scan(docs.limit(0)).count() == 0
+
+
 # --- chats ------------------------------------------------------------------
 
 

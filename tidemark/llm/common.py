@@ -43,12 +43,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables that this driver has written; results that are not written yet must not need them."""
+def scratch_mark() -> int:
+    """How many scratch tables this driver has written so far."""
+    return len(_written)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the scratch tables that this driver has written since a mark, but for the last if asked.
+
+    Results that are not written yet must not need them.
+    """
+    paths = _written[since:]
+    kept = [paths.pop()] if keep_last and paths else []
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
+    _written[since:] = kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,8 +25,8 @@ from tidemark.llm import common
 
 #: Sites that make a line boilerplate, and the sketch's log2 of buckets.
 MIN_SITES, LG_K = 10, 10
-#: Tasks among which the places of one line are dealt.
-SALTS = 8
+#: Places of one line that a task takes; a line on more is dealt over as many tasks as that needs.
+PLACES = 50_000
 TRIMMED = " \t\r"
 
 
@@ -46,15 +46,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate_places(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def boilerplate_places(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, places: int = PLACES) -> DataFrame:
     """d, th (document key) and drop, the sorted line numbers that go from it."""
     lines = _lines(docs)
     error = 3 * 1.04 / 2 ** (lg_k / 2)
     spread = F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k))
-    sketched = lines.groupBy("k1", "k2").agg(spread.alias("sites"))
+    sketched = lines.groupBy("k1", "k2").agg(spread.alias("sites"), F.count(F.lit(1)).alias("places"))
     near = common.materialize(
         sketched.where(F.col("sites") >= F.floor(F.lit(min_sites * (1 - error)))).select(
-            "k1", "k2", (F.col("sites") > F.ceil(F.lit(min_sites * (1 + error)))).alias("sure")
+            "k1", "k2", (F.col("sites") > F.ceil(F.lit(min_sites * (1 + error)))).alias("sure"), F.ceil(F.col("places") / places).alias("salts")
         ),
         "lines-near",
     )
@@ -65,15 +65,16 @@ def boilerplate_places(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
         .agg(
             F.count_distinct(F.when(~F.col("sure"), F.col("site"))).alias("exact"),
             F.bool_or("sure").alias("sure"),
+            F.max("salts").alias("salts"),
             F.min(place).alias("first"),
         )
         .where(F.col("sure") | (F.col("exact") >= min_sites))
-        .select("k1", "k2", F.col("first.d").alias("d1"), F.col("first.pos").alias("pos1"), F.col("first.th").alias("th1"))
+        .select("k1", "k2", "salts", F.col("first.d").alias("d1"), F.col("first.pos").alias("pos1"), F.col("first.th").alias("th1"))
     )
     stays = F.col("d").eqNullSafe(F.col("d1")) & (F.col("pos") == F.col("pos1")) & (F.col("th") == F.col("th1"))
-    # A line may stand in a third of all documents: its places are dealt over SALTS tasks, and its decision to each.
-    dealt = hits.withColumn("salt", F.pmod(F.xxhash64("th", "pos"), F.lit(SALTS)))
-    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # A line may stand in a third of all documents: its places are dealt over as many tasks as they need, and its decision to each.
+    dealt = hits.withColumn("salt", F.pmod(F.xxhash64("th", "pos"), F.col("salts"))).drop("salts")
+    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     return dealt.join(decided, ["k1", "k2", "salt"]).where(~stays).groupBy("d", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
@@ -83,13 +84,13 @@ def _marks(drop: Column) -> Column:
     return F.array_join(F.transform(drop, lambda p, i: F.concat(F.repeat(F.lit("0"), gap(p, i)), F.lit("1"))), "").cast("binary")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, places: int = PLACES) -> DataFrame:
     """docs with text cleaned, plus n_lines and n_removed (long)."""
     own = docs.columns
-    places = common.materialize(boilerplate_places(docs, min_sites, lg_k), "lines-drop")
+    dropped = common.materialize(boilerplate_places(docs, min_sites, lg_k, places), "lines-drop")
     # The marks are made below the join, so the filter's lambda above it reads a column and computes nothing again.
-    places = common.private(places.select("d", "th", _marks(F.col("drop")).alias("marks"), F.size("drop").alias("gone")))
-    joined = docs.join(places, common.same_document("_tidemark_d", "_tidemark_th"), "left")
+    dropped = common.private(dropped.select("d", "th", _marks(F.col("drop")).alias("marks"), F.size("drop").alias("gone")))
+    joined = docs.join(dropped, common.same_document("_tidemark_d", "_tidemark_th"), "left")
     stays = lambda x, i: F.coalesce(F.substring("_tidemark_marks", i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))
     cleaned = F.when(F.col("_tidemark_gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), stays), "\n")

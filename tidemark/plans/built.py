@@ -481,3 +481,4 @@ def ranks(spark, sf_dir):
     """The place of each row in one order, found without one task sorting them all."""
     rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("long").alias("ordinal"))
     return lifecycle.with_rank(rows, "ordinal", pieces=7).select("s_suppkey", F.col("_rank").cast("long").alias("rank"))
+

@@ -126,8 +126,8 @@ def _prints(docs: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 512):  # long texts have long prefixes
-                part = frame.iloc[at : at + 512]
+            for at in range(0, len(frame), 256):  # long texts have long prefixes
+                part = frame.iloc[at : at + 256]
                 sets = [shingles_of(t) for t in part["text"]]
                 yield pd.DataFrame(
                     {
@@ -144,7 +144,8 @@ def _prints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInPandas(
         read, "doc_id long, th long, fp long, node long, n int, sketch array<long>, keys array<long>"
     )
-    return common.materialize(rows, "near-prints")
+    with common.small_batches(docs.sparkSession):
+        return common.materialize(rows, "near-prints")
 
 
 def _meetings(prints: DataFrame) -> DataFrame:
@@ -189,7 +190,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) ->
     texts = common.sieve(docs.select("doc_id", "text", F.xxhash64("text").alias("_tidemark_h")), "_tidemark_h", asked.select("th")).drop("_tidemark_h")
     texts = texts.join(common.private(asked), common.same_document("_tidemark_doc_id", "_tidemark_th"))
     sets = texts.groupBy(F.col("_tidemark_node").alias("node")).agg(F.min("text").alias("text")).select("node", shingles("text").alias("set"))
-    sets = common.materialize(sets, f"near-sets-{turn}")
+    with common.small_batches(docs.sparkSession):
+        sets = common.materialize(sets, f"near-sets-{turn}")
     left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return common.materialize(

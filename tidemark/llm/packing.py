@@ -36,7 +36,7 @@ BATCH = 32_768
 #: A bin this full or fuller is not opened again in the second round.
 CLOSED = CAPACITY - 4
 #: Distinct words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
@@ -338,9 +338,8 @@ def _repack(frame: pd.DataFrame) -> pd.DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    first = common.materialize(
-        docs.select("doc_id", "text").mapInPandas(_tokenise_and_pack(tokenizer_path), PIECE_SCHEMA), "packed"
-    )
+    with common.small_batches(docs.sparkSession):
+        first = common.materialize(docs.select("doc_id", "text").mapInPandas(_tokenise_and_pack(tokenizer_path), PIECE_SCHEMA), "packed")
     done, rest = first.where(F.col("fill") >= CLOSED), first.where(F.col("fill") < CLOSED)
     batches = max(1, -(-rest.count() // BATCH))
     # Batches are dealt by bin, not by row, so they stay near their bound whatever the keys are.

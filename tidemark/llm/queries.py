@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, flac, html_layout, license_rules, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
+from tidemark.llm import bpe_prefix, chat_format, cross_align, flac, html_layout, license_rules, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
 from tidemark.llm.common import table
 
 
@@ -71,11 +71,28 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.score(docs, zstd_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = cross_align.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return cross_align.with_counts(aligned.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = table(spark, sf_dir, "documents").select("doc_id", bpe_prefix.encode_column(F.col("text"), path).alias("ids"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe_prefix.decode_column(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_line_spread, op3_flac, op4_html_layout, op5_license_rules,
         op6_packing, op7_simhash, op8_chat_format, op9_spaced_seed, op10_zstd_quality,
+        op12_alignment, op13_prefix_bpe,
     )
 }
 ORACLES = {"op2_line_spread": line_spread.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

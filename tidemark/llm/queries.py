@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe_prefix, chat_format, cross_align, flac, html_layout, license_rules, line_spread, packing, simhash_bk, spaced_seed, toxicity, zstd_quality
+from tidemark.llm import bpe_prefix, chat_format, cross_align, flac, html_layout, license_rules, line_spread, packing, simhash_bk, spaced_seed, spelling_variants, toxicity, zstd_quality
 from tidemark.llm.common import table
 
 
@@ -71,6 +71,10 @@ def op10_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zstd_quality.score(docs, zstd_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     aligned = cross_align.align(table(spark, sf_dir, "documents"), *paths)
@@ -92,7 +96,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_line_spread, op3_flac, op4_html_layout, op5_license_rules,
         op6_packing, op7_simhash, op8_chat_format, op9_spaced_seed, op10_zstd_quality,
-        op12_alignment, op13_prefix_bpe,
+        op11_spelling, op12_alignment, op13_prefix_bpe,
     )
 }
 ORACLES = {"op2_line_spread": line_spread.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

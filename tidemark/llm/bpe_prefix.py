@@ -28,6 +28,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words and pairs that a worker remembers, and the longest word that it does.
-REMEMBERED, PAIRS, LONGEST = 350_000, 1_000_000, 64
+REMEMBERED, PAIRS, LONGEST = 600_000, 1_000_000, 64
 
 #: Non-ASCII characters that normalise and lower one by one, and split as their own words do.
 _PLAIN = re.compile(r"[\t\n\r -~¡-įı-ſ‐-‧‰-⁞€]*")
@@ -59,14 +60,14 @@ class Merges:
     """Merge rules as times: what each token is made of, and whether two tokens can stand side by side."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}
         for rank, (a, b) in enumerate(merges):
             whole, left, right = vocab.get(a + b), vocab[a], vocab[b]
             if whole is None or whole in self.made:
                 raise ValueError("every merge must make one token of its own")
-            self.rank[left, right] = self.made[whole] = rank
+            self.rank[left << 32 | right] = self.made[whole] = rank
             self.halves[whole] = left, right
         if any(self.made.get(part, -1) >= self.made[whole] for whole, parts in self.halves.items() for part in parts):
             raise ValueError("a merge must come after those that make its parts")
@@ -90,10 +91,11 @@ class Merges:
 
     def crossed(self, left: int, right: int, before: int) -> bool:
         """Whether a merge across the border of two tokens comes first, among the ranks below `before`."""
-        rank = self.rank
+        rank, beside = self.rank, self._spine(right, 0)
         for a, a_taken in self._spine(left, 1):
-            for b, b_taken in self._spine(right, 0):
-                at = rank.get((a, b))
+            a <<= 32
+            for b, b_taken in beside:
+                at = rank.get(a | b)
                 # Of two merges of one rank the left one is first: the border's against the right token's, not against the left's.
                 if at is not None and at < before and at < a_taken and at <= b_taken:
                     return True
@@ -109,11 +111,52 @@ class Merges:
         return halves is None or (self.reachable(halves[0]) and self.reachable(halves[1]) and not self.crossed(*halves, self.made[token]))
 
 
+class Suffixes:
+    """An automaton that knows, after each letter read, the tokens that the letters read so far end with."""
+
+    def __init__(self, tokens: dict[str, int]):
+        self.edges: list[dict[str, int]] = [{}]
+        #: Of each state: (token, letters of it), the longest first.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.back = [0]  # the state of the longest other suffix that some token begins with
+        own: dict[int, tuple[int, int]] = {}
+        for name, token in tokens.items():
+            state = 0
+            for letter in name:
+                to = self.edges[state].get(letter)
+                if to is None:
+                    to = self.edges[state][letter] = len(self.edges)
+                    self.edges.append({})
+                    self.ends.append(())
+                    self.back.append(0)
+                state = to
+            own[state] = token, len(name)
+        level = [(0, letter, to) for letter, to in self.edges[0].items()]
+        while level:
+            below = []
+            for state, letter, to in level:
+                below += [(to, x, y) for x, y in self.edges[to].items()]
+                back = self.back[state]
+                while back and letter not in self.edges[back]:
+                    back = self.back[back]
+                other = self.edges[back].get(letter, 0)
+                self.back[to] = other if other != to else 0
+                self.ends[to] = ((own[to],) if to in own else ()) + self.ends[self.back[to]]
+            level = below
+
+    def step(self, state: int, letter: str) -> int:
+        """Where a letter leads from a state without an edge for it, which is added."""
+        back = state
+        while back and letter not in self.edges[back]:
+            back = self.back[back]
+        to = self.edges[state][letter] = self.edges[back].get(letter, 0)
+        return to
+
+
 class PrefixBpe:
     """A tokenizer file of kind BPE with word ends."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)  # its normaliser and splitter only
@@ -125,7 +168,9 @@ class PrefixBpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = Merges(self.vocab, merges)
         self.control = {t["content"]: t["id"] for t in rules["added_tokens"]}
-        self.control_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.control, key=len, reverse=True))) + ")") if self.control else None
+        control = sorted(self.control, key=len, reverse=True)
+        self.control_pattern = re.compile("(" + ("|".join(map(re.escape, control)) or r"(?!)") + ")")
+        self.mark = commonprefix(control)  # what a text holds at least, to hold one of them
         self.names = [""] * (1 + max([*self.vocab.values(), *self.control.values()]))
         for name, i in (self.vocab | self.control).items():
             self.names[i] = name
@@ -137,47 +182,50 @@ class PrefixBpe:
         import regex
 
         self.parts = regex.compile(split["pattern"]["Regex"]).findall
-        self.automaton = ahocorasick.Automaton()
+        tokens = {}
         for name, i in self.vocab.items():
+            if self.suffix and name.endswith(self.suffix):
+                bare = name[: -len(self.suffix)]
+                if not bare:
+                    continue
+                name = bare[:-1] + self.last_letter[bare[-1]]
             if self.merges.reachable(i):
-                key = name
-                if self.suffix and name.endswith(self.suffix):
-                    bare = name[: -len(self.suffix)]
-                    if not bare:
-                        continue
-                    key = bare[:-1] + self.last_letter[bare[-1]]
-                self.automaton.add_word(key, (i, len(key)))
-        self.automaton.make_automaton()
-        self.known: dict[str, tuple[int, bytes]] = {}
+                tokens[name] = i
+        self.suffixes = Suffixes(tokens)
+        self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
     def part_ids(self, letters: str) -> bytes:
         """Ids, as 32-bit numbers, of one part in byte letters."""
         if self.suffix:
             letters = letters[:-1] + self.last_letter[letters[-1]]
-        n, merges = len(letters), self.merges
-        known = merges.known
+        known, stands = self.merges.known, self.merges.stands
         if len(known) > PAIRS:
             known.clear()
-        token, begin = [-1] * n, [0] * n  # of every prefix: its last token, and where that begins
-        for end, (i, length) in self.automaton.iter(letters):
-            if token[end] < 0:
-                start = end + 1 - length
+        edges, ends, step = self.suffixes.edges, self.suffixes.ends, self.suffixes.step
+        token: list[int] = []  # of every prefix its last token,
+        begin: list[int] = []  # and where that begins
+        state = have = 0
+        for have, letter in enumerate(letters, 1):
+            to = edges[state].get(letter)
+            state = step(state, letter) if to is None else to
+            for i, length in ends[state]:
+                start = have - length
                 if start:
-                    left = token[start - 1]
-                    pair = left << 32 | i
-                    stands = known.get(pair)
-                    if stands is None:
-                        stands = known[pair] = merges.stands(left, i)
-                    if not stands:
+                    pair = token[start - 1] << 32 | i
+                    fits = known.get(pair)
+                    if fits is None:
+                        fits = known[pair] = stands(token[start - 1], i)
+                    if not fits:
                         continue
-                token[end], begin[end] = i, start
-        ids, at = [], n
-        while at:
-            ids.append(token[at - 1])
-            at = begin[at - 1]
-        ids.reverse()
-        return array("i", ids).tobytes()
+                token.append(i)
+                begin.append(start)
+                break
+        ids = []
+        while have:
+            ids.append(token[have - 1])
+            have = begin[have - 1]
+        return array("i", ids[::-1]).tobytes()
 
     def _part(self, letters: str) -> bytes:
         ids = self.known_parts.get(letters)
@@ -187,12 +235,17 @@ class PrefixBpe:
                 self.known_parts[letters] = ids
         return ids
 
+    def letters(self, part: str) -> str:
+        return part.encode().decode("latin-1").translate(self.byte_letter)
+
     def _word(self, word: str) -> bytes:
         """Ids of a word of a plain text."""
-        parts = [word] if word.isalpha() else self.parts(word)
-        if not word.isascii():
-            parts = [p.encode().decode("latin-1").translate(self.byte_letter) for p in parts]
-        ids = b"".join([self._part(p) for p in parts])
+        if word.isalpha():
+            ids = self.part_ids(word if word.isascii() else self.letters(word))
+        else:
+            parts = [word[:-1], word[-1]] if word[:-1].isalpha() else self.parts(word)
+            known = self.known
+            ids = b"".join([known.get(p) or self._word(p) if p.isalpha() else self._part(p if p.isascii() else self.letters(p)) for p in parts])
         if len(word) <= LONGEST:
             self.known[word] = ids
         return ids
@@ -210,7 +263,7 @@ class PrefixBpe:
             self.known.clear()
         if len(self.known_parts) > REMEMBERED:
             self.known_parts.clear()
-        if self.control_pattern and "<|" in text and self.control_pattern.search(text):
+        if self.mark in text and self.control_pattern.search(text):
             pieces = self.control_pattern.split(text)
             return b"".join([array("i", [self.control[p]]).tobytes() if k % 2 else self._segment(p) for k, p in enumerate(pieces)])
         if not is_plain(text):

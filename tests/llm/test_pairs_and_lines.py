@@ -263,8 +263,7 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    texts = ["", "Hello, world! it's 42", "a" * 500, "İstanbul ΑΣ ΣΑΣ", "x\x1cy\x85z w\xa0v", "é é", "<|endoftext|> <|startoftext|>", "日本語 テキスト", "don't-stop 'tis $$$&&&", "ﬁ ŉ ſ", "\x00\x01", "Ä ö ü ß €5 “q”", "  \n\t "]
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|> <|endoftext |>", "x<|startoftext|>y <|", "", "Hello, world! it's 42", "a" * 500, "İstanbul ΑΣ ΣΑΣ", "x\x1cy\x85z w\xa0v", "é é", "<|endoftext|> <|startoftext|>", "日本語 テキスト", "don't-stop 'tis $$$&&&", "ﬁ ŉ ſ", "\x00\x01", "Ä ö ü ß €5 “q”", "  \n\t "]
     texts += [" ".join(words(300, s)) for s in range(5)]
     mine = packing.WordTokenizer(PATH).ids(texts)
     for t, got in zip(texts, mine, strict=True):

@@ -21,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,8 @@ class WordTokenizer:
 
     Its rules never join characters across white space and lower-case them one by
     one, so a text's ids are those of its blank-separated words in order, and a word's
-    are those of the parts that the file's own pattern splits it into. Each part's ids
+    are those of the parts that the file's own pattern splits it into. Texts that hold a
+    control token, in just its letters, are the tokenizer's own matter. Each part's ids
     end with one that closes a word.
     """
 
@@ -57,9 +59,11 @@ class WordTokenizer:
         import regex
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)  # of control strings in a text it makes control ids
         rules = json.loads(self.whole.to_str())
+        control = sorted((t["content"] for t in rules["added_tokens"]), key=len, reverse=True)
+        self.control = re.compile("|".join(map(re.escape, control)) or r"(?!)").search
+        self.mark = commonprefix(control)  # what a text holds at least, to hold one of them
         split = next(r for r in rules["pre_tokenizer"]["pretokenizers"] if r["type"] == "Split")
         # For parts that are normal and split already: the same model behind a split at blanks.
         rules["normalizer"] = None
@@ -79,8 +83,11 @@ class WordTokenizer:
             ids = np.array(self.ready.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(some):  # a part that is not closed by one id: each is asked for alone
+                # A part that reads like a control token does so only since it was lowered: it is plain.
+                self.whole.encode_special_tokens = True
                 for part in some:
                     self.known_parts[part] = np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                self.whole.encode_special_tokens = False
                 continue
             data, low = ids.tobytes(), 0
             for part, high in zip(some, (ends * 4).tolist(), strict=True):
@@ -97,12 +104,16 @@ class WordTokenizer:
         for word, own in split.items():
             self.known[word] = known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own])
 
+    def forget(self) -> None:
+        """Gives back the memory of what it remembers: the worker process goes on to other stages."""
+        self.known, self.known_parts = {}, {}
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for memory in (self.known, self.known_parts):
             if len(memory) > REMEMBERED:
                 memory.clear()
-        plain = lambda t: t.replace("\n", " ").isprintable() if t.isascii() else _PLAIN.fullmatch(t)
+        plain = lambda t: (t.replace("\n", " ").isprintable() if t.isascii() else _PLAIN.fullmatch(t)) and not (self.mark in t and self.control(t))
         split = [t.lower().split() if plain(t) else None for t in texts]
         known = self.known
         new = {w for words in split if words for w in words if w not in known}
@@ -324,6 +335,7 @@ def _tokenise_and_pack(path: str):
                         rows.append((doc_id, piece, begin // 4, len(part) // 4, zlib.crc32(part)))
                 if len(rows) >= BATCH:
                     yield flush()
+        tokenizer(path).forget()
         if rows:
             yield flush()
 

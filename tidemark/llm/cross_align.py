@@ -98,47 +98,74 @@ class Words:
     def __init__(self, a: ByteLevel, b: Pieces):
         self.a, self.b = a, b
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.join_a, self.join_b = a.token_bytes, b.token_bytes
+        self.lengths = a.lengths(), b.lengths()
 
-    def _exact(self, text: str, a: list[int], b: list[int]) -> bool:
-        whole = b" " + text.encode()
-        of_a, of_b = self.join_a, self.join_b
-        return b"".join([of_a[i] for i in a]) == whole and b"".join([of_b[i] for i in b]) == whole
+    def _exact(self, whole: bytes, a: list[int], b: list[int]) -> bool:
+        of_a, of_b = self.a.token_bytes, self.b.token_bytes
+        return b"".join([of_a[i] for i in a]) == whole == b"".join([of_b[i] for i in b])
 
     def _learn(self, word: str) -> tuple[bytes, bytes] | None:
         """Ids of a word behind a blank, or of one that begins with a line feed as it is; None if its text must be read whole."""
-        found, bare = None, word[1:] if word[:1] == "\n" else word
-        if bare and not bare[0].isspace() and not bare[-1].isspace() and "▁" not in bare:
-            b = self.b.encode(word)
-            if bare is word:
-                a = self.a.encode(word)
-            else:  # the blank that both sides put before it is a token of its own there
-                a, b = self.a.raw(word), b[1:]
-            whole = (b" " if bare is word else b"") + word.encode()
-            if b"".join([self.join_a[i] for i in a]) == whole == b"".join([self.join_b[i] for i in b]):
-                found = array("i", a).tobytes(), array("i", b).tobytes()
-        if len(word) <= LONGEST:
-            self.known[word] = found
-        return found
-
-    def ids(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of both sides as 32-bit numbers; none if the text has no tokens."""
-        if not text:
-            return b"", b""
+        if not _cut(word):
+            return None
+        b = self.b.encode(word)
+        if word[0] == "\n":  # the blank that is put before it is a token of its own there
+            whole, a, b = word, self.a.raw(word), b[1:]
+        else:
+            whole, a = " " + word, self.a.encode(word)
+        return (array("i", a).tobytes(), array("i", b).tobytes()) if self._exact(whole.encode(), a, b) else None
+
+    def _learn_all(self, words: list[str]) -> None:
+        """Remembers words; they are read as one text, and its ids cut where the words end."""
+        self.known |= dict.fromkeys((w for w in words if not _cut(w)))
+        words = [w for w in words if _cut(w)]
+        # Something behind a blank comes first, for words that begin with a line feed.
+        said = [" a", *[w if w[0] == "\n" else " " + w for w in words]]
+        whole = "".join(said)
+        a, b = self.a.raw(whole), self.b.encode(whole[1:])
+        stops = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in said])
+        cut = []
+        for ids, lengths in zip((a, b), self.lengths, strict=True):
+            ends = np.cumsum(lengths[ids])
+            at = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+            cut.append((at + 1) if (ends[at] == stops).all() else None)
+        if cut[0] is None or cut[1] is None or not self._exact(whole.encode(), a, b):
+            self.known |= {w: self._learn(w) for w in words}
+            return
+        data = [np.array(ids, np.int32).tobytes() for ids in (a, b)]
+        (low_a, *stops_a), (low_b, *stops_b) = ((at * 4).tolist() for at in cut)
+        for word, high_a, high_b in zip(words, stops_a, stops_b, strict=True):
+            self.known[word] = data[0][low_a:high_a], data[1][low_b:high_b]
+            low_a, low_b = high_a, high_b
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of both sides as 32-bit numbers; none for a text that has no tokens."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, words = self.known, text.replace("\n", " \n").split(" ")
-        try:
+        known, split = self.known, [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        if new := {w for words in split for w in words if w not in known and len(w) <= LONGEST}:
+            self._learn_all(list(new))
+        out = []
+        for text, words in zip(texts, split, strict=True):
             pairs = [known[w] if w in known else self._learn(w) for w in words]
-            return b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
-        except TypeError:  # a None: no cut at blanks
-            a, b = self.a.encode(text), self.b.encode(text)
-            return (array("i", a).tobytes(), array("i", b).tobytes()) if self._exact(text, a, b) else (b"", b"")
+            if None in pairs:  # no cut at blanks
+                a, b = self.a.encode(text), self.b.encode(text)
+                out.append((array("i", a).tobytes(), array("i", b).tobytes()) if self._exact(b" " + text.encode(), a, b) else (b"", b""))
+            else:
+                out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+        return out
+
+
+def _cut(word: str) -> bool:
+    """Whether both tokenizers close a token before and behind a word: no white space touches that which it was cut at."""
+    bare = word[1:] if word[:1] == "\n" else word
+    return bool(bare) and not bare[0].isspace() and not bare[-1].isspace() and "▁" not in bare
 
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(end, token of a, token of b) of every elementary interval of two ascending arrays of ends."""
-    ends = np.union1d(ends_a, ends_b)
+    both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two ascending runs: one merge
+    ends = both[np.concatenate([both[1:] != both[:-1], [True]])] if len(both) else both  # as np.union1d, which hashes
     return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -177,13 +204,13 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         a, b = ByteLevel(path_a), Pieces(path_b)
         self.words = Words(a, b)
-        self.lengths = a.lengths(), b.lengths()
+        self.lengths = self.words.lengths
         names = [[f"{i}{mark}" for i in range(len(side.token_bytes))] for side, marks in ((a, ",|"), (b, ",;")) for mark in marks]
         self.written = np.array([n for part in names for n in part], object)
 
     def block(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
         """Columns of ROWS, but for row and doc_id, of a block of texts; links as (text, pair, times), ascending."""
-        ids = [self.words.ids(t) for t in texts]
+        ids = self.words.ids(texts)
         a, b = (np.frombuffer(b"".join([p[s] for p in ids]), np.int32).astype(np.int64) for s in (0, 1))
         n_a, n_b = (np.array([len(p[s]) // 4 for p in ids], np.int64) for s in (0, 1))
         empty = np.zeros(len(texts), np.int64)

@@ -3,10 +3,13 @@
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import Row
+
 import corpus_pipeline
 from tests.llm.test_pairs_and_lines import brute_leaks, brute_lines, naive_components, naive_print
 
-from tidemark.llm import common, packing, spaced_seed
+from tidemark.llm import common, near_pairs, packing, spaced_seed
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -86,6 +89,8 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     group = near_groups(dict(rows))
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    crowded = near_pairs.assign(docs, crowd=3)  # most keys come last, in every turn
+    assert {x["component_id"] for x in crowded.select("component_id").distinct().collect()} == set(group.values())
     simhash = naive_components({d: naive_print(t or "") for d, t in rows})
     assert got == set(group.values()) and len(got) < len(set(simhash.values()))
 
@@ -106,3 +111,11 @@ def test_stages_take_hard_rows(spark, sf_dir):
         assert (corpus_pipeline.pack(spark, some, sf_dir).count() > 0) == (some is docs)
     kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
     assert kept == [(False, 1), (False, 2), (False, 4), (True, 0)]
+
+
+def test_elements_that_come_last_leave_the_prefix():
+    order = np.array([5, 9], np.uint64), np.array([4, 7])
+    after = near_pairs._behind(order, [Row(key=-1, nodes=50), Row(key=5, nodes=2000)])
+    assert after[0].tolist() == [5, 9, (1 << 64) - 1] and after[1].tolist()[1] == 7 and after[1][0] > after[1][2] > 7
+    hashes = np.array([1, 5, 9, 30, 40, 50, 60, 70, 80, (1 << 64) - 1], np.uint64)
+    assert near_pairs.prefix_of(hashes, *after).tolist() == [1, 30, 40] and near_pairs.prefix_of(hashes[[0, 1, 2, 9]], *after).tolist() == [1]

@@ -6,7 +6,8 @@ lose most pairs near 0.8, so nodes also meet on shared five-grams. Two sets with
 similarity s share an element among the first n - ceil(s * n) + 1 of each, in any order
 common to all sets (the prefix filter): no pair is lost. The order puts elements that
 are common in a bounded sample of texts last, so widespread passages rarely make nodes
-meet; the sample decides only the order, never the result.
+meet; those on which many nodes meet all the same are put behind them, and the nodes that
+met there get new first elements. The sample and the counts decide only the order, never the result.
 
 Candidates go through three tests, none of which loses a pair: their sizes; the places of
 the element on which they meet, which cannot lie so far back that too few are left to share;
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ SHINGLE, SEED = 5, 42
 NEAR, OF = 4, 5
 #: Texts of the sample that orders the elements, and in how many of them an element is common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 200_000
+#: A key on which more nodes than this meet is crowded; how many crowded ones are ordered last, and how often that is tried.
+CROWD, MOST_CROWDED, REORDERS = 1000, 200_000, 3
 #: Bits of the smallest and of the largest parity sketch.
 LEAST_SKETCH, MOST_SKETCH = 64, 1 << 16
 
@@ -120,9 +124,9 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], ranks[order]
 
 
-def _prints(docs: DataFrame) -> DataFrame:
+def _prints(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One pass over the texts: doc_id, th (hash of the text), fp, node, n (elements), sketch and keys (the prefix) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -148,18 +152,72 @@ def _prints(docs: DataFrame) -> DataFrame:
         return common.materialize(rows, "near-prints")
 
 
-def _meetings(prints: DataFrame) -> DataFrame:
+def _meetings(dealt: DataFrame) -> DataFrame:
     """(key, node, n, at) of the nodes that meet others on a key; at: the key's place among the node's elements.
 
-    Copies and widespread keys are combined before the shuffle that finds the keys of two
-    nodes or more; only rows of such keys (sieved first) are shuffled to be told apart.
+    dealt: those columns of every row. Copies and widespread keys are combined before the shuffle that finds the keys
+    of two nodes or more; only rows of such keys (sieved first) are shuffled to be told apart.
     """
-    dealt = prints.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
     shared = common.materialize(shared, "near-keys")
     return common.materialize(common.sieve(dealt, "key", shared).join(shared, "key", "left_semi").distinct(), "near-meetings")
 
 
+def _behind(order: tuple[np.ndarray, np.ndarray], crowded: list) -> tuple[np.ndarray, np.ndarray]:
+    """The order with the crowded keys (key, nodes) behind all others, the most crowded last."""
+    rank = dict(zip(order[0].tolist(), order[1].tolist(), strict=True))
+    most = max(rank.values(), default=0)
+    rank |= {r["key"] % (1 << 64): max(most, SAMPLE) + r["nodes"] for r in crowded}
+    hashes = np.array(sorted(rank), np.uint64)
+    return hashes, np.array([rank[h] for h in hashes.tolist()], np.int64)
+
+
+def _first_elements(order: Broadcast):
+    """A function of texts: their prefixes under a broadcast order."""
+
+    @F.pandas_udf("array<long>")
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([prefix_of(shingles_of(t), *order.value).view(np.int64) for t in texts], dtype=object)
+
+    return first
+
+
+def _uncrowded(docs: DataFrame, prints: DataFrame, nodes: DataFrame, order: tuple[np.ndarray, np.ndarray], crowd: int) -> DataFrame:
+    """Meetings under an order in which keys on which more than `crowd` nodes meet come last.
+
+    Moving an element back changes the prefix only of the nodes that had it there: only their texts are read again. What
+    is left crowded after some turns stands in texts that consist of such passages.
+    """
+    dealt = prints.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    meetings = _meetings(dealt)
+    for _ in range(REORDERS):
+        counts = meetings.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > crowd)
+        crowded = counts.orderBy(F.col("nodes").desc(), "key").limit(MOST_CROWDED).collect()
+        order_now, order = order, _behind(order, crowded)
+        if not crowded or (len(order[0]) == len(order_now[0]) and (order[1] == order_now[1]).all()):
+            break
+        keys = docs.sparkSession.createDataFrame([(r["key"],) for r in crowded], "key long")
+        # At most MOST_CROWDED rows of one number: safe to broadcast at any table size.
+        moved = meetings.join(F.broadcast(keys), "key", "left_semi").select("node").distinct()
+        moved = common.materialize(nodes.join(moved, "node", "left_semi").select("node", "doc_id", "th", "n"), "near-moved")
+        first = _first_elements(docs.sparkSession.sparkContext.broadcast(order))
+        fresh = _texts_of(docs, moved).join(moved.select("node", "n"), "node").select("node", "n", first("text").alias("keys"))
+        with common.small_batches(docs.sparkSession):
+            fresh = common.materialize(fresh, "near-reordered")
+        dealt = dealt.join(moved.select("node"), "node", "left_anti").unionByName(fresh.select("node", "n", F.posexplode("keys").alias("at", "key")))
+        dealt = common.materialize(dealt, "near-dealt")
+        meetings = _meetings(dealt)
+    return meetings
+
+
+def _texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) of asked nodes (node, doc_id, th; a written table): a bitmap sieves the rows of docs, and an exact join decides."""
+    texts = common.sieve(docs.select("doc_id", "text", F.xxhash64("text").alias("_tidemark_h")), "_tidemark_h", asked.select("th")).drop("_tidemark_h")
+    texts = texts.join(common.private(asked.select("node", "doc_id", "th")), common.same_document("_tidemark_doc_id", "_tidemark_th"))
+    return texts.groupBy(F.col("_tidemark_node").alias("node")).agg(F.min("text").alias("text"))
+
+
 def _sizes_fit(n: Column, m: Column) -> Column:
     return (n * OF >= m * NEAR) & (m * OF >= n * NEAR)
 
@@ -187,9 +245,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) ->
         for texts in batches:
             yield pd.Series([shingles_of(t).view(np.int64) for t in texts], dtype=object)
 
-    texts = common.sieve(docs.select("doc_id", "text", F.xxhash64("text").alias("_tidemark_h")), "_tidemark_h", asked.select("th")).drop("_tidemark_h")
-    texts = texts.join(common.private(asked), common.same_document("_tidemark_doc_id", "_tidemark_th"))
-    sets = texts.groupBy(F.col("_tidemark_node").alias("node")).agg(F.min("text").alias("text")).select("node", shingles("text").alias("set"))
+    sets = _texts_of(docs, asked).select("node", shingles("text").alias("set"))
     with common.small_batches(docs.sparkSession):
         sets = common.materialize(sets, f"near-sets-{turn}")
     left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
@@ -215,12 +271,13 @@ def _most_met(meetings: DataFrame, order: Column) -> DataFrame:
     return counted.groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
 
 
-def assign(docs: DataFrame) -> DataFrame:
+def assign(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, th (hash of the text), fp (long: its component's smallest node) and component_id of every row of docs."""
-    prints = _prints(docs)
+    order = _common(docs)
+    prints = _prints(docs, order)
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = common.materialize(nodes.select("node", "d.doc_id", "d.th", "fp", "n", "sketch"), "near-nodes")
-    meetings = _meetings(prints)
+    meetings = _uncrowded(docs, prints, nodes, order, crowd)
 
     least = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("v")), "near-prints-least")
     of_fp = lambda name: least.select(F.col("fp").alias(name), F.col("v").alias(f"{name}_node"))

@@ -233,23 +233,72 @@ def test_listing_helpers(spark):
     assert {r["id"]: r["description"] for r in parse.with_details(listed, details, most=2).collect()} == {"0": "full", "1": "teaser", "2": "teaser"}
 
 
-def test_streams(spark, tmp_path):
+def test_sights_over_restarts_and_expiry(spark, tmp_path):
+    """State goes on where the last run ended, expires after 45 days, and late sights count not."""
     from tidemark.streaming import lifecycle as stream
 
-    events = spark.range(20).select((F.col("id") % 3).alias("user_id"), F.lit("view").alias("event_type"), F.timestamp_seconds("id").alias("ts"))
-    events.write.parquet(str(tmp_path / "events"))
-    rows = {r["id"]: r["n"] for r in stream.run_over(spark, str(tmp_path / "events") + "/").collect()}
-    assert rows == {"0|view": 7, "1|view": 7, "2|view": 6}
-    board = spark.createDataFrame([("z", "c")], "id string, company string").select(
-        "id", "company", F.to_timestamp(F.lit("2024-01-01")).alias("first_seen"), F.to_timestamp(F.lit("2024-01-01")).alias("last_seen"), F.lit(False).alias("closed"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(False).alias("is_new")
-    )
-    board.write.parquet(str(tmp_path / "board/v0"))
-    scan = spark.createDataFrame([("a", "c")], "id string, company string").withColumn("scanned_at", F.to_timestamp(F.lit("2024-01-02")))
-    scan.write.parquet(str(tmp_path / "scans"))
-    query = stream.merge_stream(spark.readStream.schema(scan.schema).parquet(str(tmp_path / "scans")), str(tmp_path / "board"), str(tmp_path / "state"))
-    query.awaitTermination()
-    assert {r["id"]: r["closed"] for r in spark.read.parquet(str(tmp_path / "board/v1")).collect()} == {"a": False, "z": True}
-    assert stream.watched_counts(events.withColumn("event_type", F.lit("v"))).count() == 1
+    day = 86_400
+
+    def arrive(name, *rows):
+        frame = spark.createDataFrame([(i, t) for i, t in rows], "id string, t long").select("id", F.timestamp_seconds("t").alias("ts"))
+        frame.coalesce(1).write.parquet(str(tmp_path / "events" / name))
+
+    def run():
+        events = spark.readStream.schema("id string, ts timestamp").parquet(str(tmp_path / "events/*"))
+        stream.run_seen(events, str(tmp_path / "state"))
+        rows = stream.seen_table(spark, str(tmp_path / "state")).select("id", F.unix_seconds("first_seen"), F.unix_seconds("last_seen"), "n").collect()
+        return {r[0]: tuple(r)[1:] for r in rows}
+
+    arrive("a", *[("hot", k) for k in range(500)], ("old", 10), ("none", None), (None, 5))
+    assert run() == {"hot": (0, 499, 500), "old": (10, 10, 1)}
+    arrive("b", ("hot", 40 * day), ("new", 30 * day), ("old", 5))
+    assert run() == {"hot": (0, 40 * day, 501), "old": (5, 10, 2), "new": (30 * day, 30 * day, 1)}
+    arrive("c", ("hot", 46 * day))
+    assert run() == {"hot": (0, 46 * day, 502), "new": (30 * day, 30 * day, 1)}  # old is gone
+    arrive("d", ("old", 15), ("new", 29 * day))
+    assert run() == {"hot": (0, 46 * day, 502), "new": (29 * day, 30 * day, 2)}  # too late for old
+
+
+def test_boards_close_open_and_age(spark, tmp_path):
+    """Scans one after another against the batch operator's rules; one employer over several slices."""
+    from tidemark.streaming import lifecycle as stream
+
+    day, many = 86_400, [f"p{k}" for k in range(40)]
+    scans = [
+        (1 * day, {"x": many, "y": ["q"]}), (2 * day, {"x": many[:30]}), (3 * day, {"x": many[20:] + ["new"], "y": []}),
+        (20 * day, {"z": ["alone"]}), (49 * day, {"x": ["new"]}),
+    ]
+    board: dict = {}
+
+    def expected(at, shown):
+        for company, ids in shown.items():
+            for i in ids:
+                board[i] = (company, board[i][1] if i in board else at, at, False, None)
+            for i, (c, first, last, closed, _) in list(board.items()):
+                if c == company and i not in ids and not closed:
+                    board[i] = (c, first, last, True, at)
+            for i in [i for i, v in board.items() if v[0] == company and at - v[2] > 45 * day]:
+                del board[i]
+
+    for k, (at, shown) in enumerate(scans):
+        rows = [(i, c, at) for c, ids in shown.items() for i in (ids or [None])]
+        frame = spark.createDataFrame(rows, "id string, company string, t long").select("id", "company", F.timestamp_seconds("t").alias("scanned_at"))
+        frame.coalesce(1).write.parquet(str(tmp_path / "scans" / f"s{k}"))
+        expected(at, shown)
+        if k != 1:  # two scans arrive at once
+            source = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "scans/*"))
+            stream.run_boards(source, str(tmp_path / "state"), slices=4)
+            got = stream.board_table(spark, str(tmp_path / "state")).collect()
+            seconds = lambda t: None if t is None else int(t.timestamp())
+            assert {r["id"]: (r["company"], seconds(r["first_seen"]), seconds(r["last_seen"]), r["closed"], seconds(r["closed_at"])) for r in got} == board
+    assert set(board) == {"q", "alone", "new"} and board["q"][3]
+
+
+def test_window_counts(spark):
+    from tidemark.streaming import lifecycle as stream
+
+    events = spark.range(20).select(F.lit("v").alias("event_type"), F.timestamp_seconds("id").alias("ts"))
+    assert stream.watched_counts(events).count() == 1
 
 
 def test_sinks(spark, tmp_path):

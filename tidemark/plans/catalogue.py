@@ -396,6 +396,27 @@ def stream_lifecycle(spark, sf_dir):
     return run_over(spark, f"{sf_dir}/events.parquet")
 
 
+@query(
+    """WITH e AS (SELECT (user_id % 10)::VARCHAR AS company, user_id || '|' || event_type AS id, date_trunc('day', ts)::TIMESTAMP AS day_ FROM events),
+p AS (SELECT id, company, min(day_) AS first_seen, max(day_) AS last_seen FROM e GROUP BY 1, 2),
+c AS (SELECT p.id, min(s.day_) AS closed_at FROM p JOIN (SELECT DISTINCT company, day_ FROM e) s ON s.company = p.company AND s.day_ > p.last_seen GROUP BY 1)
+SELECT p.id, company, first_seen, last_seen, closed_at IS NOT NULL AS closed, closed_at FROM p LEFT JOIN c ON c.id = p.id"""
+)
+def stream_board(spark, sf_dir):
+    """The board of a stream of daily scans: what a day's scan of an employer does not show closes, and opens when it shows again."""
+    from tidemark.streaming import lifecycle as stream
+
+    path, checkpoint = f"{sf_dir}/events.parquet", stream.scratch(spark, "board")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    scans = events.select(
+        (F.col("user_id") % 10).cast("string").alias("company"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("id"),
+        F.date_trunc("day", "ts").cast("timestamp").alias("scanned_at"),
+    )
+    stream.run_boards(scans, checkpoint)
+    plain = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen", "closed_at")]
+    return stream.board_table(spark, checkpoint).select("id", "company", "closed", *plain)
+
+
 @query()
 def eligibility_status(spark, sf_dir):
     """Clause-reading rules, routes and final status over every document."""

@@ -365,11 +365,21 @@ def test_scratch_follows_the_session(spark):
 
 
 def test_scratch_can_be_cleared(spark):
-    held, common._written[:] = list(common._written), []
-    path = common.materialize(spark.range(5), "x").inputFiles()[0].rsplit("/", 1)[0]
-    assert spark.read.parquet(path).count() == 5
-    common.clear_scratch(spark)
-    assert not common._written
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        spark.read.parquet(path)
-    common._written[:] = held
+    """Tables of this thread, one by one or all; those of another thread stay."""
+    import threading
+
+    other = []
+    thread = threading.Thread(target=lambda: other.append(common.materialize(spark.range(3), "other")))
+    thread.start()
+    thread.join()
+    mark = common.scratch_mark()
+    first, second = (common.materialize(spark.range(5), "x") for _ in range(2))
+    assert second.count() == 5 and common.scratch_mark() == mark + 2
+    common.release(first)
+    common.release(first)
+    assert common.scratch_mark() == mark + 1 and second.count() == 5
+    common.clear_scratch(spark, mark)
+    assert common.scratch_mark() == mark and other[0].count() == 3
+    for gone in (first, second):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(gone._tidemark_path)

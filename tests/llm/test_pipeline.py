@@ -115,7 +115,7 @@ def test_stages_take_hard_rows(spark, sf_dir):
 
 def test_elements_that_come_last_leave_the_prefix():
     order = np.array([5, 9], np.uint64), np.array([4, 7])
-    after = near_pairs._behind(order, [Row(key=-1, nodes=50), Row(key=5, nodes=2000)])
+    after = near_pairs._behind(order, [Row(key=-1, rows=50), Row(key=5, rows=2000)])
     assert after[0].tolist() == [5, 9, (1 << 64) - 1] and after[1].tolist()[1] == 7 and after[1][0] > after[1][2] > 7
     hashes = np.array([1, 5, 9, 30, 40, 50, 60, 70, 80, (1 << 64) - 1], np.uint64)
     assert near_pairs.prefix_of(hashes, *after).tolist() == [1, 30, 40] and near_pairs.prefix_of(hashes[[0, 1, 2, 9]], *after).tolist() == [1]

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch tables that this driver has written.
-_written: list[str] = []
+class _Written(threading.local):
+    """Scratch tables that a thread of this driver has written: runs in other threads clear their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 #: Documents' columns, in the order in which every pipeline stage returns them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,9 +47,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.paths.append(path)
     df.hint("rebalance").write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tidemark_path = path
+    return table
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a table of materialize that nothing needs any more."""
+    if table._tidemark_path in _written.paths:
+        _written.paths.remove(table._tidemark_path)
+        _delete(table.sparkSession, table._tidemark_path)
 
 
 @contextmanager
@@ -56,23 +78,30 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets the driver find out which shuffles nothing refers to any more; Spark deletes their files then.
+
+    Without it files of a long chain of steps stay on the executors' disks until the driver's heap fills.
+    """
+    gc.collect()  # plans that Python still names keep theirs
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_mark() -> int:
-    """How many scratch tables this driver has written so far."""
-    return len(_written)
+    """How many scratch tables this thread of the driver has written and not deleted so far."""
+    return len(_written.paths)
 
 
 def clear_scratch(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
-    """Deletes the scratch tables that this driver has written since a mark, but for the last if asked.
+    """Deletes the scratch tables that this thread of the driver has written since a mark, but for the last if asked.
 
     Results that are not written yet must not need them.
     """
-    paths = _written[since:]
+    paths = _written.paths[since:]
     kept = [paths.pop()] if keep_last and paths else []
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(hadoop).delete(path, True)
-    _written[since:] = kept
+        _delete(spark, name)
+    _written.paths[since:] = kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

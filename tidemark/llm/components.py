@@ -42,5 +42,7 @@ def roots(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         loose = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("into") == 1)))
         if loose.isEmpty():
             return now
-        now = common.materialize(_small_star(_large_star(now)), "links")
+        before, now = now, common.materialize(_small_star(_large_star(now)), "links")
+        common.release(before)
+        common.forget_shuffles(edges.sparkSession)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

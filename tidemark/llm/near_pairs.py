@@ -45,7 +45,7 @@ SHINGLE, SEED = 5, 42
 NEAR, OF = 4, 5
 #: Texts of the sample that orders the elements, and in how many of them an element is common.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 200_000
-#: A key on which more nodes than this meet is crowded; how many crowded ones are ordered last, and how often that is tried.
+#: A key on which more rows than this meet is crowded; how many crowded ones are ordered last, and how often that is tried.
 CROWD, MOST_CROWDED, REORDERS = 1000, 200_000, 3
 #: Bits of the smallest and of the largest parity sketch.
 LEAST_SKETCH, MOST_SKETCH = 64, 1 << 16
@@ -152,22 +152,11 @@ def _prints(docs: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         return common.materialize(rows, "near-prints")
 
 
-def _meetings(dealt: DataFrame) -> DataFrame:
-    """(key, node, n, at) of the nodes that meet others on a key; at: the key's place among the node's elements.
-
-    dealt: those columns of every row. Copies and widespread keys are combined before the shuffle that finds the keys
-    of two nodes or more; only rows of such keys (sieved first) are shuffled to be told apart.
-    """
-    shared = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
-    shared = common.materialize(shared, "near-keys")
-    return common.materialize(common.sieve(dealt, "key", shared).join(shared, "key", "left_semi").distinct(), "near-meetings")
-
-
 def _behind(order: tuple[np.ndarray, np.ndarray], crowded: list) -> tuple[np.ndarray, np.ndarray]:
-    """The order with the crowded keys (key, nodes) behind all others, the most crowded last."""
+    """The order with the crowded keys (key, rows) behind all others, the most crowded last."""
     rank = dict(zip(order[0].tolist(), order[1].tolist(), strict=True))
     most = max(rank.values(), default=0)
-    rank |= {r["key"] % (1 << 64): max(most, SAMPLE) + r["nodes"] for r in crowded}
+    rank |= {r["key"] % (1 << 64): max(most, SAMPLE) + r["rows"] for r in crowded}
     hashes = np.array(sorted(rank), np.uint64)
     return hashes, np.array([rank[h] for h in hashes.tolist()], np.int64)
 
@@ -183,32 +172,37 @@ def _first_elements(order: Broadcast):
     return first
 
 
-def _uncrowded(docs: DataFrame, prints: DataFrame, nodes: DataFrame, order: tuple[np.ndarray, np.ndarray], crowd: int) -> DataFrame:
-    """Meetings under an order in which keys on which more than `crowd` nodes meet come last.
+def _meetings(docs: DataFrame, prints: DataFrame, nodes: DataFrame, order: tuple[np.ndarray, np.ndarray], crowd: int) -> DataFrame:
+    """(key, node, n, at) of the nodes that meet others on a key; at: the key's place among the node's elements.
 
-    Moving an element back changes the prefix only of the nodes that had it there: only their texts are read again. What
-    is left crowded after some turns stands in texts that consist of such passages.
+    Copies and widespread keys are combined before the shuffle that finds the keys of two nodes or more; only rows of
+    such keys (sieved first) are shuffled to be told apart. Keys on which more than `crowd` rows meet are put last in the
+    order. That changes the prefix only of the nodes that had them there, whose texts are read again. What is
+    left crowded after REORDERS turns stands in texts that consist of such passages.
     """
-    dealt = prints.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    meetings = _meetings(dealt)
-    for _ in range(REORDERS):
-        counts = meetings.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > crowd)
-        crowded = counts.orderBy(F.col("nodes").desc(), "key").limit(MOST_CROWDED).collect()
-        order_now, order = order, _behind(order, crowded)
-        if not crowded or (len(order[0]) == len(order_now[0]) and (order[1] == order_now[1]).all()):
+    kept = prints.select("node", "n", "keys")
+    for turn in range(REORDERS + 1):
+        dealt = kept.select("node", "n", F.posexplode("keys").alias("at", "key"))
+        shared = dealt.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows"))
+        shared = common.materialize(shared.where("a != b").select("key", "rows"), "near-keys")
+        crowded = shared.where(F.col("rows") > crowd).orderBy(F.col("rows").desc(), "key").limit(MOST_CROWDED).collect()
+        known = set(order[0].tolist()) if turn else set()
+        if turn == REORDERS or all(r["key"] % (1 << 64) in known for r in crowded):
             break
-        keys = docs.sparkSession.createDataFrame([(r["key"],) for r in crowded], "key long")
+        order = _behind(order, crowded)
         # At most MOST_CROWDED rows of one number: safe to broadcast at any table size.
-        moved = meetings.join(F.broadcast(keys), "key", "left_semi").select("node").distinct()
+        keys = F.broadcast(docs.sparkSession.createDataFrame([(r["key"],) for r in crowded], "key long"))
+        moved = dealt.join(keys, "key", "left_semi").select("node").distinct()
         moved = common.materialize(nodes.join(moved, "node", "left_semi").select("node", "doc_id", "th", "n"), "near-moved")
         first = _first_elements(docs.sparkSession.sparkContext.broadcast(order))
         fresh = _texts_of(docs, moved).join(moved.select("node", "n"), "node").select("node", "n", first("text").alias("keys"))
         with common.small_batches(docs.sparkSession):
             fresh = common.materialize(fresh, "near-reordered")
-        dealt = dealt.join(moved.select("node"), "node", "left_anti").unionByName(fresh.select("node", "n", F.posexplode("keys").alias("at", "key")))
-        dealt = common.materialize(dealt, "near-dealt")
-        meetings = _meetings(dealt)
-    return meetings
+        kept = kept.join(moved.select("node"), "node", "left_anti").unionByName(fresh)
+        common.release(shared)
+        common.forget_shuffles(docs.sparkSession)
+    keys = shared.select("key")
+    return common.materialize(common.sieve(dealt, "key", keys).join(keys, "key", "left_semi").distinct(), "near-meetings")
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -250,9 +244,13 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, turn: str) ->
         sets = common.materialize(sets, f"near-sets-{turn}")
     left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return common.materialize(
+    found = common.materialize(
         pairs.join(left, "u").join(right, "v").where(OF * both >= NEAR * (F.col("n") - both)).select("u", "v"), f"near-links-{turn}"
     )
+    for table in (pairs, asked, sets):
+        common.release(table)
+    common.forget_shuffles(docs.sparkSession)
+    return found
 
 
 def _open(meetings: DataFrame, label: DataFrame) -> DataFrame:
@@ -260,7 +258,9 @@ def _open(meetings: DataFrame, label: DataFrame) -> DataFrame:
     named = meetings.join(label.select(F.col("u").alias("node"), "v"), "node", "left").select("key", "node", "n", "at", F.coalesce("v", "node").alias("label"))
     named = common.materialize(named, "near-named")
     apart = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    return common.materialize(named.join(apart, "key", "left_semi"), "near-open")
+    open_ = common.materialize(named.join(apart, "key", "left_semi"), "near-open")
+    common.release(named)
+    return open_
 
 
 def _most_met(meetings: DataFrame, order: Column) -> DataFrame:
@@ -277,7 +277,8 @@ def assign(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     prints = _prints(docs, order)
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = common.materialize(nodes.select("node", "d.doc_id", "d.th", "fp", "n", "sketch"), "near-nodes")
-    meetings = _uncrowded(docs, prints, nodes, order, crowd)
+    meetings = _meetings(docs, prints, nodes, order, crowd)
+    common.forget_shuffles(docs.sparkSession)
 
     least = common.materialize(nodes.groupBy("fp").agg(F.min("node").alias("v")), "near-prints-least")
     of_fp = lambda name: least.select(F.col("fp").alias(name), F.col("v").alias(f"{name}_node"))
@@ -288,6 +289,8 @@ def assign(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     sure = _verified(docs, nodes, pairs, "first")
 
     open_ = _open(meetings, components.roots(sure))
+    common.release(meetings)
+    common.forget_shuffles(docs.sparkSession)
     # The smaller set of a pair (u) and the larger share at least _overlap elements, so the first of these stands no
     # further back than leaves room for the others, in either. The smaller one's room is narrower still.
     small = open_.where(F.col("at") <= F.col("n") - _overlap(F.col("n"), F.col("n")))

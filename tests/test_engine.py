@@ -399,3 +399,121 @@ def test_today_marks_and_prospects(spark):
     register = spark.createDataFrame([("a", "likely", 9), ("b", "documented", None), ("c", None, 1), ("d", "documented", 99)], "name string, sponsor_confidence string, fit_rank int")
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     assert [r["name"] for r in discovery.prospects(register, names("d", "c"), names("c"), 2).collect()] == ["b", "a"]
+
+
+# --- pages ------------------------------------------------------------------
+
+
+class _Boards:
+    """A local server of boards: pages by address; what it was asked is written down."""
+
+    def __init__(self, answer):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+        from urllib.parse import parse_qs, urlsplit
+
+        asked = self.asked = []
+
+        class Handler(BaseHTTPRequestHandler):
+            def _tell(self, body):
+                at = urlsplit(self.path)
+                asked.append((self.path, body))
+                said = answer(at.path, {k: v[0] for k, v in parse_qs(at.query).items()}, body)
+                self.send_response(200 if said is not None else 404)
+                self.end_headers()
+                self.wfile.write((said or "").encode())
+
+            def do_GET(self):
+                self._tell(None)
+
+            def do_POST(self):
+                self._tell(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+
+            def log_message(self, *a):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.root = f"http://127.0.0.1:{self.server.server_address[1]}"
+
+
+def _answer(path, query, body):
+    """Listings of all kinds of ends."""
+    many = lambda n, at, size, row: [row(k) for k in range(at, min(n, at + size))]
+    if "/companies/acme/" in path:
+        return json.dumps({"content": many(230, int(query["offset"]), 100, lambda k: {"id": str(k), "name": f"Clerk {k}"})})
+    if "/companies/broken/" in path:
+        return json.dumps({"content": [{"id": str(k)} for k in range(100)]}) if query["offset"] == "0" else '{"content": [{"id"'
+    if "/wday/" in path:
+        held = {"Ireland": range(25), "Dublin": range(20, 50), "": range(100)} if "/Site" in path else {"": range(41)}
+        rows = [{"externalPath": f"/job/{k}", "title": f"T{k}"} for k in held.get(body["searchText"], ())]
+        return json.dumps({"total": 0, "jobPostings": rows[body["offset"] : body["offset"] + body["limit"]]})
+    if "recruitingCE" in path:
+        at = int(query["finder"].split("offset=")[1].split(",")[0])
+        return json.dumps({"items": [{"TotalJobsCount": 400, "requisitionList": many(400, at, 200, lambda k: {"Id": k, "Title": f"R{k}"})}]})
+    if path == "/jobs/search":
+        return "".join(f'<a class="x" href="/jobs/{k}/clerk">Clerk {k}</a>' for k in range(int(query["pr"]) * 10, min(14, int(query["pr"]) * 10 + 10)))
+    if path == "/api/jobs":
+        page = int(query["page"])  # the last page comes again and again
+        return json.dumps({"jobs": [{"data": {"slug": f"s{k}", "title": "J"}} for k in range(min(page, 3) * 5, min(page, 3) * 5 + 5)]})
+    if path == "/en/search.json":
+        n = {"IRL": 150, "GBR": 100}[query["country"]]
+        return json.dumps({"hits": n, "jobs": many(n, int(query["offset"]), 100, lambda k: {"id_icims": str(k), "title": "A"})})
+    if path.startswith("/widgets") and query["domain"] == "careers.firm.com":
+        at = int(query["start"])  # pages of seven, whatever was asked for
+        return json.dumps({"jobs": many(18, at, 7, lambda k: {"jobId": str(k), "title": "P"})})
+    return json.dumps({"jobs": []}) if path.startswith("/api/apply") and "sortBy" not in query else None
+
+
+BOARDS = [
+    ("smartrecruiters", "acme"), ("smartrecruiters", "broken"), ("workday", "t|wd3|Site"), ("workday", "t|3|Other"), ("oraclecloud", "h.example|CX"), ("icims", "x.icims.com"),
+    ("jibe", "jobs.example|Ireland"), ("amazonjobs", "IRL"), ("amazonjobs", "GBR"), ("phenom", "careers.firm.com"), ("workday", "no parts"),
+]
+
+
+def test_pages_are_read_whole(spark):
+    """Every page of every kind of listing, and none beyond its end; recorded ones are followed alike."""
+    from tidemark.sources import paging
+
+    served = _Boards(_answer)
+    spark.dataSource.register(BoardSource)
+    boards = [{"ats": a, "token": t, "company": f"{a}-{t}", "root": served.root} for a, t in BOARDS]
+    read = spark.read.format("boards").option("boards", json.dumps(boards)).option("pause_s", "0").option("tasks", "3").load().cache()
+    rows = read.orderBy("ordinal").collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r["ats"], r["token"]), []).append((r["search"], r["page"], None if r["raw"] is None else len(paging.rows_of(r["ats"], r["raw"]))))
+    assert got["smartrecruiters", "acme"] == [("", 0, 100), ("", 1, 100), ("", 2, 30)]
+    assert got["smartrecruiters", "broken"] == [("", 0, 100), ("", 1, None)]
+    assert got["workday", "t|wd3|Site"] == [("Ireland", 0, 20), ("Ireland", 1, 5), ("Dublin", 0, 20), ("Dublin", 1, 10), ("Cork", 0, 0), ("Galway", 0, 0), ("Limerick", 0, 0)]
+    assert got["workday", "t|3|Other"][-3:] == [("", 0, 20), ("", 1, 20), ("", 2, 1)]
+    assert got["oraclecloud", "h.example|CX"] == [("", 0, 200), ("", 1, 200)] and got["icims", "x.icims.com"] == [("", 0, 10), ("", 1, 4)]
+    assert got["jibe", "jobs.example|Ireland"] == [("", k, 5) for k in range(4)]
+    assert got["amazonjobs", "IRL"] == [("", 0, 100), ("", 1, 50)] and got["amazonjobs", "GBR"] == [("", 0, 100)]
+    assert got["phenom", "careers.firm.com"] == [("", 0, 7), ("", 1, 7), ("", 2, 4), ("", 3, 0)]
+    assert got["workday", "no parts"] == [("", 0, None)] and len({r["ordinal"] for r in rows}) == len(rows)
+    found = normalise.postings(paging.united(read), ["workday", "smartrecruiters", "jibe", "amazonjobs"])
+    counted = {(r["ats"], r["token"]): r["count"] for r in found.groupBy("ats", "token").count().collect()}
+    assert counted["workday", "t|wd3|Site"] == 50 and counted["workday", "t|3|Other"] == 41 and counted["jibe", "jobs.example|Ireland"] == 15 and counted["smartrecruiters", "acme"] == 230
+    # Recorded beyond the ends, and with a gap: the same pages count.
+    more = read.where("raw is not null").withColumn("page", F.col("page") + 5).unionByName(read)
+    for ats in {a for a, _ in BOARDS}:
+        own = sorted((r["token"], r["search"], r["page"]) for r in read.where(F.col("ats") == ats).collect())
+        again = sorted((r["token"], r["search"], r["page"]) for r in paging.followed(more, ats).collect())
+        if ats == "workday":  # words that find nothing were asked; the search without one is asked for only then
+            own = [x for x in own if x[0] != "no parts"] + [x for x in own if x[0] == "no parts"]
+        assert sorted(again) == sorted(own), ats
+    read.unpersist()
+
+
+def test_filters_keep_boards_from_being_asked(spark):
+    from tidemark.sources.boards import read as read_boards
+
+    served = _Boards(_answer)
+    boards = [{"ats": "amazonjobs", "token": c, "company": "A", "root": served.root} for c in ("IRL", "GBR")]
+    boards += [{"ats": "ashby", "token": f"t{k}", "company": f"C{k}", "url": f"http://h{k}.invalid/"} for k in range(50)]
+    read = read_boards(spark, boards, pause_s="0", tasks="1000")
+    assert read.rdd.getNumPartitions() == 51
+    home = read.where("ats = 'amazonjobs' and country = 'IRL' and page >= 0")
+    assert home.rdd.getNumPartitions() == 1 and home.count() == 2 and {p.split("country=")[1][:3] for p, _ in served.asked} == {"IRL"}
+    assert read.where(F.col("company").isin("C1", "C7")).rdd.getNumPartitions() == 2 and read.where("ats = 'lever'").count() == 0

@@ -51,6 +51,10 @@ def first_per(df: DataFrame, *key: str) -> DataFrame:
 
 
 def capped(df: DataFrame, by: str, n: int, last: bool = False) -> DataFrame:
-    """The first (or last) n rows of each group by ordinal. Ranks need a group together: for groups of bounded size."""
+    """The first (or last) n rows of each group by ordinal.
+
+    Spark limits a ranked window in each task before its shuffle (up to a thousand rows), so of a hot group no more
+    than n rows of each task meet.
+    """
     order = F.col("ordinal").desc() if last else F.col("ordinal")
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rank") <= n).drop("_rank")

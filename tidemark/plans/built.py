@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT
 from tidemark.functions.text import clean_title, iso_timestamp, salary_eur, strip_html
@@ -152,17 +153,108 @@ def employer_drops(spark, sf_dir):
     return counted.select("company", "fetched", "kept", drops.alias("drops"))
 
 
-@query(f"SELECT doc_id, lang <> 'de' AND length({TITLE}) >= 0 AS stays FROM documents WHERE lang <> 'de'")
+@query(
+    f"SELECT p_partkey, {_sql_by('p_partkey', ['true', 'false', 'false', 'true', 'true', 'false'])} AS stays FROM part WHERE p_partkey % 6 IN (0, 3, 4)"
+)
 def language_removal(spark, sf_dir):
-    """Postings with a reason of code language leave the board."""
-    p = tables.postings(spark, sf_dir).select("doc_id", "location")
-    reasons = F.filter(F.array(F.struct(F.lit("years").alias("code")), F.struct(F.when(F.col("location") == "de", "language").otherwise("field").alias("code"))), lambda r: r["code"].isNotNull())
-    return p.withColumn("r", reasons).where(~F.exists("r", lambda r: r["code"] == "language")).select("doc_id", F.lit(True).alias("stays"))
+    """Adverts that ask for a language leave the board: in the title, in a clause, or by their own; as the scan does it."""
+    from tidemark.plans.scan_run import without_language
+
+    key = F.col("p_partkey")
+    titles = ["Clerk", "Clerk - Danish", "Clerk", "English speaking Clerk", "Clerk", "Clerk"]
+    texts = ["Ledgers.", "Ledgers.", "Fluent in Danish. Ledgers.", "Ledgers.", "Danish speakers preferred.", "obair agus cabhair agus ceol agus spraoi agus sport agus craic"]
+    adverts = read(spark, sf_dir, "part").select("p_partkey", _by(key, titles).alias("title"), _by(key, texts).alias("description"))
+    return without_language(eligibility.with_eligibility(adverts)).select("p_partkey", F.lit(True).alias("stays"))
 
 
 # --- readers ----------------------------------------------------------------
 
 
+#: How orders become boards in pages: token, and in SQL the rows of a search by its name.
+PAGES = {
+    "smartrecruiters": ("'s' || o_custkey % 10", {"": "true"}, 100),
+    "oraclecloud": ("'h.example|C' || o_custkey % 7", {"": "true"}, 200),
+    "workday": (
+        "'t' || o_custkey % 40 || '|3|S'",
+        {"Ireland": "o_custkey % 4 <> 0 AND o_orderkey % 3 = 0", "Dublin": "o_custkey % 4 <> 0 AND (o_orderkey % 3 = 1 OR o_orderkey % 6 = 0)", "": "true"}, 20,
+    ),
+}
+
+
+def _recorded_pages(spark, sf_dir):
+    """Orders as recorded pages of three platforms' boards, with more behind their ends: an empty page and old ones again.
+
+    Of one board a page failed, of another one was never recorded.
+    """
+    orders, out = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), None
+    for ats, (token, searches, size) in PAGES.items():
+        for number, (search, where) in enumerate(searches.items()):
+            named = orders.where(where).select(F.expr(token).alias("token"), "o_orderkey")
+            placed = named.withColumn("rn", F.row_number().over(Window.partitionBy("token").orderBy("o_orderkey")) - 1)
+            key = F.col("o_orderkey").cast("string")
+            row = {
+                "smartrecruiters": F.struct("rn", key.alias("id"), F.concat(F.lit("Clerk "), key).alias("name")),
+                "oraclecloud": F.struct("rn", key.alias("Id"), F.concat(F.lit("Clerk "), key).alias("Title")),
+                "workday": F.struct("rn", F.concat(F.lit("/job/"), key).alias("externalPath"), F.concat(F.lit("Clerk "), key).alias("title"), F.array(F.lit("teaser")).alias("bulletFields")),
+            }[ats]
+            paged = placed.groupBy("token", F.floor(F.col("rn") / size).cast("int").alias("page")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+            total = placed.groupBy("token").agg(F.count(F.lit(1)).alias("total"), F.floor((F.max("rn")) / size).cast("int").alias("last"))
+            again = paged.join(total, "token").select("token", (F.col("page") + F.col("last") + 2).alias("page"), "rows")
+            empty = total.select("token", (F.col("last") + 1).alias("page"), F.filter(F.array(F.lit(None).cast(paged.schema["rows"].dataType.elementType)), lambda r: F.lit(False)).alias("rows"))
+            pages = paged.unionByName(empty).unionByName(again).join(total, "token")
+            around = {
+                "smartrecruiters": F.struct(F.col("rows").alias("content")), "workday": F.struct(F.lit(0).alias("total"), F.col("rows").alias("jobPostings")),
+                "oraclecloud": F.struct(F.array(F.struct(F.col("total").alias("TotalJobsCount"), F.col("rows").alias("requisitionList"))).alias("items")),
+            }[ats]
+            raw = F.when((F.col("token") == "s4") & (F.col("page") == 5), F.lit(None)).otherwise(F.to_json(around))
+            part = pages.where(~((F.col("token") == "s7") & (F.col("page") == 3))).select(
+                F.lit(ats).alias("ats"), "token", F.col("token").alias("company"), F.lit(search).alias("search"), "page", raw.alias("raw"),
+                (F.col("page") + number * 1000).cast("long").alias("ordinal"), F.when(raw.isNull(), "FetchError").alias("error"),
+            )
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+_CAPS = "rn < 1100 AND NOT (token = 's4' AND rn >= 500) AND NOT (token = 's7' AND rn >= 300)"
+PAGED_SQL = f"""o AS (SELECT o_orderkey, o_custkey FROM orders),
+s AS (SELECT 'smartrecruiters' AS ats, {PAGES['smartrecruiters'][0]} AS token, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) - 1 AS rn FROM o),
+c AS (SELECT 'oraclecloud' AS ats, {PAGES['oraclecloud'][0]} AS token, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS rn FROM o),
+w AS (SELECT 'workday' AS ats, {PAGES['workday'][0]} AS token, o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 2 WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS search FROM o WHERE o_custkey % 4 = 0 OR o_orderkey % 3 < 2),
+x AS (SELECT ats, token, o_orderkey, row_number() OVER (PARTITION BY token ORDER BY search, o_orderkey) - 1 AS rn, row_number() OVER (PARTITION BY token, search ORDER BY o_orderkey) - 1 AS own FROM w),
+listed AS (SELECT ats, token, o_orderkey, rn FROM s WHERE {_CAPS} UNION ALL SELECT ats, token, o_orderkey, rn FROM c WHERE rn < 1200 UNION ALL SELECT ats, token, o_orderkey, rn FROM x WHERE own < 3000)"""
+
+
+@query(f"WITH {PAGED_SQL} SELECT ats, token, o_orderkey, 'Clerk ' || o_orderkey AS title FROM listed")
+def scan_paged(spark, sf_dir):
+    """Postings of recorded pages: each listing to its end and no further, searches united, each posting once."""
+    from tidemark.sources import normalise, paging
+
+    found = normalise.postings(paging.united(tables.stored(_recorded_pages(spark, sf_dir), "recorded")), list(PAGES))
+    return found.select("ats", "token", F.element_at(F.split("url", "/"), -1).cast("long").alias("o_orderkey"), "title")
+
+
+@query(
+    f"WITH {PAGED_SQL} SELECT ats, token, o_orderkey, CASE WHEN rn < CASE ats WHEN 'workday' THEN 200 ELSE 120 END AND o_orderkey % 5 <> 0 THEN 'Full ' || o_orderkey "
+    "WHEN ats = 'workday' THEN 'teaser' ELSE '' END AS description FROM listed"
+)
+def scan_details(spark, sf_dir):
+    """Postings of recorded pages with the details of the first ones of each board; a blank detail changes nothing."""
+    from tidemark.sources import normalise, paging
+
+    pages = tables.stored(paging.united(tables.stored(_recorded_pages(spark, sf_dir), "recorded")), "pages")
+    key = F.element_at(F.split("key", "/"), -1)
+    said = F.when(key.cast("long") % 5 == 0, " ").otherwise(F.concat(F.lit("<p>Full "), key, F.lit("</p>")))
+    shapes = {
+        "workday": F.struct(F.struct(said.alias("jobDescription")).alias("jobPostingInfo")),
+        "smartrecruiters": F.struct(F.struct(F.struct(F.struct(said.alias("text")).alias("jobDescription")).alias("sections")).alias("jobAd")),
+        "oraclecloud": F.struct(F.array(F.struct(said.alias("ExternalDescriptionStr"))).alias("items")),
+    }
+    raw = F.coalesce(*[F.when(F.col("ats") == ats, F.to_json(shape)) for ats, shape in shapes.items()])
+    details = tables.stored(normalise.wanted_details(pages, list(PAGES)).select("ats", "token", "key", raw.alias("raw")), "details")
+    found = normalise.postings(pages, list(PAGES), details)
+    return found.select("ats", "token", F.element_at(F.split("url", "/"), -1).cast("long").alias("o_orderkey"), "description")
+
+
 @query(
     "SELECT o_custkey, o_orderkey, CASE WHEN r <= 3 AND o_orderkey % 4 <> 0 THEN 'full ' || o_orderkey ELSE 'teaser' END AS description FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)"
 )

@@ -12,7 +12,8 @@ from tidemark.config import MIN_SCORE, Profile
 from tidemark.functions.text import iso_timestamp
 from tidemark.operators import dedupe, eligibility, feedback, gates, lifecycle, matching, routes, scoring
 from tidemark.schema import POSTING_COLUMNS
-from tidemark.sources.normalise import postings
+from tidemark.sources import paging
+from tidemark.sources.normalise import postings, wanted_details
 
 #: What the board keeps of a posting besides its life cycle; the rest is computed anew on every run.
 KEPT = (*POSTING_COLUMNS, "ordinal")
@@ -43,6 +44,11 @@ def _above_floor(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("score") >= MIN_SCORE) | _listed_apart())
 
 
+def without_language(judged: DataFrame) -> DataFrame:
+    """What asks for a language that the candidate has not leaves the board."""
+    return judged.where(~F.exists("eligibility_reasons", lambda r: r["code"] == "language"))
+
+
 def answered(boards: DataFrame) -> DataFrame:
     """The employers of which every response arrived; one lost page may hold any of their postings."""
     return boards.groupBy("company").agg(F.bool_and(F.col("error").isNull()).alias("whole")).where("whole").select("company")
@@ -57,14 +63,21 @@ def scan_run(
     now: Column,
     only: list[str] | None = None,
     cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+    details: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
 ) -> ScanResult:
     """The board after a scan.
 
-    boards: recorded responses (schema.RAW_BOARD); companies: name, ordinal and OF_EMPLOYER;
-    stored: KEPT and LIFE of the last board; log: feedback. cut is applied where a table
-    feeds several steps, to write it and read it back.
+    boards: recorded responses (schema.RAW_BOARD; without page and search each is a listing of its own);
+    companies: name, ordinal and OF_EMPLOYER; stored: KEPT and LIFE of the last board; log: feedback.
+    details: recorded responses of detail pages, or what turns requests for them into such responses, as
+    ``details.fetched``. cut is applied where a table feeds several steps, to write it and read it back.
     """
-    fetched = cut(postings(boards, only))
+    if {"page", "search"} <= set(boards.columns):
+        boards = cut(paging.united(boards))
+    if callable(details):
+        wanted = wanted_details(boards, only)
+        details = None if wanted is None else cut(details(wanted))
+    fetched = cut(postings(boards, only, details))
     researched = companies.select(F.col("name").alias("company"), (F.col("fit_rank").isNotNull() | F.col("sector").isNotNull()).alias("researched"))
     marked = fetched.join(researched.groupBy("company").agg(F.bool_or("researched").alias("researched")), "company", "left")
     kept, drops = gates.apply_gates(marked.withColumn("researched", F.coalesce("researched", F.lit(False))), profile)
@@ -83,7 +96,7 @@ def scan_run(
     clean = dedupe.best_posting(_above_floor(clean))
     routed = routes.with_routes(clean).withColumn("csol", routes.occupation(F.col("title"), F.col("description"), F.col("salary_eur")))
     final = routes.final_status(routed, feedback.rejected_pairs(log), feedback.learned_words(log))
-    fit = final.where(~F.exists("eligibility_reasons", lambda r: r["code"] == "language"))
+    fit = without_language(final)
     return ScanResult(fit.withColumn("closes_at", F.try_to_timestamp(iso_timestamp(F.col("closes_at")))), drops, scanned)
 
 

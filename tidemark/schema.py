@@ -9,8 +9,11 @@ POSTING = (
 )
 POSTING_COLUMNS = tuple(part.split()[0] for part in POSTING.split(", "))
 
-#: A recorded response of one board, as the board source returns it.
-RAW_BOARD = "ats string, token string, company string, raw string, ordinal long, fetched_at timestamp, error string"
+#: A recorded response of one board, as the board source returns it: one page of one of its searches.
+RAW_BOARD = (
+    "ats string, token string, company string, raw string, ordinal long, fetched_at timestamp, error string, "
+    "search string, page int, country string"
+)
 
 #: What is known of an employer.
 COMPANY = (

@@ -250,8 +250,8 @@ MAPPERS: dict[str, Callable[[], dict[str, Column]]] = {
 }
 
 
-def _mapped(raw: DataFrame, ats: str) -> DataFrame:
-    return raw.select(*[c.alias(n) for n, c in MAPPERS[ats]().items()], "ats", "token", "ordinal")
+def _mapped(raw: DataFrame, ats: str, *more: Column) -> DataFrame:
+    return raw.select(*[c.alias(n) for n, c in MAPPERS[ats]().items()], "ats", "token", "ordinal", *more)
 
 
 def normalise(raw: DataFrame, ats: str) -> DataFrame:
@@ -259,13 +259,40 @@ def normalise(raw: DataFrame, ats: str) -> DataFrame:
     return _mapped(raw.where(F.col("ats") == ats), ats)
 
 
-def postings(boards: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """Canonical postings of recorded boards: each platform is parsed and mapped on its own, and all are united."""
+def raw_postings(boards: DataFrame, ats: str) -> DataFrame:
+    """Raw postings of one platform's recorded boards; one that several pages or searches of a board show is the first of them."""
+    from tidemark.sources.paging import PAGED, first_of_each
     from tidemark.sources.parse import PARSERS
 
-    good = boards.where(F.col("raw").isNotNull())
+    raw = PARSERS[ats](boards.where(F.col("raw").isNotNull() & (F.col("ats") == ats)))
+    return first_of_each(raw, ats) if ats in PAGED else raw
+
+
+def wanted_details(boards: DataFrame, only: list[str] | None = None) -> DataFrame | None:
+    """Requests for the details of recorded boards' postings; None if no platform has any."""
+    from tidemark.sources.details import DETAILS, requests
+
+    out = None
+    for ats in only or sorted(MAPPERS):
+        if ats in DETAILS:
+            part = requests(raw_postings(boards, ats), ats)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def postings(boards: DataFrame, only: list[str] | None = None, details: DataFrame | None = None) -> DataFrame:
+    """Canonical postings of recorded boards: each platform is parsed and mapped on its own, and all are united.
+
+    details: recorded responses of `details.requests`; what they say goes before what the listing says.
+    """
+    from tidemark.sources.details import DETAILS, key_of, with_details
+
     out = None
     for ats in only or sorted(MAPPERS):
-        part = _mapped(PARSERS[ats](good.where(F.col("ats") == ats)), ats)
+        raw = raw_postings(boards, ats)
+        if details is not None and ats in DETAILS:
+            part = with_details(_mapped(raw, ats, key_of(ats).alias("key")), details, ats).drop("key")
+        else:
+            part = _mapped(raw, ats)
         out = part if out is None else out.unionByName(part)
     return out

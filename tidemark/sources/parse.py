@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidemark.functions.text import text
+from tidemark.operators.dedupe import capped
 
 #: Where the postings stand in each platform's JSON; the first path that holds an array is taken.
 ARRAYS = {
@@ -282,11 +283,10 @@ def keyword_union(searches: DataFrame, key: str) -> DataFrame:
 def with_details(listed: DataFrame, details: DataFrame, most: int = 120) -> DataFrame:
     """Listed postings with the description of a detail fetch, for the first `most` of a board; the teaser stays elsewhere.
 
-    listed: token, id, ordinal, description; details: token, id, description.
+    listed: token, id, ordinal, description; details: token, id, description. For platforms with rules of their own see ``details``.
     """
     own = listed.columns
-    ranked = listed.groupBy("token").agg(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), 1, most).alias("r"))
-    asked = ranked.select("token", F.explode("r").alias("r")).select("token", F.col("r.id").alias("id"), F.lit(True).alias("_asked")).distinct()
+    asked = capped(listed.select("token", "id", "ordinal"), "token", most).select("token", "id", F.lit(True).alias("_asked")).distinct()
     full = details.select("token", "id", F.col("description").alias("_full"))
     joined = listed.join(asked, ["token", "id"], "left").join(full, ["token", "id"], "left")
     kept = F.when(F.coalesce("_asked", F.lit(False)) & (text(F.col("_full")) != ""), F.col("_full")).otherwise(F.col("description"))

@@ -27,6 +27,15 @@ def json_or(spark: SparkSession, path: str, schema: str, default: list[tuple] =
     return spark.createDataFrame(list(default), schema)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the scratch folder and read back, where several steps need it."""
+    from tidemark.streaming.lifecycle import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for work that costs far more than moving its rows.
 

@@ -217,6 +217,125 @@ def test_layout_of_stray_text_formulas_drawings_and_row_spans():
     assert html_layout.extract("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a | b\nc | d"
 
 
+SEEN = [
+    ('<span style="visibility:hidden">v<b style="visibility:visible">w</b>z</span>q', "wq"), ("a<p style='backface-visibility:hidden'>shown</p>", "a\n\nshown"),
+    ("<table><tr style='visibility:hidden'><td>a<td style='visibility: visible'>b<td>c<tr><td>d<td>e</table>", "  | b |\nd | e"),
+    ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "* b"), ("<svg><g style='visibility:hidden'><text>no</text></g><text>yes</text></svg>", "yes"),
+    ("<div style='display:none'><b style='visibility:visible'>no</b></div>k", "k"), ("<p style='visibility:hidden;visibility:visible'>last says", "last says"),
+    ("<img alt=x style='visibility:hidden'><hr style='visibility:hidden'>k", "k"), ("<ol start=3><li>a<li value=7>b<li>c</ol>", "3. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol type=a><li>a<li value=28>b</ol>", "a. a\nab. b"),
+    ("<ol type=I><li value=1994>x<li value=4000>y<li type=i value=9>z</ol>", "MCMXCIV. x\n4000. y\nix. z"), ("<ol start=-1><li>a<li>b</ol>", "-1. a\n0. b"),
+    ("a<img alt=alt>b<textarea>t</textarea>c<button>God</button>d<button>b1</button><button>b2</button>", "a alt b t c God d b1 b2"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SEEN)
+def test_visibility_numbers_and_boxes(page, text):
+    assert html_layout.extract(page) == text
+
+
+def _tree(r, depth):
+    """A random tree: (tag, visibility or None, children) and texts."""
+    tags = ["div", "p", "span", "b", "button", "ul", "li", "br", "img", "blockquote", "em"]
+    made = []
+    for _ in range(r.randrange(1, 4)):
+        tag = r.choice(tags)
+        if depth == 0 or r.random() < 0.4:
+            made.append(r.choice(["one", " two ", "three four", "  ", "x\n y", "z"]))
+        elif tag in ("br", "img"):
+            made.append((tag, None, []))
+        else:
+            made.append((tag, r.choice([None, None, None, "hidden", "visible", "none"]), _tree(r, depth - 1)))
+    return made
+
+
+def _markup(nodes):
+    out = []
+    for n in nodes:
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        tag, say, inner = n
+        style = f' style="{"display: none" if say == "none" else "visibility:" + say}"' if say else ""
+        out.append({"br": "<br>", "img": "<img alt=pic>"}.get(tag) or f"<{tag}{style}>{_markup(inner)}</{tag}>")
+    return "".join(out)
+
+
+def _plain_layout(nodes):
+    """The layout by recursion: lines are cut from runs of text between ends of blocks."""
+    done, run, state = [], [], {"margin": 0, "marker": "", "indent": 0}
+
+    def end():
+        line = re.sub(r"[ \t\n]+", " ", "".join(run)).strip(" ")
+        run.clear()
+        if line:
+            done.extend([""] * (state["margin"] if done else 0))
+            state["margin"] = 0
+            done.append(" " * (state["indent"] - len(state["marker"])) + state["marker"] + line)
+            state["marker"] = ""
+
+    def space(n):
+        end()
+        state["margin"] = max(state["margin"], n)
+
+    def walk(nodes, seen, lists):
+        for n in nodes:
+            if isinstance(n, str):
+                run.append(n if seen else "")
+                continue
+            tag, say, inner = n
+            if say == "none":
+                continue
+            shown = seen if say is None else say == "visible"
+            if tag == "br":
+                if run and "".join(run).strip():
+                    end()
+                elif done:
+                    run.clear()
+                    done.extend([""] * state["margin"] + [(" " * (state["indent"] - len(state["marker"])) + state["marker"]).rstrip()])
+                    state["margin"], state["marker"] = 0, ""
+            elif tag == "img":
+                run.append(" pic " if shown else "")
+            elif tag == "button":
+                run.append(" " if shown else "")
+                walk(inner, shown, lists)
+                run.append(" " if shown else "")
+            elif tag == "li":
+                end()
+                state["indent"] += 2
+                state["marker"] = "* " if shown else ""
+                walk(inner, shown, lists)
+                end()
+                state["marker"] = ""
+                state["indent"] -= 2
+            elif tag in ("div", "p", "ul", "blockquote"):
+                n_lines = {"div": 0, "ul": 0 if lists else 1}.get(tag, 1)
+                space(n_lines)
+                state["indent"] += 4 * (tag == "blockquote")
+                walk(inner, shown, lists + (tag == "ul"))
+                space(n_lines)
+                state["indent"] -= 4 * (tag == "blockquote")
+            else:
+                walk(inner, shown, lists)
+
+    walk(nodes, True, 0)
+    end()
+    return "\n".join(line.rstrip() for line in done).strip("\n")
+
+
+def test_layout_equals_recursion_on_random_trees():
+    """Trees of blocks, lists, boxes and inline elements, seen and hidden; such as parse to themselves."""
+    r, tried = random.Random(12), 0
+    while tried < 1500:
+        nodes = _tree(r, 4)
+        page = _markup(nodes)
+        # Nesting that HTML itself takes apart has no tree of its own.
+        if re.search(r"<p[ >](?:(?!</p>).)*<(?:div|p|ul|blockquote)[ >]|<li[ >](?:(?!</li>).)*<li[ >]|<button[ >](?:(?!</button>).)*<(?:button|div|p|ul|li|blockquote)[ >]", page, re.S):
+            continue
+        tried += 1
+        assert html_layout.extract(page) == _plain_layout(nodes), page
+
+
 def test_layout_of_deep_and_long_pages():
     assert html_layout.extract("<div><p>" * 30_000 + "deep") == "deep"
     assert html_layout.extract("<b>" * 50_000 + "x") == "x"

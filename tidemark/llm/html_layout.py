@@ -81,7 +81,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN_STYLE = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -201,6 +202,7 @@ def build(page: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether an element is laid out at all; what is not takes its descendants with it."""
     attrs = node.attrs
     if node.tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return False
@@ -211,6 +213,36 @@ def visible(node: Node) -> bool:
     return not ("style" in attrs and _UNSEEN_STYLE.search(attrs["style"]))
 
 
+def visibility(node: Node) -> bool | None:
+    """What an element says about being seen, which its descendants inherit until one says otherwise; None if nothing."""
+    said = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else None
+    return said[-1].lower() == "visible" if said else None
+
+
+def _whole(said: str | None, default: int) -> int:
+    said = (said or "").strip()
+    digits = said.removeprefix("-")
+    return int(said) if digits.isascii() and digits.isdigit() and len(digits) < 9 else default
+
+
+#: What Roman numbers are made of.
+ROMAN = {1000: "m", 900: "cm", 500: "d", 400: "cd", 100: "c", 90: "xc", 50: "l", 40: "xl", 10: "x", 9: "ix", 5: "v", 4: "iv", 1: "i"}
+
+
+def numbered(n: int, kind: str) -> str:
+    """A list number as its type writes it; what a type cannot write is decimal."""
+    said = ""
+    if kind.lower() == "a" and n > 0:
+        while n:
+            n, letter = divmod(n - 1, 26)
+            said = chr(97 + letter) + said
+    elif kind.lower() == "i" and 0 < n < 4000:
+        for value, letters in ROMAN.items():
+            said += letters * (n // value)
+            n %= value
+    return (said.upper() if kind in "AI" else said) or str(n)
+
+
 class _Lines:
     """Lines of output with collapsed blanks and margins between blocks."""
 
@@ -316,18 +348,20 @@ def _placed(rows: list[list[tuple[str, int, bool, int]]], ends: list[int]) -> li
     return out
 
 
-def _drawn(svg: Node) -> list:
-    """The text elements of a drawing, blanks around them."""
+def _drawn(svg: Node, seen: bool) -> list:
+    """The text elements of a drawing that are seen, blanks around them."""
     found: list = []
-    work = list(reversed(svg.children))
+    work = [(child, seen) for child in reversed(svg.children)]
     while work:
-        item = work.pop()
+        item, shown = work.pop()
         if isinstance(item, str) or not visible(item) or item.tag in UNDRAWN:
             continue
+        own = visibility(item)
+        shown = shown if own is None else own
         if item.tag in ("text", "foreignobject"):
-            found += [" ", item, " "]
+            found += [" ", item, " "] if shown else []
         else:
-            work.extend(reversed(item.children))
+            work.extend((child, shown) for child in reversed(item.children))
     return found
 
 
@@ -372,11 +406,28 @@ def render(root: Node) -> str:
     tables: list[tuple[_Lines, list]] = []
     lists: list[list] = []
     pre = 0
+    seen = True
     work: list = [root]
 
     def later(*items) -> None:
         work.extend(reversed(items))
 
+    def seeing(value: bool):
+        """A step from which on things are seen or not."""
+
+        def step() -> None:
+            nonlocal seen
+            seen = value
+
+        return step
+
+    def within(node: Node, inherited: bool) -> tuple[bool, list, list]:
+        """Whether a part of a table is seen, and the steps before and after what it holds."""
+        own = visibility(node)
+        if own is None or own == inherited:
+            return inherited, [], []
+        return own, [seeing(own)], [seeing(inherited)]
+
     def begin_cell() -> None:
         nonlocal lines
         tables.append((lines, []))
@@ -388,6 +439,8 @@ def render(root: Node) -> str:
             item()
             continue
         if isinstance(item, str):
+            if not seen:
+                continue
             said = html.unescape(item) if "&" in item else item
             if pre:
                 lines.as_is(said)
@@ -397,17 +450,20 @@ def render(root: Node) -> str:
         tag = item.tag
         if not visible(item):
             continue
+        own_visibility = visibility(item)
+        if own_visibility is not None and own_visibility != seen:
+            work.append(seeing(seen))  # comes after all that the element puts there
+            seen = own_visibility
         if tag == "br":
             lines.end(force=bool(lines.now) or bool(lines.done))
         elif tag == "hr":
             lines.space(1)
-            lines.now.append("-" * 8)
+            if seen:
+                lines.now.append("-" * 8)
             lines.space(1)
-        elif tag == "img":
-            if alt := item.attrs.get("alt", ""):
-                lines.text(alt)
-        elif tag == "input":
-            lines.text(item.attrs.get("value", ""))
+        elif tag in ("img", "input"):
+            if seen and (said := item.attrs.get("alt" if tag == "img" else "value", "")):
+                lines.text(f" {said} ")
         elif tag == "wbr" or tag in VOID:
             continue
         elif tag == "pre":
@@ -425,8 +481,9 @@ def render(root: Node) -> str:
             later(*children, end_pre)
         elif tag in ("ul", "ol", "menu", "dir"):
             lines.space(0 if lists else 1)
-            start = item.attrs.get("start", "1").strip().lstrip("-")
-            lists.append([tag == "ol", int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1])
+            down = tag == "ol" and "reversed" in item.attrs
+            items = sum(1 for c in item.children if isinstance(c, Node) and c.tag == "li" and visible(c)) if down else 1
+            lists.append([tag == "ol", _whole(item.attrs.get("start"), items), -1 if down else 1, item.attrs.get("type", "1").strip()])
 
             def end_list() -> None:
                 lists.pop()
@@ -435,11 +492,12 @@ def render(root: Node) -> str:
             later(*item.children, end_list)
         elif tag == "li":
             lines.end()
-            ordered = lists[-1] if lists else [False, 1]
-            mark = f"{ordered[1]}. " if ordered[0] else "* "
-            ordered[1] += 1
+            ordered = lists[-1] if lists else [False, 1, 1, "1"]
+            number = _whole(item.attrs.get("value"), ordered[1])
+            mark = numbered(number, item.attrs.get("type", ordered[3]).strip() or "1") + ". " if ordered[0] else "* "
+            ordered[1] = number + ordered[2]
             lines.indent += len(mark)
-            lines.marker = mark
+            lines.marker = mark if seen else ""
 
             def end_item(wide: int = len(mark)) -> None:
                 lines.end()
@@ -484,9 +542,11 @@ def render(root: Node) -> str:
                     continue
                 if not visible(group):
                     continue
+                group_seen, before_group, after_group = within(group, seen)
                 if group.tag == "caption":
-                    steps += [_cell(begin=True), *group.children, _cell(begin=False, into=captions)]
+                    steps += [_cell(begin=True), *before_group, *group.children, *after_group, _cell(begin=False, into=captions)]
                 elif group.tag in ("tbody", "thead", "tfoot"):
+                    steps += before_group
                     for row in group.children:
                         if isinstance(row, str):
                             if row.strip():
@@ -499,6 +559,8 @@ def render(root: Node) -> str:
                             continue
                         own: list[tuple[str, int, bool, int]] = []
                         rows.append(own)
+                        row_seen, before_row, after_row = within(row, group_seen)
+                        steps += before_row
                         for cell in row.children:
                             if isinstance(cell, str):
                                 if cell.strip():
@@ -507,9 +569,12 @@ def render(root: Node) -> str:
                             if not visible(cell):
                                 continue
                             if cell.tag in ("td", "th"):
-                                steps += [_cell(begin=True), *cell.children, _cell(begin=False, into=own, span=_span(cell), header=cell.tag == "th", down=_down(cell))]
+                                _, before, after = within(cell, row_seen)
+                                steps += [_cell(begin=True), *before, *cell.children, *after, _cell(begin=False, into=own, span=_span(cell), header=cell.tag == "th", down=_down(cell))]
                             else:
                                 steps.append(cell)
+                        steps += after_row
+                    steps += after_group
                     ends += [len(rows)] * (len(rows) - len(ends))
                 elif group.tag not in ("colgroup", "col"):
                     steps.append(group)
@@ -532,7 +597,9 @@ def render(root: Node) -> str:
 
             later(*map(bind, steps), end_table)
         elif tag == "svg":
-            later(*_drawn(item))
+            later(*_drawn(item, seen))
+        elif tag in ("button", "textarea", "select"):  # boxes of their own
+            later(" ", *item.children, " ")
         elif tag in APART:
             later(*[part for child in item.children for part in (child, " ")])
         elif tag in BLOCKS:

@@ -62,6 +62,31 @@ def test_classifier_with_nothing_to_learn(spark, module):
         assert len(rows) == 40 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_quality_with_few_labels_of_a_class(spark):
+    """Below the floor every text has the share of good rows; from the floor on bad ones are told apart."""
+    docs, labels = labelled(spark)
+    learnable = lambda value: labels.where((F.col("quality") == value) & ~common.held_out(F.col("doc_id"))).orderBy("doc_id")
+    good = learnable(1).limit(60)
+    for n in (zstd_quality.LEAST_ROWS - 1, zstd_quality.LEAST_ROWS):
+        rows = zstd_quality.score(docs, zstd_quality.fit(docs, good.unionAll(learnable(0).limit(n)))).collect()
+        if n < zstd_quality.LEAST_ROWS:
+            assert {round(r["score"], 6) for r in rows} == {round(60.5 / (60 + n + 1), 6)} and all(r["predicted"] for r in rows)
+        else:
+            right = [r["predicted"] == (r["doc_id"] % 4 != 0) for r in rows]
+            assert np.mean(right) >= 0.9 and not all(r["predicted"] for r in rows)
+
+
+def test_toxicity_on_given_documents(spark):
+    """On sf0.1: nine in ten of the held-out toxic texts (one in twelve holds nothing toxic), and one clean one in a hundred at most."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    asked = docs.join(labels.select("doc_id"), "doc_id", "left_semi").repartition(4)
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [r for r in toxicity.score(asked, toxicity.fit(docs, labels)).collect() if r["held_out"]]
+    share = lambda value: np.mean([r["predicted"] for r in held if truth[r["doc_id"]] == value])
+    assert share(1) >= 0.9 and share(0) <= 0.01
+
+
 def test_label_sample_is_bounded_by_ids(spark):
     ids = [d for d in range(60) if zlib.crc32(str(d).encode()) % 5]
     docs = spark.createDataFrame([(d, f"text {k}") for d in range(60) for k in (2, 1, 1)] + [(ids[0], None), (None, "x")], "doc_id long, text string")

@@ -34,9 +34,9 @@ from tidemark.llm import common
 #: Bounds of the fit: clean and toxic rows, characters of a text that are sampled, entries learned.
 FIT_ROWS, FIT_CHARS, FIT_ENTRIES = (8000, 2000), 12_288, 5000
 #: An entry needs odds so many times the clean texts', and so much evidence: the log-likelihood
-#: by which its texts' split beats chance, high enough for hundreds of thousands of candidates.
-LEAST_ODDS, LEAST_EVIDENCE = 8.0, 12.0
-STEM_LENGTHS, COVER = range(4, 11), 3
+#: by which its texts' split beats chance. Both together, since of very many candidates some have either.
+LEAST_ODDS, LEAST_EVIDENCE = 8.0, 7.0
+STEM_LENGTHS, COVER, FOLDS = range(4, 11), 3, 2
 THRESHOLD = 0.5
 
 #: What a lexicon holds before anything is learned, with weights.
@@ -227,26 +227,35 @@ class ToxicityModel:
     beta: tuple[float, ...]
 
 
+def _features_of(lexicon: Lexicon, texts: Iterable[str]) -> np.ndarray:
+    matcher = Matcher(lexicon)
+    return np.array([features([h[2] for h in matcher.hits(fold(t))], len(t)) for t in texts]).reshape(-1, 5)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = FIT_ROWS, max_chars: int = FIT_CHARS) -> ToxicityModel:
-    """Fits on at most rows texts of the two classes: two thirds for the lexicon, the rest for calibration."""
+    """Fits on at most rows texts of the two classes.
+
+    All of them teach the lexicon. The calibration sees of each text the hits of a lexicon that other folds taught, so
+    an entry's hit counts for what it is worth in texts that it was not learned from.
+    """
     sample = (
         common.label_sample(docs, labels, "toxic", rows, max_chars)
-        .select("doc_id", "text", "label", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)) > 0).alias("teach"))
+        .select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).alias("fold"))
         .toPandas()
         .sort_values(["doc_id", "text"], ignore_index=True)
     )
-    teach, check = sample[sample.teach], sample[~sample.teach]
-    lexicon = learn_lexicon(zip(teach.text, teach.label, strict=True))
-    matcher = Matcher(lexicon)
-    x = np.array([features([h[2] for h in matcher.hits(fold(t))], len(t)) for t in check.text]).reshape(-1, 5)
-    y = check.label.to_numpy(float)
+    taught = lambda some: learn_lexicon(zip(some.text, some.label, strict=True))
+    x, y = np.zeros((len(sample), 5)), sample.label.to_numpy(float)
+    for k in range(FOLDS):
+        own = (sample.fold == k).to_numpy()
+        x[own] = _features_of(taught(sample[~own]), sample.text[own])
     counts = common.label_counts(labels, "toxic")
     weight = np.ones(len(y))
     for value in (0, 1):
-        if k := (y == value).sum():
-            weight[y == value] = counts.get(value, 0) / k
+        if n := (y == value).sum():
+            weight[y == value] = counts.get(value, 0) / n
     mean, scale, beta = common.fit_logistic(x, y, weight)
-    return ToxicityModel(lexicon, tuple(mean), tuple(scale), tuple(beta))
+    return ToxicityModel(taught(sample), tuple(mean), tuple(scale), tuple(beta))
 
 
 def score_column(model: ToxicityModel, text: Column) -> Column:

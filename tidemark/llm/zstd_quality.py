@@ -10,8 +10,9 @@ classes' shares. The curve is fitted on differences that dictionaries of other t
 (the labelled texts are dealt into folds), so all of them can teach.
 
 Defined results: a null or empty text gets the curve's score of no evidence; equal texts get
-equal scores; other columns are not looked at; without labels every score is one half, with
-one class only the dictionaries of the other are empty and the curve is flat.
+equal scores; other columns are not looked at. With fewer than LEAST_ROWS labelled texts of a
+class its dictionaries are made of chance: the curve is flat then, and every text has the share of
+good ones among all labelled rows as its score (one half without labels), so either all are kept or none.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tidemark.llm import common
 
 #: Bounds of the fit: rows of each class, and characters of a text that are sampled (a stretch of longer ones).
 FIT_ROWS, FIT_CHARS = 3000, 12_288
+#: Labelled texts that each class has at least, for differences to say anything.
+LEAST_ROWS = 12
 #: Pairs of dictionaries: bytes of a dictionary, and of the blocks that it compresses.
 PAIRS, LEVEL, FOLDS = ((32_768, 2048), (65_536, 1024), (112_640, 512)), 3, 3
 #: Bytes of a text whose evidence counts half, and the difference near which more of it adds less.
@@ -114,13 +117,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_chars: int
         .toPandas()
         .sort_values(["doc_id", "text"], ignore_index=True)
     )
+    counts = common.label_counts(labels, "quality")
+    if min((sample.label == value).sum() for value in (0, 1)) < LEAST_ROWS:
+        share = (counts.get(1, 0) + 0.5) / (counts.get(0, 0) + counts.get(1, 0) + 1)
+        return QualityModel(train(sample), float(np.log(share / (1 - share))), 0.0, 0.0)
     x, y = np.zeros(len(sample)), sample.label.to_numpy(float)
     for fold in range(FOLDS):
         own = (sample.fold == fold).to_numpy()
         if own.any():
             difference = Difference(train(sample[~own]))
             x[own] = [difference.of(t) for t in sample.text[own]]
-    counts = common.label_counts(labels, "quality")
     weight = np.ones(len(y))
     for value in (0, 1):  # the sample is even; weights give the classes' true shares back
         if n := (y == value).sum():

@@ -78,6 +78,17 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session sends Python workers batches of at most so many rows.
+
+    For stages that hand whole texts to functions and are written by their caller: both ends of the pipe keep the
+    buffers of the largest batch that they have seen.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Lets the driver find out which shuffles nothing refers to any more; Spark deletes their files then.
 

@@ -273,6 +273,7 @@ def _most_met(meetings: DataFrame, order: Column) -> DataFrame:
 
 def assign(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, th (hash of the text), fp (long: its component's smallest node) and component_id of every row of docs."""
+    common.bound_batches(docs.sparkSession)
     order = _common(docs)
     prints = _prints(docs, order)
     nodes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -350,7 +350,7 @@ def _repack(frame: pd.DataFrame) -> pd.DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of docs."""
-    with common.small_batches(docs.sparkSession):
+    with common.small_batches(docs.sparkSession, 500):
         first = common.materialize(docs.select("doc_id", "text").mapInPandas(_tokenise_and_pack(tokenizer_path), PIECE_SCHEMA), "packed")
     done, rest = first.where(F.col("fill") >= CLOSED), first.where(F.col("fill") < CLOSED)
     batches = max(1, -(-rest.count() // BATCH))

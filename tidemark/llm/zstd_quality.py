@@ -160,5 +160,6 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns."""
     own = docs.columns
+    common.bound_batches(docs.sparkSession)
     scored = docs.withColumn("_tidemark_score", score_column(model, F.col("text")))
     return scored.where(F.col("_tidemark_score") >= THRESHOLD).select(*own)

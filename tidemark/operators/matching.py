@@ -45,11 +45,8 @@ def grams(key: Column) -> Column:
     )
 
 
-def _rarest(named: DataFrame, runs: DataFrame, key: str) -> DataFrame:
-    """For each key the run of named (key, g) that the fewest of runs (g) hold; a key of which some run is in none goes."""
-    held = runs.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    counted = named.join(held, "g", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("least"))
-    return counted.where(F.col("least.n") > 0).select(key, F.col("least.g").alias("g"))
+def _runs(key: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - n + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(n)))
 
 
 def fuzzy_permits(companies: DataFrame, register: DataFrame) -> DataFrame:
@@ -59,26 +56,35 @@ def fuzzy_permits(companies: DataFrame, register: DataFrame) -> DataFrame:
     for keys of at least six characters, the first register row whose key holds or lies in
     the employer's. All runs of the shorter key stand in the longer, so its rarest run finds
     every match by an equi-join: common runs are met by the keys that have none rarer only.
-    Register keys under six characters are few and short (their count is bounded by the
-    alphabet), and meet the employer's runs of their length.
+    Register keys under six characters are a run of their own, and meet the employers' runs of
+    their length. The runs of both sides are one table, counted once and joined to itself.
     """
-    named = companies.select("name", "key")
     listed = register.groupBy("key").agg(F.min("ordinal").alias("ordinal"), F.sum(F.greatest("permits", F.lit(1))).cast("long").alias("permits")).where(F.col("key") != "")
-    equal = named.join(listed, "key").select("name", "key", "permits", F.col("key").alias("matched"))
-    open_ = named.join(listed, "key", "left_anti").where(F.length("key") >= GRAM)
-    keys = open_.select("key").distinct()
-    long_ = listed.where(F.length("key") >= GRAM).select(F.col("key").alias("r"))
-    of_keys, of_rows = keys.select("key", F.explode(grams(F.col("key"))).alias("g")), long_.select("r", F.explode(grams(F.col("r"))).alias("g"))
-    within = _rarest(of_rows, of_keys, "r").join(of_keys, "g").where(F.contains("key", "r"))
-    around = _rarest(of_keys, of_rows, "key").join(of_rows, "g").where(F.contains("r", "key"))
-    found = within.select("key", "r").unionByName(around.select("key", "r"))
-    for n in range(1, GRAM):
-        short = listed.where(F.length("key") == n).select(F.col("key").alias("r"))
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring("key", i, F.lit(n))))  # noqa: B023
-        found = found.unionByName(keys.select("key", F.explode(runs).alias("r")).join(short, "r").select("key", "r"))
-    ranked = found.join(listed.withColumnRenamed("key", "r"), "r")
-    first = ranked.groupBy("key").agg(F.min_by(F.struct("permits", "r"), "ordinal").alias("m"))
-    return equal.unionByName(open_.join(first, "key").select("name", "key", F.col("m.permits").alias("permits"), F.col("m.r").alias("matched")))
+    named = companies.select("name", "key").join(listed, "key", "left")
+    keys = named.where(F.col("permits").isNull() & (F.length("key") >= GRAM)).select("key").distinct()
+    short = F.array_distinct(F.flatten(F.array(*[_runs(F.col("key"), n) for n in range(1, GRAM)])))
+    none = F.lit(None).cast("long")
+    run = lambda side, g, n, ordinal, permits: [F.lit(side).alias("side"), F.col("key"), F.explode(g).alias("g"), n.alias("of"), ordinal.alias("ordinal"), permits.alias("permits")]
+    # of: how many of a side's runs must all be known; an employer's short ones need not.
+    runs = (
+        keys.select(*run("employer", grams(F.col("key")), F.size(grams(F.col("key"))), none, none))
+        .unionByName(keys.select(*run("employer", short, F.lit(0), none, none)))
+        .unionByName(listed.select(*run("register", grams(F.col("key")), F.size(grams(F.col("key"))), F.col("ordinal").cast("long"), F.col("permits"))))
+    )
+    counts = runs.groupBy("g").agg(F.count_if(F.col("side") == "employer").alias("n_employer"), F.count_if(F.col("side") == "register").alias("n_register"))
+    known = runs.join(counts.where((F.col("n_employer") > 0) & (F.col("n_register") > 0)), "g")
+    rarity = F.struct(F.when(F.col("side") == "employer", F.col("n_register")).otherwise(F.col("n_employer")).alias("n"), "g")
+    rare = known.where(F.col("of") > 0).groupBy("side", "key", "of").agg(F.min(rarity).alias("least"), F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("ordinal"), F.min("permits").alias("permits"))
+    rare = rare.where(F.col("n") == F.col("of")).select("side", "key", F.col("least.g").alias("g"), "ordinal", "permits")
+    other = known.select(F.col("side").alias("other_side"), F.col("key").alias("other"), "g", F.col("ordinal").alias("other_ordinal"), F.col("permits").alias("other_permits"))
+    met = rare.join(other, "g").where((F.col("side") != F.col("other_side")) & F.contains("other", "key"))
+    mine = F.col("side") == "employer"  # the shorter key is the employer's
+    pick = lambda a, b: F.when(mine, F.col(a)).otherwise(F.col(b))
+    pairs = met.select(pick("key", "other").alias("key"), pick("other", "key").alias("r"), pick("other_ordinal", "ordinal").alias("o"), pick("other_permits", "permits").alias("p"))
+    first = pairs.groupBy("key").agg(F.min_by(F.struct("p", "r"), "o").alias("m"))
+    joined = named.join(first, "key", "left").where(F.col("permits").isNotNull() | F.col("m").isNotNull())
+    equal = F.col("permits").isNotNull()
+    return joined.select("name", "key", F.coalesce("permits", "m.p").alias("permits"), F.when(equal, F.col("key")).otherwise(F.col("m.r")).alias("matched"))
 
 
 def already_tracked(candidates: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -88,8 +94,11 @@ def already_tracked(candidates: DataFrame, tracked: DataFrame) -> DataFrame:
     so the one that the fewest tracked names hold finds every match by an equi-join.
     """
     held = tracked.select(F.col("name").alias("tracked"), F.col("words").alias("have"), "ordinal", F.explode("words").alias("g"))
-    asked = candidates.where(F.size("words") > 0).select("name", "words", F.struct("name", "words").alias("c"))
-    rare = _rarest(asked.select("c", F.explode("words").alias("g")), held, "c").select("c.name", "c.words", "g")
+    counts = tracked.select(F.explode("words").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # A name with other words is another candidate; the hash tells them apart within a name, and words go along as values.
+    asked = candidates.where(F.size("words") > 0).select("name", "words", F.xxhash64("words").alias("h"), F.explode("words").alias("g"))
+    counted = asked.join(counts, "g", "left").groupBy("name", "h").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("least"), F.first("words").alias("words"))
+    rare = counted.where(F.col("least.n") > 0).select("name", "words", F.col("least.g").alias("g"))
     pairs = rare.join(held, "g").where((F.size(F.array_except("words", "have")) == 0) & (F.size("words") * 2 >= F.size("have")))
     return pairs.groupBy("name").agg(F.min_by("tracked", "ordinal").alias("tracked"))
 

@@ -517,3 +517,26 @@ def test_filters_keep_boards_from_being_asked(spark):
     home = read.where("ats = 'amazonjobs' and country = 'IRL' and page >= 0")
     assert home.rdd.getNumPartitions() == 1 and home.count() == 2 and {p.split("country=")[1][:3] for p, _ in served.asked} == {"IRL"}
     assert read.where(F.col("company").isin("C1", "C7")).rdd.getNumPartitions() == 2 and read.where("ats = 'lever'").count() == 0
+
+
+def _as_its_sql(query, spark, folder, table):
+    """A query's rows over a folder of one table, and those of its SQL, both in order."""
+    import duckdb
+
+    from tidemark.plans import built, catalogue
+
+    assert built
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    return sorted(map(tuple, catalogue.QUERIES[query](spark, str(folder)).collect())), sorted(con.sql(catalogue.ORACLES[query]).fetchall())
+
+
+def _searched_beyond(spark, folder):
+    """A board of which two searches find more than the 3,000 postings that they are asked for."""
+    spark.range(10_500).select(F.col("id").alias("o_orderkey"), F.lit(1).cast("long").alias("o_custkey")).write.parquet(f"{folder}/orders.parquet")
+
+
+def test_details_of_searches_beyond_their_last_page(spark, tmp_path):
+    _searched_beyond(spark, tmp_path)
+    got, want = _as_its_sql("scan_details", spark, tmp_path, "orders")
+    assert got == want and sum(r[0] == "workday" for r in got) == 6000

@@ -540,3 +540,9 @@ def test_details_of_searches_beyond_their_last_page(spark, tmp_path):
     _searched_beyond(spark, tmp_path)
     got, want = _as_its_sql("scan_details", spark, tmp_path, "orders")
     assert got == want and sum(r[0] == "workday" for r in got) == 6000
+
+
+def test_pages_of_searches_beyond_their_last_page(spark, tmp_path):
+    _searched_beyond(spark, tmp_path)
+    got, want = _as_its_sql("scan_paged", spark, tmp_path, "orders")
+    assert got == want and len({r[2] for r in got if r[0] == "workday"}) == 6000

@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CRITICAL_SALARY, GENERAL_SALARY, OCCUPATION_FLOOR
-from tidemark.functions.text import salary_eur, text
+from tidemark.functions.text import holds_any, salary_eur, text
 from tidemark.operators.gates import GRADUATE_TITLE, SENIOR_TITLE
 
 REFUSES = r"(?i)\b(not|un)( be)?( able|able)? to (offer|provide|sponsor|support)\b[^.•]{0,60}(visa|permit|sponsor)|\b(can|do|does|will|would)( ?not|n['’]t)\b[^.•]{0,30}\bsponsor|\b(no|without) (visa |permit )?sponsorship\b"
 OFFERS = r"(?i)(visa|permit) sponsorship (is )?(available|offered|provided)|(will|can|happy to) (sponsor|support) .{0,30}(visa|permit)|employment permit (support|assistance)"
 
 
+#: What neither of the two says without.
+SPONSORS = ("visa", "permit", "sponsor")
+
+
 def sponsorship(description: Column) -> Column:
     """"refuses" before "offers"; null if the advert says neither."""
     d = text(description)
-    return F.when(d.rlike(REFUSES), "refuses").when(d.rlike(OFFERS), "offers")
+    return F.when(holds_any(F.lower(d), SPONSORS), F.when(d.rlike(REFUSES), "refuses").when(d.rlike(OFFERS), "offers"))
 
 
 def permit_route(salary: Column) -> Column:

@@ -47,6 +47,7 @@ def score_postings(postings: DataFrame, profile: Profile) -> DataFrame:
     known = sorted({t.lower() for terms, _ in vocabularies.values() for t in terms} | {t.lower() for f in profile.families for t in f.terms})
     base = base.select("*", *[words_of(F.col(c), known).alias(f"{c}_words") for c in ("_title", "_text", "_sector")])
     years = F.array_max(F.transform(F.regexp_extract_all(F.lower(text(F.col("description"))), F.lit(YEARS), F.lit(1)), lambda y: y.cast("int")))
+    years = F.when(F.contains(F.col("_text"), F.lit("experience")), years)
     family_hits = [hits(F.col("_title"), f.terms, F.col("_title_words")).alias(f"_family{i}") for i, f in enumerate(profile.families)]
     wide = base.select(
         "*", years.alias("_years"), *family_hits, *[hits(F.col(c), terms, F.col(f"{c}_words")).alias(f"_{name}") for name, (terms, c) in vocabularies.items()]
@@ -87,7 +88,7 @@ def score_postings(postings: DataFrame, profile: Profile) -> DataFrame:
     route = F.filter(F.col("_routes"), lambda t: F.contains(F.col("_text"), t))
     foreign = F.lit(False)
     for language in profile.foreign_languages:
-        foreign = foreign | F.col("_text").rlike(rf"(fluent|fluency|native|proficient)\W+(\w+\W+){{0,3}}{language}\b|\b{language}[\s-]+(speaking|speaker|language)")
+        foreign = foreign | F.contains(F.col("_text"), F.lit(language)) & F.col("_text").rlike(rf"(fluent|fluency|native|proficient)\W+(\w+\W+){{0,3}}{language}\b|\b{language}[\s-]+(speaking|speaker|language)")
     y = F.col("_years")
     p0, p2, p3, p4, p5 = profile.years_penalties
     years_penalty = F.when(y <= 1, p0).when(y == 2, p2).when(y == 3, p3).when(y == 4, p4).when(y >= 5, p5).otherwise(0)

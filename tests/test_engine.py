@@ -546,3 +546,41 @@ def test_pages_of_searches_beyond_their_last_page(spark, tmp_path):
     _searched_beyond(spark, tmp_path)
     got, want = _as_its_sql("scan_paged", spark, tmp_path, "orders")
     assert got == want and len({r[2] for r in got if r[0] == "workday"}) == 6000
+
+
+def test_a_known_sight_costs_a_read_and_a_write():
+    """No timer is listed, dropped or set for a posting that has one; the timer goes on when it is due."""
+    from tidemark.streaming import lifecycle as stream
+
+    class Store:
+        def __init__(self):
+            self.value, self.timers, self.calls = None, [], []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = given[0] if given else None
+                if name == "registerTimer":
+                    self.timers.append(given[0])
+                return self.value if name == "get" else None
+
+            return call
+
+    class Clock:
+        getCurrentWatermarkInMs = staticmethod(lambda: 5)
+
+    store, sights = Store(), stream.Sights()
+    sights.init(store)
+    see = lambda us: [tuple(r) for r in sights.handleInputRows(("a",), iter([{"first_us": us, "last_us": us, "n": 1}]), None)]
+    assert see(4000) == [("a", 4000, 4000, 1)] and store.timers == [5]
+    store.calls.clear()
+    assert see(9000) == [("a", 4000, 9000, 2)] and store.calls == ["get", "update"]
+    list(sights.handleExpiredTimer(("a",), Clock, None))
+    assert store.timers == [5, 10] and store.value == (4000, 9000, 2)
+    Clock.getCurrentWatermarkInMs = staticmethod(lambda: 10)
+    list(sights.handleExpiredTimer(("a",), Clock, None))
+    assert store.value is None

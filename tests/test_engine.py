@@ -548,6 +548,14 @@ def test_pages_of_searches_beyond_their_last_page(spark, tmp_path):
     assert got == want and len({r[2] for r in got if r[0] == "workday"}) == 6000
 
 
+def test_a_board_whose_words_find_nothing_lists_nothing(spark, tmp_path):
+    """The search without a word is not asked in the place of words that should have found something; keys of any sign."""
+    keys = [(3 * k + 2, 2) for k in range(90)] + [(-k - 1, -6) for k in range(90)] + [(3 * k + 1, 1) for k in range(90)] + [(3 * k, 4) for k in range(90)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = _as_its_sql("scan_paged", spark, tmp_path, "orders")
+    assert got == want and {r[1] for r in got if r[0] == "workday"} == {f"t{n}|3|S" for n in (-6, 1, 4)}
+
+
 def test_a_known_sight_costs_a_read_and_a_write():
     """No timer is listed, dropped or set for a posting that has one; the timer goes on when it is due."""
     from tidemark.streaming import lifecycle as stream
